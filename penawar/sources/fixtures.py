@@ -260,3 +260,40 @@ def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(t == "error", F.concat(F.lit("broken {"), F.col("user_id").cast("string")))
             .otherwise(F.col("value").cast("string")))
     return ev.select("event_id", text.alias("text"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RESULTS stand-in: every lineitem row as a finished line.
+
+    Returned lines (flag R) have no price; status O lines came from the
+    internet with the tax as margin; the rest matched the catalog; a zero
+    discount marks a line that failed with an error.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part")
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    b = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey, "left")
+    err = F.col("l_discount") == 0
+    src = (F.when(err, "error").when(F.col("l_returnflag") == "R", "not_found")
+           .when(F.col("l_linestatus") == "O", "user_selected_internet").otherwise("auto_database"))
+    product = (F.when(src == "auto_database", F.struct(F.col("p_partkey").cast("string").alias("id"), catalog_name().alias("name"),
+                                                       F.lit(None).cast("string").alias("supplier"), F.lit(None).cast("string").alias("url")))
+               .when(src == "user_selected_internet", F.struct(F.lit(None).cast("string").alias("id"),
+                                                                F.when(F.col("l_linenumber") % 2 == 0, catalog_name()).alias("name"),
+                                                                F.col("s_name").alias("supplier"),
+                                                                F.concat(F.lit("https://shop.example/s/"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("url"))))
+    return b.select(
+        F.col("l_orderkey").cast("string").alias("session_id"),
+        (F.row_number().over(w) - 1).alias("line_index"),
+        F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" pcs "), line_variant()).alias("raw_text"),
+        line_variant().alias("name"),
+        F.col("l_quantity").alias("qty"),
+        F.lit("pcs").alias("unit"),
+        F.when(src.isin("auto_database", "user_selected_internet"), F.col("p_retailprice")).alias("price"),
+        src.alias("source"),
+        F.when(src == "user_selected_internet", F.col("l_tax") * 100).alias("margin"),
+        F.when(err, F.lit("provider failed")).alias("error"),
+        product.alias("product"),
+        F.col("l_shipdate").alias("_shown_at"),
+    )
