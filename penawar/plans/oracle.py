@@ -47,7 +47,7 @@ OFFER_BASE = f"""offer_base AS (
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 SHOPPING = f"""shopping AS (
-  SELECT p_name AS query, pos,
+  SELECT {VARIANT} AS query, pos,
          CASE WHEN l_linenumber % 2 = 1 THEN CASE WHEN l_discount = 0 THEN 0.0 ELSE l_extendedprice END END AS extracted_price,
          CASE WHEN l_linenumber % 2 <> 1 THEN 'Rp ' || {id_fmt('l_extendedprice')} END AS price,
          CASE WHEN s_nationkey = 0 THEN '' WHEN l_suppkey % 10 = 0 THEN NULL ELSE s_name END AS source,
@@ -59,7 +59,7 @@ SHOPPING = f"""shopping AS (
   WHERE p_name < 'n')"""
 
 ORGANIC = f"""organic AS (
-  SELECT p_name AS query, pos, {FULL} AS title,
+  SELECT {VARIANT} AS query, pos, {FULL} AS title,
          CASE l_linenumber % 4
            WHEN 0 THEN 'Harga Rp ' || {id_fmt('l_extendedprice')} || ' stok ada'
            WHEN 1 THEN 'Cicilan Rp ' || {id_fmt('(l_tax * 1000 + 1)')} || '/bln untuk 12 bln'
@@ -419,3 +419,319 @@ SELECT t.session_id, coalesce(d.done, 0) AS done, t.total,
        CAST(round(coalesce(d.done, 0) * 100.0 / t.total) AS INTEGER) AS percent, coalesce(d.done, 0) >= t.total AS complete
 FROM tot t LEFT JOIN dn d ON d.session_id = t.session_id
 """
+
+
+# ------------------------------------------------------------------ batch 2
+
+from penawar.config import DEFAULT as _CFG  # noqa: E402
+
+_UNITS = "|".join(_CFG.unit_words)
+_MEASURES = ", ".join(f"'{w}'" for w in _CFG.measure_words)
+_LEAD = rf"(?i)^(\d+(?:[.,]\d+)?)\s*(?:x\s+)?({_UNITS})\s+(.+)$"
+_TRAIL = rf"(?i)^(.+?)\s+(\d+(?:[.,]\d+)?)\s*({_UNITS})$"
+_BARE = r"^(\d+)\s+(\S+)(.*)$"
+
+EXTRACTED = f"""xt AS (SELECT *, {js_trim('raw_text')} AS t FROM lines),
+xf AS (SELECT *, regexp_matches(t, '{_LEAD}') AS is_lead, regexp_matches(t, '{_TRAIL}') AS is_trail,
+              regexp_matches(t, '{_BARE}') AND lower(regexp_extract(t, '{_BARE}', 2)) NOT IN ({_MEASURES}) AS is_bare
+       FROM xt),
+xv AS (SELECT *,
+         CASE WHEN is_lead THEN regexp_extract(t, '{_LEAD}', 3) WHEN is_trail THEN regexp_extract(t, '{_TRAIL}', 1)
+              WHEN is_bare THEN regexp_extract(t, '{_BARE}', 2) || regexp_extract(t, '{_BARE}', 3) ELSE t END AS n0,
+         CASE WHEN is_lead THEN regexp_extract(t, '{_LEAD}', 1) WHEN is_trail THEN regexp_extract(t, '{_TRAIL}', 2)
+              WHEN is_bare THEN regexp_extract(t, '{_BARE}', 1) END AS q0,
+         CASE WHEN is_lead THEN lower(regexp_extract(t, '{_LEAD}', 2)) WHEN is_trail THEN lower(regexp_extract(t, '{_TRAIL}', 3)) END AS u0
+       FROM xf),
+extracted AS (
+  SELECT session_id, line_index, raw_text, qvec_id,
+         coalesce(CASE WHEN {js_trim('n0')} <> '' THEN {js_trim('n0')} END, raw_text) AS name,
+         coalesce(CASE WHEN TRY_CAST({js_trim("replace(q0, ',', '.')")} AS DOUBLE) <> 0
+                       THEN TRY_CAST({js_trim("replace(q0, ',', '.')")} AS DOUBLE) END, 1.0) AS qty,
+         coalesce(CASE WHEN u0 <> '' THEN u0 END, 'pcs') AS unit
+  FROM xv)"""
+
+SQL["extract_lines"] = _with(LINES, EXTRACTED) + "SELECT session_id, line_index, name, qty, unit FROM extracted"
+
+SQL["offer_requests"] = _with(LINES, EXTRACTED) + f"""
+SELECT session_id, line_index, name, {js_trim('name')} AS shopping_q, {js_trim('name')} || ' harga' AS organic_q
+FROM extracted WHERE {js_trim('name')} <> ''
+"""
+
+SQL["error_rows"] = _with(LINES, EXTRACTED) + """
+SELECT session_id, line_index, CASE WHEN lower(name) LIKE '%gizmo%' THEN 'error' END AS source,
+       CASE WHEN lower(name) LIKE '%gizmo%' THEN 'provider failed' END AS error FROM extracted
+"""
+
+SQL["dedupe_fanout"] = _with(LINES) + f"""
+, k AS (SELECT *, {_norm_key('raw_text')} AS cache_key FROM lines)
+SELECT session_id, line_index, cache_key, min(line_index) OVER (PARTITION BY session_id, cache_key) AS donor_index,
+       row_number() OVER (PARTITION BY session_id, cache_key ORDER BY line_index) > 1 AS cached FROM k
+"""
+
+SQL["vector_search"] = _with(CATALOG) + """
+, c AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM catalog WHERE embedding IS NOT NULL),
+q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id, c.id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS sim
+      FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim >= 0.3)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 9) AS sim FROM r WHERE rank <= 8
+"""
+
+QUESTIONS = """qev AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events),
+questions AS (
+  SELECT *, CASE WHEN line_index % 2 = 0 THEN 'ambiguous' ELSE 'internet_fallback' END AS reason FROM (
+    SELECT CAST(user_id AS VARCHAR) AS session_id,
+           CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS line_index,
+           CASE WHEN event_id % 3 = 0 OR next_ts IS NULL THEN ts ELSE greatest(ts, next_ts - INTERVAL 4 MINUTE) END AS asked_at,
+           'barang ' || CAST(event_id AS VARCHAR) AS name, user_id
+    FROM qev WHERE event_type = 'view'))"""
+
+CHOICES = """cev AS (SELECT *, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_views FROM events),
+choices AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(n_views - 1 AS INTEGER) AS line_index,
+         CASE event_type WHEN 'purchase' THEN 'product' WHEN 'click' THEN 'internet' WHEN 'error' THEN 'cancel' ELSE 'other' END AS type,
+         CASE WHEN event_type = 'purchase' THEN CAST(user_id * 8 + event_id % 10 AS VARCHAR) END AS id,
+         CASE WHEN event_type = 'click' THEN 'https://shop.example/s/' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 6 AS VARCHAR) END AS url,
+         ts AS "at", event_id
+  FROM cev WHERE event_type <> 'view')"""
+
+QCANDS = """qdb AS (SELECT session_id, line_index, user_id, unnest(range(0, 8)) AS j FROM questions WHERE reason = 'ambiguous'),
+qnet AS (SELECT session_id, line_index, user_id, unnest(range(0, 5)) AS j FROM questions WHERE reason = 'internet_fallback'),
+qc AS (
+  SELECT qdb.session_id, qdb.line_index, CAST(j + 1 AS INTEGER) AS rank, CAST(c.id AS VARCHAR) AS id, c.name, c.brand, c.category,
+         CAST(c.price AS DOUBLE) AS price, c.unit, NULL::VARCHAR AS supplier, NULL::VARCHAR AS url, NULL::VARCHAR AS title
+  FROM qdb JOIN catalog c ON c.id = qdb.user_id * 8 + qdb.j
+  UNION ALL
+  SELECT session_id, line_index, CAST(j + 1 AS INTEGER), NULL, NULL, NULL, NULL, CAST(user_id * 1000 + j * 10 + 5 AS DOUBLE), NULL,
+         'Toko ' || CAST(j AS VARCHAR), 'https://shop.example/s/' || CAST(user_id AS VARCHAR) || '-' || CAST(j AS VARCHAR),
+         CASE WHEN j <> 2 THEN 'Offer ' || CAST(j AS VARCHAR) END
+  FROM qnet)"""
+
+FIRST_CHOICE = """fc AS (
+  SELECT * FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY c.session_id, c.line_index ORDER BY c."at", c.event_id) AS rn
+    FROM choices c JOIN questions q ON q.session_id = c.session_id AND q.line_index = c.line_index
+    WHERE c."at" >= q.asked_at AND c."at" < q.asked_at + INTERVAL 5 MINUTE) WHERE rn = 1)"""
+
+SQL["first_choice"] = _with(QUESTIONS, CHOICES, FIRST_CHOICE) + "SELECT session_id, line_index, type, id, url, "at" FROM fc"
+
+APPLIED_CHOICES = """ac AS (
+  SELECT b.session_id, b.line_index, b.name,
+    CASE WHEN type IS NULL THEN 'skipped' WHEN type = 'cancel' THEN 'cancelled' WHEN type = 'skip' THEN 'skipped'
+         WHEN type = 'product' THEN 'user_selected_db' WHEN type = 'internet' THEN 'user_selected_internet' ELSE 'unknown' END AS source,
+    CASE WHEN type = 'product' THEN db.cid END AS product_id,
+    CASE WHEN type = 'product' THEN db.c_name WHEN type = 'internet' AND net.curl IS NOT NULL THEN coalesce(net.o_title, b.name) END AS product_name,
+    CASE WHEN type = 'internet' AND net.curl IS NOT NULL THEN net.o_supplier END AS product_supplier,
+    CASE WHEN type = 'internet' AND net.curl IS NOT NULL THEN net.curl END AS product_url,
+    CASE WHEN type = 'product' THEN db.c_price WHEN type = 'internet' THEN net.o_price END AS price,
+    CASE WHEN type IS NULL THEN 'input_timeout' END AS reason
+  FROM (SELECT q.session_id, q.line_index, q.name, fc.type, fc.id, fc.url FROM questions q
+        LEFT JOIN fc ON fc.session_id = q.session_id AND fc.line_index = q.line_index) b
+  LEFT JOIN (SELECT session_id, line_index, id AS cid, name AS c_name, price AS c_price FROM qc WHERE id IS NOT NULL) db
+    ON b.session_id = db.session_id AND b.line_index = db.line_index AND b.type = 'product' AND b.id = db.cid
+  LEFT JOIN (SELECT * FROM (SELECT session_id, line_index, url AS curl, title AS o_title, supplier AS o_supplier, price AS o_price,
+                                   row_number() OVER (PARTITION BY session_id, line_index, url ORDER BY rank) AS rn
+                            FROM qc WHERE url IS NOT NULL) WHERE rn = 1) net
+    ON b.session_id = net.session_id AND b.line_index = net.line_index AND b.type = 'internet' AND b.url IS NOT DISTINCT FROM net.curl)"""
+
+SQL["apply_choices"] = _with(CATALOG, QUESTIONS, CHOICES, QCANDS, FIRST_CHOICE, APPLIED_CHOICES) + "SELECT * FROM ac"
+SQL["choice_timeout"] = (_with(CATALOG, QUESTIONS, CHOICES, QCANDS, FIRST_CHOICE, APPLIED_CHOICES)
+                         + "SELECT session_id, line_index, source, reason FROM ac WHERE reason = 'input_timeout'")
+
+SQL["cancel_session"] = _with(QUESTIONS, CHOICES) + """
+, cancels AS (SELECT session_id, min("at") AS cancel_at FROM choices WHERE type = 'cancel' GROUP BY session_id),
+el AS (SELECT CAST(user_id AS VARCHAR) AS session_id,
+              CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS line_index, ts AS started_at
+       FROM events)
+SELECT q.session_id, q.line_index,
+       CASE WHEN c.cancel_at IS NULL THEN 'open' WHEN q.asked_at >= c.cancel_at THEN 'cancelled'
+            WHEN c.cancel_at < q.asked_at + INTERVAL 5 MINUTE THEN 'cancelled' ELSE 'open' END AS state, 'question' AS kind
+FROM questions q LEFT JOIN cancels c ON c.session_id = q.session_id
+UNION ALL
+SELECT l.session_id, l.line_index, CASE WHEN c.cancel_at IS NOT NULL AND l.started_at > c.cancel_at THEN 'dropped' ELSE 'kept' END,
+       'line'
+FROM el l LEFT JOIN cancels c ON c.session_id = l.session_id
+"""
+
+
+def _json_cut(x: str) -> str:
+    t = _json_in_text(x)
+    obj = f"instr({t}, '{{')"
+    arr = f"instr({t}, '[')"
+    last_obj = f"(CASE WHEN instr(reverse({t}), '}}') > 0 THEN length({t}) - instr(reverse({t}), '}}') + 1 ELSE 0 END)"
+    last_arr = f"(CASE WHEN instr(reverse({t}), ']') > 0 THEN length({t}) - instr(reverse({t}), ']') + 1 ELSE 0 END)"
+    return (f"(CASE WHEN {arr} > 0 AND ({obj} = 0 OR {arr} < {obj}) "
+            f"THEN CASE WHEN {last_arr} >= {arr} THEN substr({t}, {arr}, {last_arr} - {arr} + 1) ELSE '' END "
+            f"WHEN {obj} > 0 THEN CASE WHEN {last_obj} >= {obj} THEN substr({t}, {obj}, {last_obj} - {obj} + 1) ELSE '' END "
+            f"ELSE {t} END)")
+
+
+RESPONSES = """rr AS (SELECT *, '{"id": ' || CASE WHEN line_index % 13 = 0 THEN 'null' ELSE '"' || CAST(user_id * 8 + line_index % 10 AS VARCHAR) || '"' END
+                  || ', "confidence": ' || CAST(CAST((line_index % 6) * 0.25 AS DOUBLE) AS VARCHAR) || ', "reason": "r'
+                  || CAST(line_index AS VARCHAR) || '"}' AS body
+            FROM questions WHERE reason = 'ambiguous'),
+responses AS (SELECT session_id, line_index,
+                CASE WHEN line_index % 11 = 0 THEN 'sorry, cannot decide'
+                     WHEN line_index % 3 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS response
+              FROM rr)"""
+
+SQL["verdict_check"] = _with(CATALOG, QUESTIONS, QCANDS, RESPONSES) + f"""
+, p AS (SELECT session_id, line_index, {_json_cut('response')} AS j FROM responses),
+v AS (SELECT session_id, line_index, coalesce(json_valid(j), false) AS ok,
+             CASE WHEN json_valid(j) THEN json_extract_string(j, '$.id') END AS vid,
+             CASE WHEN json_valid(j) THEN json_extract_string(j, '$.confidence') END AS vconf,
+             CASE WHEN json_valid(j) THEN json_extract_string(j, '$.reason') END AS vreason FROM p),
+x AS (SELECT v.*, EXISTS (SELECT 1 FROM qc WHERE qc.id IS NOT NULL AND qc.session_id = v.session_id AND qc.line_index = v.line_index) AS has_c,
+             EXISTS (SELECT 1 FROM qc WHERE qc.id IS NOT NULL AND qc.session_id = v.session_id AND qc.line_index = v.line_index
+                     AND qc.id = v.vid) AS member,
+             (vid IS NULL OR vid = '' OR vid = 'null') AS null_id FROM v)
+SELECT session_id, line_index,
+       CASE WHEN has_c AND ok AND NOT null_id AND member THEN vid END AS id,
+       CASE WHEN has_c AND ok AND NOT null_id AND member
+            THEN least(1.0, greatest(0.0, coalesce(CASE WHEN isnan(TRY_CAST(vconf AS DOUBLE)) THEN NULL ELSE TRY_CAST(vconf AS DOUBLE) END, 0.0)))
+            ELSE 0.0 END AS confidence,
+       CASE WHEN NOT has_c THEN 'no_candidates' WHEN NOT ok THEN 'rerank_failed'
+            WHEN null_id THEN coalesce(CASE WHEN vreason <> '' THEN vreason END, 'no_match')
+            WHEN NOT member THEN 'id_not_in_candidates' ELSE coalesce(vreason, '') END AS reason
+FROM x
+"""
+
+SQL["candidate_block"] = _with(CATALOG, QUESTIONS, QCANDS) + """
+SELECT session_id, line_index,
+       string_agg('- id=' || id || ' | ' || name || CASE WHEN brand <> '' THEN ' | brand: ' || brand ELSE '' END
+                  || CASE WHEN category <> '' THEN ' | category: ' || category ELSE '' END, chr(10) ORDER BY rank) AS block
+FROM qc WHERE id IS NOT NULL GROUP BY session_id, line_index
+"""
+
+SQL["review_queue"] = _with(CATALOG, QUESTIONS, QCANDS) + """
+, pend AS (SELECT session_id, line_index, reason,
+                  CASE WHEN reason = 'ambiguous' THEN CAST(user_id * 8 + (line_index * 3) % 8 AS VARCHAR) END AS suggested_id
+           FROM questions),
+u AS (SELECT p.session_id, p.line_index, p.reason, p.suggested_id, CASE WHEN qc.id = p.suggested_id THEN 0 ELSE 1 END AS o,
+             qc.rank AS r, qc.id AS e
+      FROM pend p JOIN qc ON qc.session_id = p.session_id AND qc.line_index = p.line_index AND qc.id IS NOT NULL
+      UNION ALL
+      SELECT p.session_id, p.line_index, p.reason, p.suggested_id, 1, qc.rank, qc.title
+      FROM pend p JOIN qc ON qc.session_id = p.session_id AND qc.line_index = p.line_index AND qc.url IS NOT NULL)
+SELECT session_id, line_index, reason, suggested_id, coalesce(string_agg(e, ',' ORDER BY o, r), '') AS candidate_order,
+       CAST(count(*) AS INTEGER) AS n_candidates
+FROM u GROUP BY session_id, line_index, reason, suggested_id
+"""
+
+
+def _structured(src: str) -> str:
+    return f"""st0 AS (SELECT query, pos, coalesce(extracted_price, {_parse_price('price')}) AS price,
+                  coalesce(CASE WHEN source <> '' THEN source END, 'Unknown') AS supplier,
+                  CASE WHEN title <> '' THEN title END AS title,
+                  coalesce(CASE WHEN product_link <> '' THEN product_link END, CASE WHEN link <> '' THEN link END) AS url,
+                  CASE WHEN source <> '' THEN source END AS source_site FROM {src}),
+st1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, supplier ORDER BY pos) AS rn FROM st0
+                       WHERE price IS NOT NULL AND price <> 0 AND NOT isnan(price)) WHERE rn = 1),
+structured AS (SELECT query, pos, supplier, title, price, url, source_site FROM (
+                 SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM st1) WHERE k <= 5)"""
+
+
+_AMOUNT = r"(?i)(?:rp|idr)\.?\s*([\d][\d.,]*)"
+
+
+def _from_text(src: str) -> str:
+    return f"""ot0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS rn FROM {src}) WHERE rn <= 8),
+ot1 AS (SELECT query, pos, CASE WHEN title <> '' THEN title END AS title, CASE WHEN link <> '' THEN link END AS url,
+               coalesce(regexp_extract(link, '^[a-z]+://([^/]+)', 1), 'Unknown') AS supplier,
+               list_min(list_transform(regexp_extract_all(snippet, '{_AMOUNT}', 1), lambda a: {_parse_price('a')})) AS amount,
+               coalesce(regexp_matches(snippet, '(?i)(/\\s*bln|cicilan)'), false) AS instalment FROM ot0),
+ot2 AS (SELECT * FROM ot1 WHERE NOT instalment AND amount IS NOT NULL),
+otm AS (SELECT query, quantile_cont(amount, 0.5) AS med FROM ot2 GROUP BY query),
+ot3 AS (SELECT ot2.* FROM ot2 JOIN otm ON otm.query = ot2.query WHERE NOT (amount * 5 < med)),
+ot4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, supplier ORDER BY pos) AS rn FROM ot3) WHERE rn = 1),
+fromtext AS (SELECT query, pos, supplier, title, amount AS price, url, supplier AS source_site FROM (
+               SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM ot4) WHERE k <= 5 AND amount > 0)"""
+
+
+SQL["offers_structured"] = _with(OFFER_BASE, SHOPPING, _structured("shopping")) + "SELECT * FROM structured"
+SQL["offers_from_text"] = _with(OFFER_BASE, ORGANIC, _from_text("organic")) + "SELECT * FROM fromtext"
+SQL["find_offers"] = _with(OFFER_BASE, SHOPPING, ORGANIC) + f"""
+, fq AS (SELECT DISTINCT {js_trim('query')} AS query FROM organic WHERE {js_trim('query')} <> ''),
+shop_q AS (SELECT * FROM shopping WHERE query IN (SELECT query FROM fq)),
+{_structured('shop_q')},
+rest AS (SELECT query FROM fq WHERE query NOT IN (SELECT query FROM structured)),
+org_q AS (SELECT * FROM organic WHERE query IN (SELECT query FROM rest)),
+{_from_text('org_q')}
+SELECT *, 'shopping' AS origin FROM structured UNION ALL SELECT *, 'organic' AS origin FROM fromtext
+"""
+
+SQL["snippet_block"] = _with(OFFER_BASE, ORGANIC) + """
+, f8 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS i FROM organic)
+SELECT query, string_agg('[' || CAST(i AS VARCHAR) || '] ' || coalesce(title, 'undefined') || chr(10) || coalesce(snippet, '')
+                         || chr(10) || 'URL: ' || coalesce(link, ''), chr(10) || chr(10) ORDER BY i) AS snippets
+FROM f8 WHERE i <= 8 GROUP BY query
+"""
+
+
+def _edited(x: str) -> str:
+    s = f"regexp_replace(regexp_replace({x}, '[^\\d.,-]', '', 'g'), ',', '.')"
+    return f"coalesce(CASE WHEN {s} = '' THEN 0.0 ELSE TRY_CAST({s} AS DOUBLE) END, 0.0)"
+
+
+SQL["apply_edits"] = _with(RESULTS) + f"""
+, ed0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS session_id,
+                 CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS INTEGER) AS line_index,
+                 l_linenumber AS k, l_returnflag FROM lineitem),
+ed AS (SELECT session_id, line_index,
+              CASE WHEN k = 1 THEN '12,5' END AS qty_text, CASE WHEN k = 2 THEN ' dus ' END AS unit_text,
+              CASE WHEN k = 3 THEN 'Barang manual' END AS product_text,
+              CASE WHEN k = 1 AND l_returnflag = 'A' THEN '' WHEN k = 3 THEN 'Rp 1.500' END AS price_text,
+              CASE WHEN k = 2 THEN '10' END AS margin_text
+       FROM ed0 WHERE k IN (1, 2, 3)),
+e AS (SELECT session_id, line_index,
+             CASE WHEN qty_text IS NOT NULL THEN {_edited('qty_text')} END AS e_qty,
+             CASE WHEN unit_text IS NOT NULL THEN {js_trim('unit_text')} END AS e_unit,
+             CASE WHEN product_text IS NOT NULL THEN {js_trim('product_text')} END AS e_product,
+             CASE WHEN price_text IS NOT NULL AND {js_trim('price_text')} <> '' THEN {_edited('price_text')} END AS e_price,
+             price_text IS NOT NULL AND {js_trim('price_text')} = '' AS price_set_null,
+             CASE WHEN margin_text IS NOT NULL THEN {_edited('margin_text')} END AS e_margin FROM ed)
+SELECT r.session_id, r.line_index, r.source, coalesce(e_qty, qty) AS qty, coalesce(e_unit, unit) AS unit, name,
+       coalesce(e_product, product_name) AS product_name,
+       CASE WHEN price_set_null THEN NULL ELSE coalesce(e_price, price) END AS price,
+       CASE WHEN source = 'user_selected_internet' THEN coalesce(e_margin, margin, 0.0) END AS margin
+FROM results r LEFT JOIN e ON e.session_id = r.session_id AND e.line_index = r.line_index
+"""
+
+SQL["validate_requests"] = _with(LINES) + """
+, ls AS (SELECT session_id, list(raw_text ORDER BY line_index) AS lines FROM lines GROUP BY session_id),
+r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS session_id,
+             CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE coalesce(ls.lines, []) END AS lines
+      FROM orders o LEFT JOIN ls ON ls.session_id = CAST(o.o_orderkey AS VARCHAR))
+SELECT o_orderkey, session_id, CAST(len(coalesce(lines, [])) AS INTEGER) AS n_lines,
+       CASE WHEN session_id IS NULL OR session_id = '' THEN 'sessionId wajib' WHEN lines IS NULL THEN 'lines harus array' END AS error
+FROM r
+"""
+
+_ETEXT = ("concat_ws(' | ', CASE WHEN name <> '' THEN name END, CASE WHEN brand <> '' THEN brand END, "
+          "CASE WHEN category <> '' THEN category END)")
+
+SQL["embedding_todo"] = _with(CATALOG) + f"SELECT id, {_ETEXT} AS text FROM catalog WHERE embedding IS NULL"
+
+SQL["reembed_worklist"] = _CH + f"""
+, snap AS (SELECT id, name, brand, category, reembed FROM updated WHERE id NOT IN (SELECT id FROM deletes)
+           UNION ALL SELECT id, name, brand, category, true FROM created)
+SELECT id, {_ETEXT} AS text FROM snap WHERE reembed
+"""
+
+SQL["apply_embeddings"] = _with(CATALOG) + "SELECT id, CAST(64 AS INTEGER) AS dims FROM catalog"
+
+_MEMBERS = """mem AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts, event_id,
+                       CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS delta
+                FROM events WHERE event_type IN ('view', 'click'))"""
+
+SQL["session_members"] = _with(_MEMBERS) + """
+SELECT session_id, CAST(sum(delta) AS BIGINT) AS members, count(*) AS events FROM mem GROUP BY session_id
+"""
+
+SQL["last_leaver"] = _with(_MEMBERS) + """
+, r AS (SELECT *, sum(delta) OVER (PARTITION BY session_id ORDER BY ts, event_id
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM mem),
+d AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS rn FROM r WHERE delta < 0 AND running <= 0)
+SELECT session_id, ts AS ended_at, event_id FROM d WHERE rn = 1
+"""

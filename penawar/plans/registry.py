@@ -320,3 +320,281 @@ def session_progress(spark, d):
     """Progress of every session (results with a price count as done)."""
     r = fx.results(spark, d).where(F.col("price").isNotNull())
     return quote.session_progress(fx.lines(spark, d), r)
+
+
+# ---------------------------------------------------------------- matching core
+
+from penawar.operators import embed as emb_ops  # noqa: E402
+from penawar.operators import offers as off_ops  # noqa: E402
+from penawar.operators import rerank as rr_ops  # noqa: E402
+from penawar.operators import route as route_ops  # noqa: E402
+from penawar.operators import search as search_ops  # noqa: E402
+from penawar.operators.extract import extract_rules  # noqa: E402
+from penawar.operators.similarity_join import trigram_topk, vector_topk  # noqa: E402
+
+
+def _line_names(spark, d):
+    return extract_rules(fx.lines(spark, d))
+
+
+@query
+def extract_lines(spark, d):
+    """E1 + T9: name, qty and unit of every order line (default rule provider)."""
+    return _line_names(spark, d).select("session_id", "line_index", "name", "qty", "unit")
+
+
+@query
+def trigram_search(spark, d):
+    """J1 + W1 + K1: top-8 catalog rows per distinct line name by word_similarity >= 0.3."""
+    names = _line_names(spark, d).select(F.col("name").alias("key"))
+    return trigram_topk(names, fx.catalog(spark, d, with_embedding=False)).select("key", "rank", "id", "score")
+
+
+@query
+def word_similarity(spark, d):
+    """Similarity of every distinct line name to its own part's catalog name."""
+    li = fx.table(spark, d, "lineitem").select("l_partkey", "l_linenumber")
+    part = fx.table(spark, d, "part")
+    pairs = li.join(part, li.l_partkey == part.p_partkey).select(
+        fx.line_variant().alias("q"), fx.catalog_name().alias("n")).distinct()
+    return pairs.select("q", "n", search_ops.word_similarity_udf("q", "n").alias("score"))
+
+
+@query
+def vector_search(spark, d):
+    """J2 + W2 + K1: every stored embedding as a query against the catalog vectors."""
+    q = fx.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("qvec"))
+    v = vector_topk(q, fx.catalog(spark, d))
+    return v.select(F.col("key").cast("long").alias("vec_id"), "rank", "id", F.round("sim", 9).alias("sim"))
+
+
+def _pairs(spark, d):
+    return _line_names(spark, d).select("name", "qvec_id").distinct()
+
+
+@query
+def hybrid_search(spark, d):
+    """J3 + J4 + T5 + K2: fused candidates of every distinct (name, query vector)."""
+    return search_ops.hybrid_search(_pairs(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d))
+
+
+@query
+def hybrid_degraded(spark, d):
+    """The same search when no query can be embedded (trigram ranks only)."""
+    return search_ops.hybrid_search(_pairs(spark, d), fx.catalog(spark, d), None)
+
+
+def _cands(spark, d):
+    return search_ops.hybrid_search(_pairs(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d))
+
+
+@query
+def obvious_match(spark, d):
+    """R1 + W7: best, second and the obvious-match decision per search pair."""
+    return search_ops.obvious(_cands(spark, d), route_ops.PAIR)
+
+
+@query
+def rerank(spark, d):
+    """Default rule reranker over every search pair's candidates."""
+    return rr_ops.rule_rerank(_cands(spark, d), route_ops.PAIR)
+
+
+@query
+def route_lines(spark, d):
+    """Route of every search pair."""
+    return route_ops.route_pairs(_cands(spark, d), None)
+
+
+@query
+def match_pipeline(spark, d):
+    """Every order line matched, routed and priced, or queued for a person."""
+    out = route_ops.match_lines(fx.lines(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d),
+                                fx.shopping(spark, d), fx.organic(spark, d))
+    return out["lines"].drop("cache_key")
+
+
+@query
+def dedupe_fanout(spark, d):
+    """J8 + W3: donor line and cached flag of every order line."""
+    return route_ops.first_occurrence(fx.lines(spark, d)).select("session_id", "line_index", "cache_key", "donor_index", "cached")
+
+
+@query
+def verdict_check(spark, d):
+    """J5 + T8 + T10: stored verdicts checked against the candidates asked about."""
+    cands = fx.question_candidates(spark, d).where(F.col("id").isNotNull())
+    return rr_ops.verdicts_from_responses(fx.rerank_responses(spark, d), cands, ["session_id", "line_index"])
+
+
+@query
+def candidate_block(spark, d):
+    """The candidate list text of every catalog question."""
+    c = fx.question_candidates(spark, d).where(F.col("id").isNotNull()).withColumnRenamed("name", "name_c")
+    return route_ops.candidate_block(c, ["session_id", "line_index"])
+
+
+@query
+def review_queue(spark, d):
+    """R5 + A8 + K5 + T16: questions with their candidates, suggestion first."""
+    q = fx.questions(spark, d)
+    q = q.withColumn("suggested_id", F.when(F.col("reason") == "ambiguous",
+                                            (F.col("user_id") * 8 + (F.col("line_index") * 3) % 8).cast("string")))
+    c = fx.question_candidates(spark, d)
+    cat = c.where(F.col("id").isNotNull())
+    pend = q.select("session_id", "line_index", "reason", "suggested_id", F.lit("r").alias("verdict_reason"))
+    order = F.when(F.col("id") == F.col("suggested_id"), 0).otherwise(1)
+    a = pend.join(cat, ["session_id", "line_index"]).select(
+        "session_id", "line_index", "reason", "suggested_id",
+        F.struct(order.alias("o"), F.col("rank").alias("r"), "id", "name", "price").alias("c"))
+    net = c.where(F.col("url").isNotNull())
+    i = pend.join(net, ["session_id", "line_index"]).select(
+        "session_id", "line_index", "reason", "suggested_id",
+        F.struct(F.lit(1).alias("o"), F.col("rank").alias("r"), F.lit(None).cast("string").alias("id"),
+                 F.col("title").alias("name"), "price").alias("c"))
+    g = a.unionByName(i).groupBy("session_id", "line_index", "reason", "suggested_id").agg(
+        F.array_sort(F.collect_list("c")).alias("cs"))
+    return g.select("session_id", "line_index", "reason", "suggested_id",
+                    F.array_join(F.transform("cs", lambda x: F.coalesce(x["id"], x["name"])), ",").alias("candidate_order"),
+                    F.size("cs").alias("n_candidates"))
+
+
+@query
+def offers_structured(spark, d):
+    """E5 + W4 + K6 + T17 + T18: structured offers of every searched text."""
+    return off_ops.offers_structured(fx.shopping(spark, d)).drop("origin")
+
+
+@query
+def offers_from_text(spark, d):
+    """E6 + K7: offers read from the organic snippets of every searched text."""
+    return off_ops.offers_from_text(fx.organic(spark, d)).drop("origin")
+
+
+@query
+def find_offers(spark, d):
+    """Structured first, organic only for texts without structured offers."""
+    q = fx.organic(spark, d).select("query").distinct()
+    return off_ops.find_offers(q, fx.shopping(spark, d), fx.organic(spark, d))
+
+
+@query
+def snippet_block(spark, d):
+    """Numbered snippet block of the first 8 organic results."""
+    return off_ops.snippet_block(fx.organic(spark, d))
+
+
+@query
+def offer_requests(spark, d):
+    """Provider search texts of every extracted line name."""
+    n = _line_names(spark, d).select("session_id", "line_index", "name")
+    return off_ops.offer_requests(n)
+
+
+@query
+def error_rows(spark, d):
+    """Lines whose provider call fails (names with 'gizmo') become error rows."""
+    n = _line_names(spark, d)
+    ok = ~F.lower(F.col("name")).contains("gizmo")
+    return route_ops.error_rows(n, ok, "provider failed").select("session_id", "line_index", "source", "error")
+
+
+@query
+def first_choice(spark, d):
+    """W6 + X2: the winning answer of every question."""
+    return route_ops.first_choice(fx.questions(spark, d), fx.choices(spark, d)).select(
+        "session_id", "line_index", "type", "id", "url", "at")
+
+
+@query
+def apply_choices(spark, d):
+    """R4 + J6 + J7 + X1: every question closed by its answer or by the timeout."""
+    return route_ops.apply_choices(fx.questions(spark, d), fx.choices(spark, d), fx.question_candidates(spark, d))
+
+
+@query
+def choice_timeout(spark, d):
+    """X1 (batch twin): questions not answered within 5 minutes."""
+    r = route_ops.apply_choices(fx.questions(spark, d), fx.choices(spark, d), fx.question_candidates(spark, d))
+    return r.where(F.col("reason") == "input_timeout").select("session_id", "line_index", "source", "reason")
+
+
+@query
+def cancel_session(spark, d):
+    """Questions cancelled and lines dropped by the earliest cancel of a session."""
+    q = fx.questions(spark, d)
+    ln = fx.events_lines(spark, d)
+    return route_ops.cancel_session(q, fx.choices(spark, d), ln)
+
+
+@query
+def apply_edits(spark, d):
+    """Manual edits applied to every result row."""
+    r = fx.results(spark, d).select("session_id", "line_index", "source", "qty", "unit", "name",
+                                    F.col("product.name").alias("product_name"), "price", "margin")
+    return route_ops.apply_edits(r, fx.edits(spark, d))
+
+
+@query
+def validate_requests(spark, d):
+    """Start requests need a session id and a line list."""
+    r = fx.requests(spark, d)
+    err = (F.when(F.col("session_id").isNull() | (F.col("session_id") == ""), F.lit("sessionId wajib"))
+           .when(F.col("lines").isNull(), F.lit("lines harus array")))
+    return r.select("o_orderkey", "session_id", F.size(F.coalesce("lines", F.array())).alias("n_lines"), err.alias("error"))
+
+
+@query
+def embedding_todo(spark, d):
+    """Catalog rows without a vector, with the text to embed."""
+    return emb_ops.embedding_todo(fx.catalog(spark, d))
+
+
+@query
+def embed_backfill(spark, d):
+    """Vectors for every row without one (offline hashed-trigram provider, 64 dims)."""
+    todo = emb_ops.embedding_todo(fx.catalog(spark, d))
+    return emb_ops.embed_texts(todo, emb_ops.hashed_trigram_provider(64))
+
+
+@query
+def reembed_worklist(spark, d):
+    """C4: rows to re-embed after the catalog changes."""
+    return emb_ops.reembed_worklist(_applied(spark, d)["snapshot"])
+
+
+@query
+def apply_embeddings(spark, d):
+    """Backfilled vectors written back; which rows now have a vector."""
+    cat = fx.catalog(spark, d)
+    new = emb_ops.embed_texts(emb_ops.embedding_todo(cat), emb_ops.hashed_trigram_provider(64))
+    out = emb_ops.apply_embeddings(cat, new)
+    return out.select("id", F.size("embedding").alias("dims"))
+
+
+# ---------------------------------------------------------------- sessions
+
+from penawar.operators import sessions as ses_ops  # noqa: E402
+
+
+@query
+def session_members(spark, d):
+    """Participants per session from join / leave events."""
+    return ses_ops.session_members(fx.members(spark, d))
+
+
+@query
+def last_leaver(spark, d):
+    """W8 + X5: when the last participant of each session left."""
+    return ses_ops.last_leaver(fx.members(spark, d))
+
+
+@query
+def duplicate_start(spark, d):
+    """Starts of a running session are rejected (signup events start runs
+    lasting ``value`` minutes)."""
+    ev = fx.table(spark, d, "events").where(F.col("event_type") == "signup")
+    starts = ev.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("start_id"),
+                       F.col("ts").alias("start_at"),
+                       (F.col("ts") + F.make_dt_interval(mins=F.col("value").cast("int") * 100)).alias("end_at"))
+    return ses_ops.duplicate_start(starts)

@@ -108,13 +108,14 @@ def _offer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured shopping results; only names before 'n' have any."""
+    """Structured shopping results for the text a line searches; only names
+    before 'n' have any, the others fall back to organic results."""
     sup = table(spark, sf_dir, "supplier")
     b = _offer_base(spark, sf_dir).filter(F.col("p_name") < "n")
     b = b.join(sup, b.l_suppkey == sup.s_suppkey, "left")
     odd = F.col("l_linenumber") % 2 == 1
     return b.select(
-        F.col("p_name").alias("query"),
+        line_variant().alias("query"),
         "pos",
         F.when(odd, F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col("l_extendedprice"))).alias("extracted_price"),
         F.when(~odd, F.concat(F.lit("Rp "), _id_fmt(F.col("l_extendedprice")))).alias("price"),
@@ -140,7 +141,7 @@ def organic(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("Hubungi penjual"))
     )
     return b.select(
-        F.col("p_name").alias("query"),
+        line_variant().alias("query"),
         "pos",
         catalog_name().alias("title"),
         snippet.alias("snippet"),
@@ -155,13 +156,20 @@ def _events(spark, sf_dir):
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per view event; session = user; even lines ask about
-    catalog candidates, odd lines about internet offers."""
-    ev = _events(spark, sf_dir).filter(F.col("event_type") == "view")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    catalog candidates, odd lines about internet offers. A question is asked
+    4 minutes before the user's next event (so that event answers in time),
+    except every third view, asked at the view itself."""
+    ev = _events(spark, sf_dir)
+    wn = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = ev.withColumn("next_ts", F.lead("ts").over(wn))
+    ev = ev.filter(F.col("event_type") == "view")
+    asked = F.when((F.col("event_id") % 3 == 0) | F.col("next_ts").isNull(), F.col("ts")).otherwise(
+        F.greatest(F.col("ts"), F.col("next_ts") - F.expr("INTERVAL 4 MINUTES")))
     q = ev.select(
         F.col("user_id").cast("string").alias("session_id"),
-        (F.row_number().over(w) - 1).alias("line_index"),
-        F.col("ts").alias("asked_at"),
+        (F.row_number().over(wn) - 1).alias("line_index"),
+        asked.alias("asked_at"),
+        F.concat(F.lit("barang "), F.col("event_id").cast("string")).alias("name"),
         "user_id",
     )
     return q.withColumn("reason", F.when(F.col("line_index") % 2 == 0, "ambiguous").otherwise("internet_fallback"))
@@ -177,7 +185,7 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("event_type") == "error", "cancel").otherwise("other"))
     return ev.filter(F.col("event_type") != "view").select(
         F.col("user_id").cast("string").alias("session_id"),
-        (F.col("n_views") - 1).alias("line_index"),
+        (F.col("n_views") - 1).cast("int").alias("line_index"),
         kind.alias("type"),
         F.when(kind == "product", (F.col("user_id") * 8 + F.col("event_id") % 10).cast("string")).alias("id"),
         F.when(kind == "internet", F.concat(F.lit("https://shop.example/s/"), F.col("user_id").cast("string"), F.lit("-"),
@@ -297,3 +305,62 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         product.alias("product"),
         F.col("l_shipdate").alias("_shown_at"),
     )
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query embedding provider as a stored table: a line's vector is the
+    embedding stored for its part (lines without one search by trigram only)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qvec_id"), F.col("embedding").alias("qvec"))
+
+
+def rerank_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored model verdicts for every catalog question, in the shapes models write."""
+    q = questions(spark, sf_dir).where(F.col("reason") == "ambiguous")
+    li = F.col("line_index")
+    cid = (F.col("user_id") * 8 + li % 10).cast("string")
+    conf = ((li % 6) * 0.25).cast("string")
+    body = F.concat(F.lit('{"id": '), F.when(li % 13 == 0, F.lit("null")).otherwise(F.concat(F.lit('"'), cid, F.lit('"'))),
+                    F.lit(', "confidence": '), conf, F.lit(', "reason": "r'), li.cast("string"), F.lit('"}'))
+    text = (F.when(li % 11 == 0, F.lit("sorry, cannot decide"))
+            .when(li % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .otherwise(body))
+    return q.select("session_id", "line_index", text.alias("response"))
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual edits typed into result rows, chosen by line attributes."""
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    li = li.withColumn("line_index", F.row_number().over(w) - 1)
+    k = F.col("l_linenumber")
+    return li.where(k.isin(1, 2, 3)).select(
+        F.col("l_orderkey").cast("string").alias("session_id"), "line_index",
+        F.when(k == 1, F.lit("12,5")).alias("qty_text"),
+        F.when(k == 2, F.lit(" dus ")).alias("unit_text"),
+        F.lit(None).cast("string").alias("name_text"),
+        F.when(k == 3, F.lit("Barang manual")).alias("product_text"),
+        F.when((k == 1) & (F.col("l_returnflag") == "A"), F.lit("")).when(k == 3, F.lit("Rp 1.500")).alias("price_text"),
+        F.when(k == 2, F.lit("10")).alias("margin_text"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start requests: one per order with its lines (session id blank for status P,
+    no line list for priority 5-LOW)."""
+    o = table(spark, sf_dir, "orders")
+    ln = lines(spark, sf_dir).groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("line_index", "raw_text"))).alias("ls"))
+    j = o.join(ln, o.o_orderkey.cast("string") == ln.session_id, "left")
+    return j.select(F.col("o_orderkey"),
+                    F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderkey").cast("string")).alias("session_id"),
+                    F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise(
+                        F.transform(F.coalesce(F.col("ls"), F.array()), lambda x: x["raw_text"])).alias("lines"))
+
+
+def events_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a session as started over time: every event of a user is a line
+    start (session = user, started_at = ts)."""
+    ev = _events(spark, sf_dir)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return ev.select(F.col("user_id").cast("string").alias("session_id"),
+                     (F.row_number().over(w) - 1).alias("line_index"), F.col("ts").alias("started_at"))
