@@ -514,7 +514,7 @@ FIRST_CHOICE = """fc AS (
     FROM choices c JOIN questions q ON q.session_id = c.session_id AND q.line_index = c.line_index
     WHERE c."at" >= q.asked_at AND c."at" < q.asked_at + INTERVAL 5 MINUTE) WHERE rn = 1)"""
 
-SQL["first_choice"] = _with(QUESTIONS, CHOICES, FIRST_CHOICE) + "SELECT session_id, line_index, type, id, url, "at" FROM fc"
+SQL["first_choice"] = _with(QUESTIONS, CHOICES, FIRST_CHOICE) + 'SELECT session_id, line_index, type, id, url, "at" FROM fc'
 
 APPLIED_CHOICES = """ac AS (
   SELECT b.session_id, b.line_index, b.name,
