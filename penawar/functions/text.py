@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from penawar.config import DEFAULT, MatchConfig
 
-# Fixed value: the characters JavaScript's String.prototype.trim removes.
+# Fixed value: the characters JavaScript's String.prototype.trim removes
+# (tab, line feed, vertical tab, form feed, carriage return, space, no-break space,
+# U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000, U+FEFF).
+JS_BLANK_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 JS_BLANK = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
@@ -20,8 +24,9 @@ def _c(x) -> Column:
 
 
 def js_trim(s) -> Column:
-    """T1 trim: strip the JavaScript blank class at both ends."""
-    return F.regexp_replace(_c(s), f"^{JS_BLANK}+|{JS_BLANK}+$", "")
+    """T1 trim: strip the JavaScript blank characters at both ends (``btrim``
+    with an explicit character set: no regular expression per row)."""
+    return F.btrim(_c(s), F.lit(JS_BLANK_CHARS))
 
 
 def normalise_key(s) -> Column:

@@ -8,6 +8,7 @@ close and PENDING questions for the rest; answers arrive later as CHOICES and
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +60,8 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
     ``candidates`` (hybrid top-k per search pair) and ``offers``.
     """
     ls = lines.where(tx.js_trim("raw_text") != "")  # P5: blank lines skipped, indices kept
-    ls = first_occurrence(ls)
-    donors = extract_rules(ls.where(~F.col("cached")), cfg=cfg)
+    ls = first_occurrence(ls).persist(StorageLevel.MEMORY_AND_DISK)
+    donors = extract_rules(ls.where(~F.col("cached")), cfg=cfg).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = donors.select(*PAIR).distinct()
     cands = hybrid_search(pairs, catalog, query_vectors, cfg)
     routed = pairs.join(route_pairs(cands, None, cfg), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})

@@ -9,9 +9,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# One BLAS thread per Python worker: Spark already runs one task per core.
+_WORKER_ENV = {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "MKL_NUM_THREADS": "1"}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "penawar") -> SparkSession:
+    for k, v in _WORKER_ENV.items():
+        os.environ.setdefault(k, v)
+    builder = SparkSession.builder
+    for k, v in _WORKER_ENV.items():
+        builder = builder.config(f"spark.executorEnv.{k}", v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder
+        .master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
