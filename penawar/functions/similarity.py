@@ -74,6 +74,24 @@ def extent_scores(matched: np.ndarray, prev: np.ndarray, length: np.ndarray, m:
     return best
 
 
+def extent_scores_unique(matched: np.ndarray, prev: np.ndarray, length: np.ndarray, m: np.ndarray,
+                         last: np.ndarray) -> np.ndarray:
+    """``extent_scores`` computed once per distinct (matched pattern, repeat
+    structure of the name, length, |T(q)|): the score depends on nothing else,
+    and many candidate pairs of a block share them."""
+    P = matched.shape[0]
+    if P < 64:
+        return extent_scores(matched, prev, length, m, last)
+    key = np.concatenate([np.packbits(matched, axis=1),
+                          np.ascontiguousarray(prev.astype(np.int16)).view(np.uint8).reshape(P, -1),
+                          length.astype(np.int16).view(np.uint8).reshape(P, -1),
+                          m.astype(np.int32).view(np.uint8).reshape(P, -1)], axis=1)
+    key = np.ascontiguousarray(key).view(np.dtype((np.void, key.shape[1]))).ravel()
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    uniq = extent_scores(matched[first], prev[first], length[first], m[first], last[first])
+    return uniq[inverse.ravel()]
+
+
 def last_positions(prev: np.ndarray, length: np.ndarray) -> np.ndarray:
     """last[P, L]: True where no later position repeats the trigram."""
     P, L = prev.shape

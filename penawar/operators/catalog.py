@@ -121,14 +121,20 @@ def align_schema(df: DataFrame, schema: T.StructType = CATALOG_SCHEMA) -> DataFr
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], start: int | F.Column = 1, name: str = "id") -> DataFrame:
-    """Consecutive ids in the given order, computed in parallel: rows are sorted
-    (range partitioned), each partition counts its rows and the offsets come from
-    those counts (``zipWithIndex``), so no single task sees every row."""
-    ordered = df.orderBy(*order_cols)
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_ix", T.LongType(), False)])
-    indexed = ordered.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],)).toDF(schema)
+    """Consecutive ids in the given order, computed in parallel on the JVM.
+
+    After a global sort every range partition holds a contiguous slice of the
+    order; ``monotonically_increasing_id`` gives (partition << 33) + position.
+    The row count of each partition is a tiny table (one row per partition),
+    whose running sum gives each partition's offset; it is broadcast back (its
+    size is bounded by the partition count, not by the data)."""
+    mid = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    mid = mid.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    counts = mid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     base = start if isinstance(start, F.Column) else F.lit(start)
-    return indexed.withColumn(name, (F.col("_ix") + base).cast("long")).drop("_ix")
+    out = mid.join(F.broadcast(offsets), "_pid")
+    return out.withColumn(name, (F.col("_off") + F.col("_pos") + base).cast("long")).drop("_mid", "_pid", "_pos", "_off")
 
 
 def load_catalog(rows: DataFrame, existing_count: int, reset: bool) -> DataFrame:

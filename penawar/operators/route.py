@@ -24,12 +24,14 @@ PAIR = ["name", "qvec_id"]
 
 def first_occurrence(lines: DataFrame) -> DataFrame:
     """Per session, the first line with the same normalised text is the
-    donor; later ones reuse its result (``cached``)."""
-    w = Window.partitionBy("session_id", "cache_key").orderBy("line_index")
-    return (lines.withColumn("cache_key", tx.normalise_key("raw_text"))
-            .withColumn("_k", F.row_number().over(w))
-            .withColumn("donor_index", F.min("line_index").over(Window.partitionBy("session_id", "cache_key")))
-            .withColumn("cached", F.col("_k") > 1).drop("_k"))
+    donor; later ones reuse its result (``cached``).
+
+    The donor is a ``min`` aggregate (combined map-side) joined back, not a window,
+    so one text repeated across a huge session never lands whole in one task."""
+    keyed = lines.withColumn("cache_key", tx.normalise_key("raw_text"))
+    donors = keyed.groupBy("session_id", "cache_key").agg(F.min("line_index").alias("donor_index"))
+    return (keyed.join(donors, ["session_id", "cache_key"])
+            .withColumn("cached", F.col("line_index") > F.col("donor_index")))
 
 
 def route_pairs(cands: DataFrame, offers: DataFrame | None, cfg: MatchConfig = DEFAULT) -> DataFrame:
@@ -63,7 +65,8 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
     ls = first_occurrence(ls).persist(StorageLevel.MEMORY_AND_DISK)
     donors = extract_rules(ls.where(~F.col("cached")), cfg=cfg).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = donors.select(*PAIR).distinct()
-    cands = hybrid_search(pairs, catalog, query_vectors, cfg)
+    # candidates feed routing, reranking and the review queue: compute once
+    cands = hybrid_search(pairs, catalog, query_vectors, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     routed = pairs.join(route_pairs(cands, None, cfg), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})
     need = routed.where(F.col("route") == "offers").select(F.col("name").alias("query")).distinct()
     offers = off.find_offers(need, shopping, organic, cfg)
@@ -123,13 +126,16 @@ def candidate_block(cands: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_choice(questions: DataFrame, choices: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """The first answer that arrives while the question is pending
-    (at or after it was asked and before the timeout) wins; the rest are dropped."""
+    (at or after it was asked and before the timeout) wins; the rest are dropped.
+    ``min_by`` is an aggregate, so many answers to one question combine map-side."""
     q = questions.select("session_id", "line_index", "asked_at")
     c = choices.join(q, ["session_id", "line_index"])
     live = c.where((F.col("at") >= F.col("asked_at"))
                    & (F.col("at") < F.col("asked_at") + F.expr(f"INTERVAL {cfg.ask_timeout_minutes} MINUTES")))
-    w = Window.partitionBy("session_id", "line_index").orderBy("at", "event_id")
-    return _first_k(live, w).drop("asked_at")
+    cols = [x for x in choices.columns if x not in ("session_id", "line_index")]
+    first = live.groupBy("session_id", "line_index").agg(
+        F.min_by(F.struct(*cols), F.struct("at", "event_id")).alias("c"))
+    return first.select("session_id", "line_index", "c.*")
 
 
 def _first_k(df: DataFrame, w) -> DataFrame:

@@ -408,8 +408,9 @@ SELECT session_id, line_index, raw_text, name, qty, unit, price, source, margin,
 """
 
 SQL["session_results"] = _with(RESULTS) + """
-SELECT session_id, list_sort(list({'line_index': line_index, 'source': source, 'price': price})) AS results, count(*) AS n
-FROM results GROUP BY session_id
+SELECT session_id, CAST(floor(line_index / 1000) AS INTEGER) AS chunk,
+       list_sort(list({'line_index': line_index, 'source': source, 'price': price})) AS results, count(*) AS n
+FROM results GROUP BY session_id, chunk
 """
 
 SQL["session_progress"] = _with(LINES, RESULTS) + """
@@ -735,3 +736,24 @@ SQL["last_leaver"] = _with(_MEMBERS) + """
 d AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS rn FROM r WHERE delta < 0 AND running <= 0)
 SELECT session_id, ts AS ended_at, event_id FROM d WHERE rn = 1
 """
+
+SQL["extract_responses"] = _with(LINES) + f"""
+, rs AS (SELECT session_id, line_index, raw_text, line_index % 4 AS k,
+                regexp_replace(raw_text, '^\\d+ pcs ', '') AS nm, regexp_extract(raw_text, '^(\\d+)', 1) AS qt FROM lines),
+rb AS (SELECT *, '{{"name": "' || nm || '", "qty": ' || CASE WHEN k = 1 THEN '"' || qt || '"' ELSE qt END
+                 || ', "unit": "' || CASE WHEN k = 2 THEN '' ELSE 'pcs' END || '"}}' AS body FROM rs),
+resp AS (SELECT session_id, line_index, raw_text,
+                CASE WHEN k = 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN k = 1 THEN body
+                     WHEN k = 2 THEN 'Hasil: ' || body || ' selesai' ELSE 'maaf, tidak bisa' END AS response FROM rb),
+pj AS (SELECT *, {_json_cut('response')} AS j FROM resp),
+pv AS (SELECT *, coalesce(json_valid(j), false) AS ok FROM pj)
+SELECT session_id, line_index,
+       CASE WHEN ok THEN coalesce(CASE WHEN json_extract_string(j, '$.name') <> '' THEN json_extract_string(j, '$.name') END, raw_text)
+            ELSE raw_text END AS name,
+       CASE WHEN ok THEN coalesce(CASE WHEN TRY_CAST({js_trim("json_extract_string(j, '$.qty')")} AS DOUBLE) <> 0
+                                       THEN TRY_CAST({js_trim("json_extract_string(j, '$.qty')")} AS DOUBLE) END, 1.0)
+            ELSE 1.0 END AS qty,
+       CASE WHEN ok THEN coalesce(CASE WHEN json_extract_string(j, '$.unit') <> '' THEN json_extract_string(j, '$.unit') END, 'pcs')
+            ELSE 'pcs' END AS unit
+FROM pv
+"""

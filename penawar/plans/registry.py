@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -385,7 +386,8 @@ def hybrid_degraded(spark, d):
 
 
 def _cands(spark, d):
-    return search_ops.hybrid_search(_pairs(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d))
+    c = search_ops.hybrid_search(_pairs(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d))
+    return c.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query
@@ -598,3 +600,20 @@ def duplicate_start(spark, d):
                        F.col("ts").alias("start_at"),
                        (F.col("ts") + F.make_dt_interval(mins=F.col("value").cast("int") * 100)).alias("end_at"))
     return ses_ops.duplicate_start(starts)
+
+
+@query
+def extract_responses(spark, d):
+    """E1 + T8 + T9: name, qty and unit from stored model answers (unreadable -> whole line)."""
+    from penawar.operators.extract import extract_from_responses
+
+    out = extract_from_responses(fx.lines(spark, d), fx.extraction_responses(spark, d), ["session_id", "line_index"])
+    return out.select("session_id", "line_index", "name", "qty", "unit")
+
+
+@query
+def similarity_percent(spark, d):
+    """The similarity shown to a person for every trigram candidate."""
+    names = _line_names(spark, d).select(F.col("name").alias("key"))
+    t = trigram_topk(names, fx.catalog(spark, d, with_embedding=False))
+    return t.select("key", "rank", "id", F.round(F.col("score") * 100).cast("int").alias("score_pct"))

@@ -364,3 +364,18 @@ def events_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ev.select(F.col("user_id").cast("string").alias("session_id"),
                      (F.row_number().over(w) - 1).alias("line_index"), F.col("ts").alias("started_at"))
+
+
+def extraction_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored extraction answers for every order line, in the shapes models write:
+    fenced JSON, bare JSON with a text quantity, prose around JSON, or no JSON."""
+    ln = lines(spark, sf_dir)
+    k = F.col("line_index") % 4
+    name = F.regexp_replace("raw_text", r"^\d+ pcs ", "")
+    qty = F.regexp_extract("raw_text", r"^(\d+)", 1)
+    body = F.concat(F.lit('{"name": "'), name, F.lit('", "qty": '), F.when(k == 1, F.concat(F.lit('"'), qty, F.lit('"')))
+                    .otherwise(qty), F.lit(', "unit": "'), F.when(k == 2, F.lit("")).otherwise(F.lit("pcs")), F.lit('"}'))
+    text = (F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .when(k == 1, body).when(k == 2, F.concat(F.lit("Hasil: "), body, F.lit(" selesai")))
+            .otherwise(F.lit("maaf, tidak bisa")))
+    return ln.select("session_id", "line_index", text.alias("response"))

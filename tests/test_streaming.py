@@ -54,3 +54,35 @@ def test_session_guard_matches_batch_twin(spark):
     twin = {r.start_id: ("accepted" if r.accepted else "rejected") for r in ses_ops.duplicate_start(starts).collect()}
     assert {k: got[k] for k in twin} == twin == {1: "accepted", 2: "rejected", 3: "accepted", 4: "accepted"}
     assert got[6] == "session_end"
+
+
+def test_progress_stream(spark):
+    d = tempfile.mkdtemp(prefix="prog-")
+    res = spark.createDataFrame([("s", 0), ("s", 1), ("t", 0)], "session_id string, line_index int")
+    res.write.parquet(d + "/r")
+    totals = spark.createDataFrame([("s", 4), ("t", 1)], "session_id string, total long")
+    out = _run(spark, stream.progress_stream(spark.readStream.schema(res.schema).parquet(d + "/r"), totals),
+               "progress_t1", mode="update")
+    got = {r.session_id: (r.done, r.total, r.percent) for r in out.collect()}
+    assert got == {"s": (2, 4, 50), "t": (1, 1, 100)}
+
+
+def test_cached_results_in_foreach_batch(spark):
+    d = tempfile.mkdtemp(prefix="cache-")
+    done = spark.createDataFrame([("s", 0, " Meja Kantor ", "auto_database", "7", 10.0),
+                                  ("s", 1, "Kursi", "error", None, None)],
+                                 "session_id string, line_index int, raw_text string, source string, product_id string, price double")
+    new = spark.createDataFrame([("s", 5, "meja kantor"), ("s", 6, "kursi"), ("t", 0, "Meja Kantor")],
+                                "session_id string, line_index int, raw_text string")
+    new.write.parquet(d + "/n")
+    seen = []
+
+    def handle(batch, batch_id):
+        seen.extend(stream.cached_results_batch(batch, done).collect())
+
+    q = spark.readStream.schema(new.schema).parquet(d + "/n").writeStream.foreachBatch(handle) \
+        .trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="ckpt-")).start()
+    q.awaitTermination(120)
+    got = {(r.session_id, r.line_index): (r.cached, r.product_id) for r in seen}
+    # same session + same normalised text reuses; an error result is not reused; other sessions do not share
+    assert got == {("s", 5): (True, "7"), ("s", 6): (False, None), ("t", 0): (False, None)}
