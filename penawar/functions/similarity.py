@@ -115,6 +115,39 @@ def word_similarity(q: str | None, n: str | None) -> float:
     return float(extent_scores(matched, prev, length, np.array([len(tq)]), last_positions(prev, length))[0])
 
 
+def word_similarity_many(qs, ns) -> np.ndarray:
+    """word_similarity for many (query, name) pairs: Python only cuts trigrams,
+    the extent search runs once, vectorised over the padded batch."""
+    P = len(qs)
+    seqs, matched_rows, m = [], [], np.zeros(P, dtype=np.int64)
+    for i, (q, n) in enumerate(zip(qs, ns)):
+        tq = set(trigram_seq(q))
+        seq = trigram_seq(n) if tq else []
+        m[i] = len(tq)
+        seqs.append(seq)
+        matched_rows.append([t in tq for t in seq])
+    lens = np.array([len(x) for x in seqs], dtype=np.int64)
+    L = int(lens.max()) if P else 0
+    out = np.zeros(P)
+    if L == 0:
+        return out
+    matched = np.zeros((P, L), dtype=bool)
+    prev = np.full((P, L), -1, dtype=np.int32)
+    for i, (seq, mr) in enumerate(zip(seqs, matched_rows)):
+        if not seq:
+            continue
+        matched[i, :len(seq)] = mr
+        last: dict[str, int] = {}
+        for j, t in enumerate(seq):
+            prev[i, j] = last.get(t, -1)
+            last[t] = j
+    ok = (m > 0) & (lens > 0)
+    idx = np.nonzero(ok)[0]
+    if len(idx):
+        out[idx] = extent_scores_unique(matched[idx], prev[idx], lens[idx], m[idx], last_positions(prev[idx], lens[idx]))
+    return out
+
+
 def word_similarity_brute(q: str | None, n: str | None) -> float:
     """Definition-level brute force over every extent (for tests only)."""
     tq = set(trigram_seq(q))
