@@ -8,7 +8,6 @@ close and PENDING questions for the rest; answers arrive later as CHOICES and
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from penawar.operators import offers as off
 from penawar.operators.extract import extract_rules
 from penawar.operators.rerank import rule_rerank
 from penawar.operators.search import hybrid_search, obvious
+from penawar.session import cut_lineage
 
 PAIR = ["name", "qvec_id"]
 
@@ -62,12 +62,12 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
     ``candidates`` (hybrid top-k per search pair) and ``offers``.
     """
     ls = lines.where(tx.js_trim("raw_text") != "")  # P5: blank lines skipped, indices kept
-    ls = first_occurrence(ls).persist(StorageLevel.MEMORY_AND_DISK)
-    donors = extract_rules(ls.where(~F.col("cached")), cfg=cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    ls = cut_lineage(first_occurrence(ls))
+    donors = cut_lineage(extract_rules(ls.where(~F.col("cached")), cfg=cfg))
     pairs = donors.select(*PAIR).distinct()
     # candidates feed routing, reranking and the review queue: compute once
-    cands = hybrid_search(pairs, catalog, query_vectors, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    cands.count()  # materialise once: later branches of one adaptive plan read the cache
+    # written once: routing, reranking and the review queue all read it
+    cands = cut_lineage(hybrid_search(pairs, catalog, query_vectors, cfg))
     routed = pairs.join(route_pairs(cands, None, cfg), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})
     need = routed.where(F.col("route") == "offers").select(F.col("name").alias("query")).distinct()
     offers = off.find_offers(need, shopping, organic, cfg)
@@ -77,13 +77,13 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
         .when((F.col("route") == "offers") & (F.col("n_offers") == 0), F.lit("not_found"))
     reason = F.when(F.col("route") == "ask", F.lit("ambiguous")).when(
         (F.col("route") == "offers") & (F.col("n_offers") > 0), F.lit("internet_fallback"))
-    routed = routed.withColumn("source", status).withColumn("reason", reason).persist(StorageLevel.MEMORY_AND_DISK)
+    routed = cut_lineage(routed.withColumn("source", status).withColumn("reason", reason))
     cat = catalog.select(F.col("id").cast("string").alias("product_id"), F.col("price").cast("double").alias("price"))
     out = donors.join(routed, PAIR, "left").join(cat, "product_id", "left")
     out = out.select("session_id", "line_index", "raw_text", "cache_key", "name", "qvec_id", "qty", "unit", "source", "reason",
                      "product_id", F.when(F.col("source").isNotNull(), F.col("price")).alias("price"), "confidence",
                      "verdict_reason", "suggested_id", "n_candidates", "n_offers", F.lit(False).alias("cached"))
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)  # read twice: donors and their cached copies
+    out = cut_lineage(out)  # read twice: donors and their cached copies
     dups = ls.where(F.col("cached")).select("session_id", "line_index", "raw_text", "cache_key", "donor_index")
     donor_view = out.drop("raw_text", "cached").withColumnRenamed("line_index", "donor_index")
     copied = dups.join(donor_view, ["session_id", "cache_key", "donor_index"]).drop("donor_index") \

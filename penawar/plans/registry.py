@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from penawar.functions import text as tx
 from penawar.operators import catalog as cat_ops
 from penawar.operators import quote
 from penawar.sources import fixtures as fx
+from penawar.session import cut_lineage
 from penawar.sources import lines as src_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,7 +387,7 @@ def hybrid_degraded(spark, d):
 
 def _cands(spark, d):
     c = search_ops.hybrid_search(_pairs(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d))
-    return c.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(c)
 
 
 @query
