@@ -160,11 +160,3 @@ def word_similarity_brute(q: str | None, n: str | None) -> float:
             if tq:
                 best = max(best, c / (len(tq) + len(ext) - c))
     return best
-
-
-def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine similarity of every row of a with every row of b; zero norms give nan."""
-    na = np.linalg.norm(a, axis=1)
-    nb = np.linalg.norm(b, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (a @ b.T) / np.outer(na, nb)

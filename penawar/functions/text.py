@@ -16,7 +16,6 @@ from penawar.config import DEFAULT, MatchConfig
 # U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000, U+FEFF).
 JS_BLANK_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
                   + "\u2028\u2029\u202f\u205f\u3000\ufeff")
-JS_BLANK = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
 def _c(x) -> Column:

@@ -34,7 +34,7 @@ def first_occurrence(lines: DataFrame) -> DataFrame:
             .withColumn("cached", F.col("line_index") > F.col("donor_index")))
 
 
-def route_pairs(cands: DataFrame, offers: DataFrame | None, cfg: MatchConfig = DEFAULT) -> DataFrame:
+def route_pairs(cands: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """R1-R3 per search pair: (name, qvec_id, route, product_id, confidence,
     verdict_reason, suggested_id, n_candidates, n_offers)."""
     ob = obvious(cands, PAIR, cfg)
@@ -68,7 +68,7 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
     # candidates feed routing, reranking and the review queue: compute once
     # written once: routing, reranking and the review queue all read it
     cands = cut_lineage(hybrid_search(pairs, catalog, query_vectors, cfg))
-    routed = pairs.join(route_pairs(cands, None, cfg), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})
+    routed = pairs.join(route_pairs(cands, cfg), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})
     need = routed.where(F.col("route") == "offers").select(F.col("name").alias("query")).distinct()
     offers = off.find_offers(need, shopping, organic, cfg)
     n_off = offers.groupBy("query").agg(F.count(F.lit(1)).alias("n_offers"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penawar.functions import text as tx
@@ -405,7 +405,7 @@ def rerank(spark, d):
 @query
 def route_lines(spark, d):
     """Route of every search pair."""
-    return route_ops.route_pairs(_cands(spark, d), None)
+    return route_ops.route_pairs(_cands(spark, d))
 
 
 @query

@@ -32,7 +32,7 @@ def test_rule_reranker_number_trap(spark):
             ("Jam Garmin Forerunner 265", 1, 1, "19", "Jam Garmin Forerunner 955", "Garmin", "Watch", 0.39)]
     v = {r["name"]: (r["id"], r["confidence"], r["reason"])
          for r in rule_rerank(spark.createDataFrame(rows, CAND), ["name", "qvec_id"]).collect()}
-    assert v["AC Daikin 1 PK"] == ("57", 0.9, "single_survivor")
+    assert v["AC Daikin 1 PK"] == ("57", 0.9, "single_match")
     assert v["Sepatu Nike Air Force 1 Putih"] == ("1", 0.5, "ambiguous")
     assert v["Jam Garmin Forerunner 265"] == (None, 0.0, "no_match")
 
