@@ -18,10 +18,11 @@ LINE_ORDER = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
               "l_tax, l_returnflag, l_linestatus, l_shipdate")
 
 FULL = "p_name || ' ' || p_brand || ' ' || p_type || ' size ' || CAST(p_size AS VARCHAR)"
+OTHER = "p_name || ' ' || p_brand || ' ' || p_type || ' size ' || CAST(p_size + 50 AS VARCHAR)"
 VARIANT = (f"CASE l_linenumber % 4 WHEN 0 THEN {FULL} "
            f"WHEN 1 THEN p_name || ' ' || p_type || ' size ' || CAST(p_size AS VARCHAR) "
            f"WHEN 2 THEN p_name || ' ' || p_brand || ' ' || p_type "
-           f"ELSE substr({FULL}, 1, 1) || substr({FULL}, 3) END")
+           f"ELSE substr({OTHER}, 1, 1) || substr({OTHER}, 3) END")
 
 CATALOG = f"""catalog AS (
   SELECT p.p_partkey AS id, {FULL} AS name, p.p_brand AS brand, p.p_type AS category,

@@ -64,11 +64,14 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def line_variant() -> F.Column:
     """Name as a customer writes it, chosen by line number: full, no brand,
-    no size, or the second letter dropped."""
+    no size, or the second letter dropped together with a size no catalog row
+    has (size + 50), which the catalog cannot serve."""
     full = catalog_name()
     no_brand = F.concat_ws(" ", "p_name", "p_type", F.lit("size"), F.col("p_size").cast("string"))
     no_size = F.concat_ws(" ", "p_name", "p_brand", "p_type")
-    typo = F.concat(full.substr(F.lit(1), F.lit(1)), full.substr(F.lit(3), F.length(full)))
+    other = F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "), F.col("p_type"), F.lit(" size "),
+                     (F.col("p_size") + 50).cast("string"))
+    typo = F.concat(other.substr(F.lit(1), F.lit(1)), other.substr(F.lit(3), F.length(other)))
     k = F.col("l_linenumber") % 4
     return F.when(k == 0, full).when(k == 1, no_brand).when(k == 2, no_size).otherwise(typo)
 

@@ -83,3 +83,12 @@ def test_vector_topk_matches_brute_force(spark):
         sims = sorted((s for s in sims if s[0] >= 0.3), key=lambda s: (-s[0], s[1]))[:8]
         want += [(r.vec_id, k + 1, i) for k, (_, i) in enumerate(sims)]
     assert got == sorted(want)
+
+
+def test_offer_top_k_plans_group_limit(spark):
+    from penawar.operators.offers import offers_structured
+
+    plan = offers_structured(fx.shopping(spark, SF001))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+    opt = offers_structured(fx.shopping(spark, SF001))._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in opt
