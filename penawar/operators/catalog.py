@@ -196,6 +196,9 @@ def apply_changes(catalog: DataFrame, changes: DataFrame, as_of: str = "2024-06-
     if "embedding" in catalog.columns:
         new_rows = new_rows.withColumn("embedding", F.lit(None).cast(catalog.schema["embedding"].dataType))
     new_rows = new_rows.withColumn("reembed", F.lit(True))
+    # created rows carry exactly the catalog's own columns (typed nulls for the rest)
+    new_rows = new_rows.select([F.col(c).cast(kept.schema[c].dataType).alias(c) if c in new_rows.columns
+                                else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns])
     snapshot = kept.unionByName(new_rows)
     return {
         "snapshot": snapshot,

@@ -89,3 +89,29 @@ def test_first_answer_wins_and_timeout(spark):
                                   "url string, title string, supplier string")
     got = {r.line_index: (r.source, r.reason) for r in route_ops.apply_choices(q, c, cands).collect()}
     assert got == {0: ("cancelled", None), 1: ("skipped", "input_timeout")}
+
+
+def test_dense_ids_are_consecutive_in_order(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(7)
+    got = cat_ops.dense_ids(df, ["k"], 10).select("k", "id").orderBy("k").collect()
+    assert [r.id for r in got] == list(range(10, 5010))
+
+
+def test_apply_changes_create_update_delete(spark):
+    cat = spark.createDataFrame([(1, "Meja", "A", "F", 10.0, "pcs"), (2, "Kursi", "B", "F", 5.0, "pcs")],
+                                "id long, name string, brand string, category string, price double, unit string") \
+        .withColumn("price", F.col("price").cast("decimal(15,2)"))
+    cols = "change_id long, op string, id long, name string, brand string, category string, unit string, price string, " \
+           "has_name boolean, has_brand boolean, has_category boolean, has_unit boolean, has_price boolean"
+    ch = spark.createDataFrame([
+        (1, "update", 1, None, None, None, None, "12", False, False, False, False, True),
+        (2, "update", 1, "Meja Besar", None, None, None, None, True, False, False, False, False),
+        (3, "delete", 2, None, None, None, None, None, False, False, False, False, False),
+        (4, "create", None, "Lemari", None, None, None, None, True, False, False, False, False),
+        (5, "update", 99, "X", None, None, None, None, True, False, False, False, False)], cols)
+    out = cat_ops.apply_changes(cat, ch)
+    snap = {r.id: (r.name, float(r.price) if r.price is not None else None, r.unit, r.reembed)
+            for r in out["snapshot"].collect()}
+    assert snap == {1: ("Meja Besar", 12.0, "pcs", True), 3: ("Lemari", None, "pcs", True)}
+    assert [r.id for r in out["deleted"].collect()] == [2]
+    assert [(r.id, r.error) for r in out["missing"].collect()] == [(99, "Produk tidak ditemukan")]
