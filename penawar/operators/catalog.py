@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from penawar.config import DEFAULT, MatchConfig
 from penawar.functions.text import js_trim
+from penawar.session import cut_lineage
 
 # Validation messages.
 MSG_NAME_REQUIRED = "Nama produk wajib diisi"
@@ -128,7 +129,9 @@ def dense_ids(df: DataFrame, order_cols: list[str], start: int | F.Column = 1, n
     The row count of each partition is a tiny table (one row per partition),
     whose running sum gives each partition's offset; it is broadcast back (its
     size is bounded by the partition count, not by the data)."""
-    mid = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    # the ids depend on the partitioning: write the tagged rows once so that the
+    # counts and the join back read the same rows
+    mid = cut_lineage(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
     mid = mid.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
     counts = mid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
