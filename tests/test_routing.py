@@ -115,3 +115,17 @@ def test_apply_changes_create_update_delete(spark):
     assert snap == {1: ("Meja Besar", 12.0, "pcs", True), 3: ("Lemari", None, "pcs", True)}
     assert [r.id for r in out["deleted"].collect()] == [2]
     assert [(r.id, r.error) for r in out["missing"].collect()] == [(99, "Produk tidak ditemukan")]
+
+
+def test_number_within_hot_session_spans_partitions(spark):
+    from penawar.operators.quote import number_within
+
+    # one session holds most rows; the global sort spreads it over several partitions
+    rows = [("hot", i) for i in range(3000)] + [(f"s{i}", j) for i in range(50) for j in range(3)]
+    df = spark.createDataFrame(rows, "session_id string, line_index int").repartition(9)
+    got = number_within(df, "session_id", "line_index").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.session_id, []).append((r.line_index, r.no))
+    assert sorted(by["hot"]) == [(i, i + 1) for i in range(3000)]
+    assert all(sorted(v) == [(0, 1), (1, 2), (2, 3)] for k, v in by.items() if k != "hot")
