@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penawar.session import ship_package
+from penawar.session import cut_lineage, ship_package
 
 
 def session_members(members: DataFrame) -> DataFrame:
@@ -17,11 +17,29 @@ def session_members(members: DataFrame) -> DataFrame:
                                               F.count(F.lit(1)).alias("events"))
 
 
+def running_sum(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Running sum of ``value`` per ``key`` in ``order`` without a window over the key.
+
+    After a global sort each range partition holds contiguous slices of keys; the
+    sums of the slices (one row per key and partition) give each slice's offset by a
+    running sum over partitions, and the sum inside a slice is a window over
+    (key, partition), bounded by the partition size. A hot key is thus summed by
+    many tasks. The id-tagged rows are checkpointed once (ids follow partitioning)."""
+    s = cut_lineage(df.orderBy(key, *order).withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    slices = s.groupBy(key, "_pid").agg(F.sum(value).alias("_slice"))
+    wo = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices.withColumn("_off", F.sum("_slice").over(wo) - F.col("_slice"))
+    wi = Window.partitionBy(key, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_in", F.sum(value).over(wi))
+    return s.join(slices, [key, "_pid"]).withColumn(name, F.col("_off") + F.col("_in")) \
+        .drop("_mid", "_pid", "_slice", "_off", "_in")
+
+
 def last_leaver(members: DataFrame) -> DataFrame:
     """The session ends at the first leave that takes the running count
     of participants to zero or below."""
-    w = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = members.withColumn("running", F.sum("delta").over(w))
+    r = running_sum(members, "session_id", ["ts", "event_id"], "delta", "running")
     drops = r.where((F.col("delta") < 0) & (F.col("running") <= 0))
     return drops.groupBy("session_id").agg(
         F.min_by(F.struct("ts", "event_id"), F.struct("ts", "event_id")).alias("e")).select(

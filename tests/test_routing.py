@@ -129,3 +129,16 @@ def test_number_within_hot_session_spans_partitions(spark):
         by.setdefault(r.session_id, []).append((r.line_index, r.no))
     assert sorted(by["hot"]) == [(i, i + 1) for i in range(3000)]
     assert all(sorted(v) == [(0, 1), (1, 2), (2, 3)] for k, v in by.items() if k != "hot")
+
+
+def test_running_sum_hot_session_spans_partitions(spark):
+    from penawar.operators.sessions import running_sum
+
+    rows = [("hot", i, 1 if i % 3 else -1) for i in range(3000)] + [("s", 0, 1), ("s", 1, -1)]
+    df = spark.createDataFrame(rows, "session_id string, t long, delta int").repartition(7)
+    got = {(r.session_id, r.t): r.running for r in running_sum(df, "session_id", ["t"], "delta", "running").collect()}
+    acc = 0
+    for i in range(3000):
+        acc += 1 if i % 3 else -1
+        assert got[("hot", i)] == acc
+    assert got[("s", 0)] == 1 and got[("s", 1)] == 0
