@@ -80,5 +80,19 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", row_key().alias("_h"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
+def maybe_in(keys: DataFrame, bits: int = 22) -> Column:
+    """A condition on _h that holds for every _h of ``keys`` and for few others while the keys are few.
+
+    The hashes are marked in 2^bits bits, an array of fixed size that a scalar subquery hands to
+    the tasks: rows that can't be in ``keys`` need no shuffle. Any number of keys gives right results."""
+    slot = f"pmod(_h, {1 << bits}L)"
+    marks = (keys.select(F.expr(f"shiftright({slot}, 6)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")))
+    words = keys.sparkSession.range(1 << (bits - 6)).join(marks, F.col("id") == F.col("w"), "left")
+    table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))),
+                                  lambda x: x["b"]).alias("t"))
+    return F.bit_get(F.get(table.scalar(), F.expr(f"cast(shiftright({slot}, 6) as int)")), F.expr(f"cast({slot} % 64 as int)")) == 1
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

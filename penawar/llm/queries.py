@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penawar.llm import decontam, licenses, mixing, secrets
+from penawar.llm import ann, decontam, langid, licenses, mixing, ngram_join, quality, secrets, url_filter, warc
 from penawar.llm.common import table
 
 
@@ -12,10 +12,35 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.span_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_ann(spark, sf_dir):
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op5_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_jaccard_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontaminate(spark, sf_dir):
     d = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -26,4 +51,4 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_mix_sources, op9_decontaminate, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_warc, op4_ann, op5_language_id, op6_mix_sources, op7_quality, op8_jaccard_join, op9_decontaminate, op10_license_scan)}
