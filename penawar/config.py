@@ -4,8 +4,7 @@ Fixed values (they must equal the behaviour being reproduced, keep them as is):
   trigram floor 0.3, vector floor 0.3, RRF constant 60, candidates per path 8,
   obvious-match score 0.9, obvious-match gap 0.15, rerank auto confidence 0.8,
   answer timeout 5 minutes, embedding batch 50, structured offers 5,
-  organic results read 8, page size default 25, page size cap 100,
-  embedding dimension 1024 (the test tables carry 64, so it is a parameter).
+  organic results read 8, page size default 25, page size cap 100.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ class MatchConfig:
     organic_read: int = 8
     page_default: int = 25
     page_max: int = 100
-    embedding_dim: int = 1024
     default_unit: str = "pcs"
     # unit words the default extraction rule recognises
     unit_words: tuple[str, ...] = ("pcs", "pasang", "rim", "botol", "unit", "box", "kg", "meter")
@@ -38,8 +36,6 @@ class MatchConfig:
     catalog_block_rows: int = 4096
     # query rows per block in the blocked similarity joins
     query_block_rows: int = 2048
-    # largest catalog trigram vocabulary handled by the dense bitset product
-    dense_vocab_max: int = 4096
     # fixed values: result source -> (label, tone) shown to a reviewer
     status_labels: tuple[tuple[str, str, str], ...] = field(default=(
         ("auto_database", "Cocok otomatis", "ok"),
@@ -55,5 +51,3 @@ class MatchConfig:
 
 
 DEFAULT = MatchConfig()
-
-RESULT_SOURCES = tuple(s for s, _, _ in DEFAULT.status_labels)

@@ -67,8 +67,8 @@ def extent_scores(matched: np.ndarray, prev: np.ndarray, length: np.ndarray, m:
         pv = prev[rows, a:]
         ins = inside[rows, a:]
         first = (pv < a) & ins  # first occurrence of its trigram inside [a, k]
-        u = np.cumsum(first, axis=1, dtype=np.int16)
-        c = np.cumsum(first & matched[rows, a:], axis=1, dtype=np.int16)
+        u = np.cumsum(first, axis=1, dtype=np.int32)
+        c = np.cumsum(first & matched[rows, a:], axis=1, dtype=np.int32)
         sc = c / (mf[rows] + (u - c))
         best[rows] = np.maximum(best[rows], np.where(ins, sc, 0.0).max(axis=1))
     return best
@@ -83,8 +83,8 @@ def extent_scores_unique(matched: np.ndarray, prev: np.ndarray, length: np.ndarr
     if P < 64:
         return extent_scores(matched, prev, length, m, last)
     key = np.concatenate([np.packbits(matched, axis=1),
-                          np.ascontiguousarray(prev.astype(np.int16)).view(np.uint8).reshape(P, -1),
-                          length.astype(np.int16).view(np.uint8).reshape(P, -1),
+                          np.ascontiguousarray(prev.astype(np.int32)).view(np.uint8).reshape(P, -1),
+                          length.astype(np.int32).view(np.uint8).reshape(P, -1),
                           m.astype(np.int32).view(np.uint8).reshape(P, -1)], axis=1)
     key = np.ascontiguousarray(key).view(np.dtype((np.void, key.shape[1]))).ravel()
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)

@@ -33,11 +33,6 @@ def normalise_key(s) -> Column:
     return F.lower(js_trim(s))
 
 
-def blank_to_null(s) -> Column:
-    t = js_trim(s)
-    return F.when(t == "", F.lit(None).cast("string")).otherwise(t)
-
-
 def words(s) -> Column:
     """Maximal runs of letters/digits of the lower-cased text."""
     return F.regexp_extract_all(F.lower(_c(s)), F.lit("[\\p{L}\\p{N}]+"), 0)
@@ -61,10 +56,15 @@ def trigram_set(s) -> Column:
     return F.array_sort(F.array_distinct(trigram_array(s)))
 
 
-def leading_number(s) -> Column:
-    """The number a JavaScript parseFloat would read at the start, or null."""
-    num = F.regexp_extract(_c(s), r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0)
-    return _try_double(num)
+def js_number(s) -> Column:
+    """What JavaScript's Number() reads from a text, or null (NaN): blank is 0; decimals, exponents, 0x hex and
+    Infinity; nothing else, so no literal suffixes such as ``5d``."""
+    t = js_trim(_c(s).cast("string"))
+    inf = F.lit(float("inf"))
+    return (F.when(t == "", F.lit(0.0))
+            .when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+            .when(t.rlike(r"^[+-]?Infinity$"), F.when(t.startswith("-"), -inf).otherwise(inf))
+            .when(t.rlike(r"^0[xX][0-9a-fA-F]+$"), F.conv(t.substr(F.lit(3), F.length(t)), 16, 10).cast("double")))
 
 
 def _try_double(s: Column) -> Column:
@@ -94,6 +94,7 @@ def json_in_text(s) -> Column:
     Without any bracket the whole text is returned (it may still parse).
     """
     s = _c(s)
+    # fixed values: the code fences that models write
     fenced_json = F.regexp_extract(s, r"```json\s*([\s\S]*?)```", 1)
     has_json = F.regexp_like(s, F.lit(r"```json\s*[\s\S]*?```"))
     fenced_any = F.regexp_extract(s, r"```\s*([\s\S]*?)```", 1)
@@ -118,15 +119,12 @@ def json_parses(s) -> Column:
 
 def clamp_confidence(x) -> Column:
     """Clamp to [0, 1]; not a number -> 0."""
-    v = _c(x).cast("string").try_cast("double")
-    v = F.when(F.isnan(v), None).otherwise(v)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(v, F.lit(0.0))))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(js_number(x), F.lit(0.0))))
 
 
 def qty_default(x) -> Column:
     """Quantity that is not a number or 0 becomes 1."""
-    v = js_trim(_c(x).cast("string")).try_cast("double")
-    v = F.when(F.isnan(v), None).otherwise(v)
+    v = js_number(x)
     return F.coalesce(F.when(v != 0, v), F.lit(1.0))
 
 
@@ -145,14 +143,15 @@ def edited_number(s) -> Column:
     unreadable -> 0 (so ``1.500.000`` is 0 and ``12,5`` is 12.5)."""
     t = F.regexp_replace(_c(s).cast("string"), r"[^\d.,-]", "")
     t = F.regexp_replace(t, "^([^,]*),", "$1.")
-    v = F.when(t == "", F.lit(0.0)).otherwise(t.try_cast("double"))
-    return F.coalesce(F.when(F.isnan(v), None).otherwise(v), F.lit(0.0))
+    return F.coalesce(js_number(t), F.lit(0.0))
 
 
-def format_rupiah(x, null_text: str = "-") -> Column:
-    """``Rp 1.234.567`` with Indonesian grouping, whole rupiah, null -> dash."""
-    v = F.round(_c(x).cast("double"), 0)
-    grouped = F.translate(F.format_number(F.abs(v), 0), ",", ".")
+def format_rupiah(x, null_text: str = "-", decimals: int = 3) -> Column:
+    """``Rp 1.234.567,4`` with Indonesian grouping and at most ``decimals`` decimals (the screen shows three, the
+    sheet none), null -> dash."""
+    v = F.round(_c(x).cast("double"), decimals)
+    pattern = "#,##0" + ("." + "#" * decimals if decimals else "")
+    grouped = F.translate(F.call_function("format_number", F.abs(v), F.lit(pattern)), ",.", ".,")
     signed = F.when(v < 0, F.concat(F.lit("-"), grouped)).otherwise(grouped)
     return F.when(_c(x).isNull(), F.lit(null_text)).otherwise(F.concat(F.lit("Rp "), signed))
 
@@ -169,6 +168,24 @@ def status_label(src, cfg: MatchConfig = DEFAULT) -> tuple[Column, Column]:
     return label, tone
 
 
+def cosine(a, b) -> Column:
+    """T4: cosine of two float arrays, in double precision; null for a zero vector."""
+    a, b = _c(a), _c(b)
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return F.try_divide(dot, norm(a) * norm(b))
+
+
+def number_text(c: Column) -> Column:
+    """A double as JavaScript writes it: whole numbers without fraction or exponent, others with all their digits.
+    Outside 1e-6 .. 1e21 the exponent form of Spark stays."""
+    v = c.cast("double")
+    plain = F.regexp_replace(v.cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
+    whole = v.cast("decimal(38,0)").cast("string")
+    return F.when(v == F.round(v, 0), F.when(F.abs(v) < 1e21, whole).otherwise(v.cast("string"))) \
+        .when((F.abs(v) >= 1e-6) & (F.abs(v) < 1e21), plain).otherwise(v.cast("string"))
+
+
 def vector_literal(v) -> Column:
     """``[a,b,...]`` text of a float array."""
     return F.concat(F.lit("["), F.array_join(F.transform(_c(v), lambda x: x.cast("string")), ","), F.lit("]"))

@@ -7,13 +7,15 @@ field was sent (an explicit blank is sent, a missing field is not).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penawar.config import DEFAULT, MatchConfig
-from penawar.functions.text import js_trim
-from penawar.session import cut_lineage
+from penawar.functions.text import js_number, js_trim
+from penawar.operators.chunks import running
 
 # Validation messages.
 MSG_NAME_REQUIRED = "Nama produk wajib diisi"
@@ -46,10 +48,10 @@ def validate(changes: DataFrame, partial_col: str | None = None, partial: bool =
     for f in ("brand", "category", "unit"):
         t = js_trim(f)
         cleaned[f] = F.when(F.col(f"has_{f}") & (t != ""), t)
-    ptxt = js_trim(F.col("price").cast("string"))
-    pnum = ptxt.try_cast("double")
-    price_null = F.col("price").isNull() | (ptxt == "")
-    bad_price = F.col("has_price") & ~price_null & (pnum.isNull() | F.isnan(pnum) | (F.abs(pnum) == float("inf")) | (pnum < 0))
+    ptxt = F.col("price").cast("string")
+    pnum = js_number(ptxt)  # blanks are 0, only an empty text or null clears the price
+    price_null = ptxt.isNull() | (ptxt == "")
+    bad_price = F.col("has_price") & ~price_null & (pnum.isNull() | (F.abs(pnum) == float("inf")) | (pnum < 0))
     cleaned["price"] = F.when(F.col("has_price") & ~price_null & ~bad_price, pnum.cast("decimal(15,2)"))
     any_sent = name_sent | F.col("has_brand") | F.col("has_category") | F.col("has_unit") | F.col("has_price")
     error = F.coalesce(name_err, F.when(bad_price, MSG_BAD_PRICE), F.when(~any_sent, MSG_NOTHING))
@@ -65,7 +67,8 @@ def search_filter(catalog: DataFrame, q: str | None) -> DataFrame:
     q = (q or "").strip()
     if not q:
         return catalog
-    pat = f"%{q}%"
+    # a backslash before any other character stands for that character
+    pat = "%" + re.sub(r"\\([^%_\\])", r"\1", q) + "%"
     return catalog.where(F.col("name").ilike(pat) | F.col("brand").ilike(pat) | F.col("category").ilike(pat))
 
 
@@ -94,7 +97,8 @@ def catalog_page(catalog: DataFrame, q: str | None, limit=None, offset=None, cfg
     hits = search_filter(catalog, q)
     page = hits.orderBy("id").offset(off).limit(lim).withColumn("_k", F.lit(1))
     total = hits.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return (page.join(F.broadcast(total), "_k").drop("_k")
+    # a page past the end is one row with the total alone; the broadcast page has at most page_max rows
+    return (total.join(F.broadcast(page), "_k", "left").select(*catalog.columns, "total")
             .withColumn("limit", F.lit(lim)).withColumn("offset", F.lit(off)))
 
 
@@ -121,36 +125,26 @@ def align_schema(df: DataFrame, schema: T.StructType = CATALOG_SCHEMA) -> DataFr
     return df.select(*cols)
 
 
-def dense_ids(df: DataFrame, order_cols: list[str], start: int | F.Column = 1, name: str = "id") -> DataFrame:
-    """Consecutive ids in the given order, computed in parallel on the JVM.
-
-    After a global sort every range partition holds a contiguous slice of the
-    order; ``monotonically_increasing_id`` gives (partition << 33) + position.
-    The row count of each partition is a tiny table (one row per partition),
-    whose running sum gives each partition's offset; it is broadcast back (its
-    size is bounded by the partition count, not by the data)."""
-    # the ids depend on the partitioning: write the tagged rows once so that the
-    # counts and the join back read the same rows
-    mid = cut_lineage(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
-    mid = mid.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    counts = mid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+def dense_ids(df: DataFrame, order_col: str, start: int | F.Column = 1, name: str = "id", chunk: int = 1000) -> DataFrame:
+    """Consecutive ids from ``start`` on in the order of an integer column (see ``operators.chunks``): lazy, without a
+    global sort, a checkpoint or a driver read."""
     base = start if isinstance(start, F.Column) else F.lit(start)
-    out = mid.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_pos") + base).cast("long")).drop("_mid", "_pid", "_pos", "_off")
+    out = running(df, [], F.floor(F.col(order_col) / chunk), [order_col], F.lit(1), name)
+    return out.withColumn(name, (F.col(name) - 1 + base).cast("long"))
 
 
-def load_catalog(rows: DataFrame, existing_count: int, reset: bool) -> DataFrame:
+def load_catalog(rows: DataFrame, existing: DataFrame | int, reset: bool) -> DataFrame:
     """A bulk load is refused when the target has rows, unless reset;
-    ids restart from 1 in the load order."""
-    if existing_count > 0 and not reset:
-        raise RuntimeError(f"target already holds {existing_count} rows; load with reset")
-    return dense_ids(rows, ["seed_order"], 1)
+    ids restart from 1 in the load order. ``existing``: the target table (it is counted), or its count."""
+    n = existing if isinstance(existing, int) else existing.count()
+    if n > 0 and not reset:
+        raise RuntimeError(f"target already holds {n} rows; load with reset")
+    return dense_ids(rows, "seed_order", 1)
 
 
 def load_summary(loaded: DataFrame) -> DataFrame:
     """A5: categories in first-seen order with their row counts."""
-    return loaded.groupBy("category").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
+    return loaded.groupBy("category").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_rows")).orderBy("first_id")
 
 
 def to_json_rows(catalog: DataFrame) -> DataFrame:
@@ -166,48 +160,56 @@ def _last_sent(field: str) -> F.Column:
 
 
 def apply_changes(catalog: DataFrame, changes: DataFrame, as_of: str = "2024-06-01 00:00:00") -> dict[str, DataFrame]:
-    """C1-C3 + J9 in one pass. Returns snapshot, created, updated, deleted,
-    rejected (validation errors) and missing (unknown ids)."""
+    """C1-C3 + J9 in change order, per id: a change finds its row if the row was there or created earlier and no
+    earlier change deleted it; otherwise it is missing. Nothing runs until an output is used.
+
+    Returns snapshot, created (as created), updated (rows with the updates that found them, also if deleted later),
+    deleted (rows as they were when deleted), rejected (validation errors) and missing."""
     v = validate(changes.withColumn("_partial", F.col("op") == "update"), partial_col="_partial")
     v = v.withColumn("error", F.when(F.col("op") == "delete", None).otherwise(F.col("error")))
+    creates = v.where((F.col("op") == "create") & F.col("error").isNull())
+    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    numbered = dense_ids(creates, "change_id", 1, "_no").withColumn("_k", F.lit(1))
+    new_rows = numbered.join(F.broadcast(top.withColumn("_k", F.lit(1))), "_k").select(
+        (F.col("_no") + F.col("_top")).cast("long").alias("id"),
+        F.col("clean_name").alias("name"), F.col("clean_brand").alias("brand"),
+        F.col("clean_category").alias("category"), F.col("clean_price").alias("price"),
+        F.when(F.col("has_unit"), F.col("clean_unit")).otherwise(F.lit(DEFAULT.default_unit)).alias("unit"),
+        F.lit(as_of).cast("timestamp").alias("created_at"), F.col("change_id").alias("_born"))
+    base = catalog.withColumn("_born", F.lit(None).cast("long"))
+    # created rows carry exactly the catalog's own columns (typed nulls for the rest)
+    new_rows = new_rows.select([F.col(c).cast(base.schema[c].dataType).alias(c) if c in new_rows.columns
+                                else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+    rows = base.unionByName(new_rows)
+
     keyed = v.where(F.col("op").isin("update", "delete"))
-    ids = catalog.select("id")
-    missing = keyed.join(ids, "id", "left_anti").withColumn("error", F.lit(MSG_NOT_FOUND))
-    found = keyed.join(ids, "id", "left_semi")
-    rejected = found.where(F.col("error").isNotNull()).unionByName(
+    born = rows.select("id", F.col("_born"), F.lit(True).alias("_there"))
+    seen = keyed.join(born, "id", "left").withColumn(
+        "_there", F.coalesce(F.col("_there") & (F.col("_born").isNull() | (F.col("change_id") > F.col("_born"))), F.lit(False)))
+    gone = seen.where(F.col("_there") & (F.col("op") == "delete")).groupBy("id").agg(F.min("change_id").alias("_gone"))
+    seen = seen.join(gone, "id", "left")
+    found = F.col("_there") & (F.col("_gone").isNull() | (F.col("change_id") <= F.col("_gone")))
+    # a change without an id matches nothing
+    missing = seen.where(~found).select(*v.columns).withColumn("error", F.lit(MSG_NOT_FOUND))
+    found_rows = seen.where(found)
+    rejected = found_rows.where(F.col("error").isNotNull()).select(*v.columns).unionByName(
         v.where((F.col("op") == "create") & F.col("error").isNotNull()))
-    deletes = found.where(F.col("op") == "delete").select("id").distinct()
-    updates = found.where((F.col("op") == "update") & F.col("error").isNull())
+    updates = found_rows.where((F.col("op") == "update") & F.col("error").isNull())
     agg = updates.groupBy("id").agg(*[_last_sent(f).alias(f"new_{f}") for f in FIELDS],
                                     *[F.max(F.col("name_sent") if f == "name" else F.col(f"has_{f}")).alias(f"sent_{f}")
-                                      for f in FIELDS])
-    upd = catalog.join(agg, "id", "left")
+                                      for f in FIELDS], F.lit(True).alias("_updated"))
+    upd = rows.join(agg, "id", "left").join(gone, "id", "left")
     cols = [F.when(F.col(f"sent_{f}"), F.col(f"new_{f}")).otherwise(F.col(f)).alias(f) if f != "price" else
             F.when(F.col("sent_price"), F.col("new_price")).otherwise(F.col("price")).cast("decimal(15,2)").alias("price")
             for f in FIELDS]
     extra = [c for c in catalog.columns if c not in FIELDS and c != "id"]
-    updated_all = upd.select("id", *cols, *extra, F.coalesce(F.col("sent_name") | F.col("sent_brand") | F.col("sent_category"),
-                                                            F.lit(False)).alias("reembed"))
-    kept = updated_all.join(deletes, "id", "left_anti")
-    creates = v.where((F.col("op") == "create") & F.col("error").isNull())
-    max_id = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    new_rows = dense_ids(creates, ["change_id"], int(max_id) + 1).select(
-        "id", F.col("clean_name").alias("name"), F.col("clean_brand").alias("brand"),
-        F.col("clean_category").alias("category"), F.col("clean_price").alias("price"),
-        F.when(F.col("has_unit"), F.col("clean_unit")).otherwise(F.lit(DEFAULT.default_unit)).alias("unit"),
-        F.lit(as_of).cast("timestamp").alias("created_at"))
-    if "embedding" in catalog.columns:
-        new_rows = new_rows.withColumn("embedding", F.lit(None).cast(catalog.schema["embedding"].dataType))
-    new_rows = new_rows.withColumn("reembed", F.lit(True))
-    # created rows carry exactly the catalog's own columns (typed nulls for the rest)
-    new_rows = new_rows.select([F.col(c).cast(kept.schema[c].dataType).alias(c) if c in new_rows.columns
-                                else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns])
-    snapshot = kept.unionByName(new_rows)
+    reembed = F.col("_born").isNotNull() | F.coalesce(F.col("sent_name") | F.col("sent_brand") | F.col("sent_category"), F.lit(False))
+    state = upd.select("id", *cols, *extra, reembed.alias("reembed"), "_updated", "_gone")
     return {
-        "snapshot": snapshot,
-        "created": new_rows,
-        "updated": updated_all.join(updates.select("id").distinct(), "id", "left_semi"),
-        "deleted": catalog.join(deletes, "id", "left_semi"),
+        "snapshot": state.where(F.col("_gone").isNull()).drop("_updated", "_gone"),
+        "created": new_rows.drop("_born").withColumn("reembed", F.lit(True)),
+        "updated": state.where(F.col("_updated")).drop("_updated", "_gone"),
+        "deleted": state.where(F.col("_gone").isNotNull()).drop("_updated", "_gone", "reembed"),
         "rejected": rejected,
         "missing": missing,
     }

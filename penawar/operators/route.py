@@ -8,6 +8,8 @@ close and PENDING questions for the rest; answers arrive later as CHOICES and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,12 @@ def first_occurrence(lines: DataFrame) -> DataFrame:
             .withColumn("cached", F.col("line_index") > F.col("donor_index")))
 
 
-def route_pairs(cands: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
+def route_pairs(cands: DataFrame, cfg: MatchConfig = DEFAULT, rerank=rule_rerank) -> DataFrame:
     """R1-R3 per search pair: (name, qvec_id, route, product_id, confidence,
     verdict_reason, suggested_id, n_candidates, n_offers)."""
     ob = obvious(cands, PAIR, cfg)
     open_pairs = ob.where(~F.col("obvious")).select(*PAIR)
-    verdict = rule_rerank(cands.join(open_pairs, PAIR, "left_semi"), PAIR)
+    verdict = rerank(cands.join(open_pairs, PAIR, "left_semi"), PAIR)
     r = ob.join(verdict, PAIR, "left")
     route = (F.when(F.col("obvious"), F.lit("auto_database"))
              .when(F.col("id").isNotNull() & (F.col("confidence") >= cfg.rerank_auto_confidence), F.lit("auto_database_ai"))
@@ -54,21 +56,37 @@ def route_pairs(cands: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     return r
 
 
+Extractor = Callable[[DataFrame], DataFrame]
+Reranker = Callable[[DataFrame, list[str]], DataFrame]
+
+PRODUCT = "struct<id:string,name:string,brand:string,category:string,price:double,unit:string,supplier:string,url:string>"
+
+
+def _product(**fields) -> F.Column:
+    names = [x.split(":")[0] for x in PRODUCT[len("struct<"):-1].split(",")]
+    kinds = dict(x.split(":") for x in PRODUCT[len("struct<"):-1].split(","))
+    return F.struct(*[fields.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+
+
 def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame | None,
-                shopping: DataFrame, organic: DataFrame, cfg: MatchConfig = DEFAULT) -> dict[str, DataFrame]:
+                shopping: DataFrame, organic: DataFrame, cfg: MatchConfig = DEFAULT,
+                extract: Extractor | None = None, rerank: Reranker = rule_rerank) -> dict[str, DataFrame]:
     """The whole run for any number of lists at once.
 
-    Returns ``lines`` (one row per non-blank line with its outcome),
+    ``extract`` adds name, qty, unit and optionally ``error`` (a failed provider call) to donor lines; ``rerank`` gives
+    verdicts on candidates. Returns ``lines`` (RESULTS of every non-blank line; a pending question has no source yet),
     ``candidates`` (hybrid top-k per search pair) and ``offers``.
     """
-    ls = lines.where(tx.js_trim("raw_text") != "")  # P5: blank lines skipped, indices kept
-    ls = cut_lineage(first_occurrence(ls))
-    donors = cut_lineage(extract_rules(ls.where(~F.col("cached")), cfg=cfg))
-    pairs = donors.select(*PAIR).distinct()
-    # candidates feed routing, reranking and the review queue: compute once
-    # written once: routing, reranking and the review queue all read it
+    ls = first_occurrence(lines.where(tx.js_trim("raw_text") != ""))  # P5: blank lines skipped, indices kept
+    donors = ls.where(~F.col("cached"))
+    donors = extract(donors) if extract else extract_rules(donors, cfg=cfg)
+    if "error" not in donors.columns:
+        donors = donors.withColumn("error", F.lit(None).cast("string"))
+    donors = cut_lineage(donors)
+    pairs = donors.where(F.col("error").isNull()).select(*PAIR).distinct()
+    # candidates feed routing, reranking and the review queue: written once
     cands = cut_lineage(hybrid_search(pairs, catalog, query_vectors, cfg))
-    routed = pairs.join(route_pairs(cands, cfg), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})
+    routed = pairs.join(route_pairs(cands, cfg, rerank), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})
     need = routed.where(F.col("route") == "offers").select(F.col("name").alias("query")).distinct()
     offers = off.find_offers(need, shopping, organic, cfg)
     n_off = offers.groupBy("query").agg(F.count(F.lit(1)).alias("n_offers"))
@@ -77,41 +95,81 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
         .when((F.col("route") == "offers") & (F.col("n_offers") == 0), F.lit("not_found"))
     reason = F.when(F.col("route") == "ask", F.lit("ambiguous")).when(
         (F.col("route") == "offers") & (F.col("n_offers") > 0), F.lit("internet_fallback"))
-    routed = cut_lineage(routed.withColumn("source", status).withColumn("reason", reason))
-    cat = catalog.select(F.col("id").cast("string").alias("product_id"), F.col("price").cast("double").alias("price"))
+    routed = routed.withColumn("source", status).withColumn("reason", reason)
+    cat = catalog.select(F.col("id").cast("string").alias("product_id"),
+                         _product(id=F.col("id"), name=F.col("name"), brand=F.col("brand"), category=F.col("category"),
+                                  price=F.col("price"), unit=F.col("unit")).alias("product"))
     out = donors.join(routed, PAIR, "left").join(cat, "product_id", "left")
-    out = out.select("session_id", "line_index", "raw_text", "cache_key", "name", "qvec_id", "qty", "unit", "source", "reason",
-                     "product_id", F.when(F.col("source").isNotNull(), F.col("price")).alias("price"), "confidence",
-                     "verdict_reason", "suggested_id", "n_candidates", "n_offers", F.lit(False).alias("cached"))
-    out = cut_lineage(out)  # read twice: donors and their cached copies
-    dups = ls.where(F.col("cached")).select("session_id", "line_index", "raw_text", "cache_key", "donor_index")
-    donor_view = out.drop("raw_text", "cached").withColumnRenamed("line_index", "donor_index")
-    copied = dups.join(donor_view, ["session_id", "cache_key", "donor_index"]).drop("donor_index") \
-        .withColumn("cached", F.lit(True))
-    return {"lines": out.unionByName(copied), "candidates": cands, "offers": offers}
-
-
-def review_queue(pending: DataFrame, cands: DataFrame, offers: DataFrame) -> DataFrame:
-    """One question per line with its candidates packed in order —
-    the suggested candidate first, then by rank; offers for internet questions."""
-    a = pending.where(F.col("reason") == "ambiguous").join(cands, PAIR)
+    failed = F.col("error").isNotNull()
+    closed = F.col("source").isNotNull()
+    out = out.select("session_id", "line_index", "raw_text", "cache_key", "name", "qvec_id", "qty", "unit",
+                     F.when(failed, F.lit("error")).otherwise(F.col("source")).alias("source"), "reason", "product_id",
+                     F.when(closed, F.col("product")).alias("product"), F.when(closed, F.col("product.price")).alias("price"),
+                     "confidence", "verdict_reason", "suggested_id", "n_candidates", "n_offers", "error",
+                     F.lit(None).cast("double").alias("margin"), F.lit(False).alias("cached"))
+    out = cut_lineage(out)  # donors: read for themselves and for their copies
+    return {"lines": out.unionByName(_copies(ls, out)), "candidates": cands, "offers": offers}
+
+
+def _copies(keyed: DataFrame, donors: DataFrame) -> DataFrame:
+    """Lines that repeat a donor's text take its result; a failed call is tried again, so it fails on its own."""
+    dups = keyed.where(F.col("cached")).select("session_id", "line_index", "raw_text", "cache_key")
+    view = donors.drop("raw_text", "cached", "line_index")
+    return dups.join(view, ["session_id", "cache_key"]).withColumn("cached", F.coalesce(F.col("source"), F.lit("")) != "error")
+
+
+def pending_questions(lines: DataFrame) -> DataFrame:
+    """The lines of ``match_lines`` that wait for a person: one question per donor, none for its copies."""
+    return (lines.where(F.col("source").isNull() & F.col("reason").isNotNull() & ~F.col("cached"))
+            .select("session_id", "line_index", *PAIR, "reason", "suggested_id", "verdict_reason"))
+
+
+def question_candidates(pending: DataFrame, cands: DataFrame, offers: DataFrame) -> DataFrame:
+    """What each question shows: catalog candidates by rank, or offers by position. (session_id, line_index, rank, id,
+    name, brand, category, price, unit, score, supplier, url, title)"""
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    a = pending.where(F.col("reason") == "ambiguous").join(cands, PAIR).select(
+        "session_id", "line_index", F.col("rank").cast("long").alias("rank"), "id", F.col("name_c").alias("name"), "brand", "category", "price", "unit",
+        "score", null("string", "supplier"), null("string", "url"), null("string", "title"))
+    i = pending.where(F.col("reason") == "internet_fallback").join(offers, pending.name == offers.query).select(
+        "session_id", "line_index", F.col("pos").cast("long").alias("rank"), null("string", "id"), null("string", "name"),
+        null("string", "brand"), null("string", "category"), "price", null("string", "unit"), null("double", "score"), "supplier", "url", "title")
+    return a.unionByName(i)
+
+
+def review_queue(pending: DataFrame, shown: DataFrame) -> DataFrame:
+    """One question per line with its candidates packed in order — the suggested candidate first, then by
+    rank. ``shown``: rows of ``question_candidates`` (the score may be left out)."""
     order = F.when(F.col("id") == F.col("suggested_id"), 0).otherwise(1)
-    a = a.select("session_id", "line_index", "reason", "suggested_id", "verdict_reason",
-                 F.struct(order.alias("o"), F.col("rank").alias("r"), "id", F.col("name_c").alias("name"), "brand",
-                          "category", "price", F.round(F.col("score") * 100).cast("int").alias("score_pct"),
-                          F.lit(None).cast("string").alias("supplier"), F.lit(None).cast("string").alias("url")).alias("c"))
-    i = pending.where(F.col("reason") == "internet_fallback").join(offers, pending.name == offers.query)
-    i = i.select("session_id", "line_index", "reason", "suggested_id", "verdict_reason",
-                 F.struct(F.lit(1).alias("o"), F.col("pos").cast("int").alias("r"), F.lit(None).cast("string").alias("id"),
-                          F.col("title").alias("name"), F.lit(None).cast("string").alias("brand"),
-                          F.lit(None).cast("string").alias("category"), "price", F.lit(None).cast("int").alias("score_pct"),
-                          "supplier", "url").alias("c"))
-    u = a.unionByName(i)
-    g = u.groupBy("session_id", "line_index", "reason", "suggested_id", "verdict_reason").agg(
-        F.array_sort(F.collect_list("c")).alias("cs"))
-    return g.select("session_id", "line_index", "reason", "suggested_id", "verdict_reason",
-                    F.transform("cs", lambda c: c.dropFields("o", "r")).alias("candidates"),
-                    F.size("cs").alias("n_candidates"))
+    pct = F.round(F.col("score") * 100).cast("int") if "score" in shown.columns else F.lit(None).cast("int")
+    x = pending.join(shown.withColumn("label", F.coalesce("name", "title")).drop("name"), ["session_id", "line_index"])
+    keys = ["session_id", "line_index", "reason", "suggested_id", "verdict_reason"]
+    x = x.select(*keys, F.struct(order.alias("o"), F.col("rank").alias("r"), "id", F.col("label").alias("name"), "brand", "category",
+                                 "price", pct.alias("score_pct"), "supplier", "url").alias("c"))
+    g = x.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    return g.select(*keys, F.transform("cs", lambda c: c.dropFields("o", "r")).alias("candidates"), F.size("cs").alias("n_candidates"))
+
+
+def close_lines(lines: DataFrame, answers: DataFrame) -> DataFrame:
+    """RESULTS: pending donors of ``match_lines`` take their answer (rows of ``apply_choices``), then the lines that
+    repeat them take the answered result. Lines that repeat a cancelled one are dropped: the session is over."""
+    a = answers.select("session_id", "line_index", F.col("source").alias("_s"), F.col("reason").alias("_r"), F.col("price").alias("_p"),
+                       F.when(F.coalesce("product_id", "product_name", "product_supplier", "product_url").isNotNull(),
+                              _product(id=F.col("product_id"), name=F.col("product_name"), price=F.when(F.col("product_id").isNotNull(), F.col("price")),
+                                       supplier=F.col("product_supplier"), url=F.col("product_url"))).alias("_product"))
+    donors = lines.where(~F.col("cached")).join(a, ["session_id", "line_index"], "left")
+    waiting = F.col("source").isNull() & F.col("_s").isNotNull()
+    donors = donors.select(*[c for c in lines.columns if c not in ("source", "reason", "price", "product", "margin")],
+                           F.when(waiting, F.col("_product")).otherwise(F.col("product")).alias("product"),
+                           F.when(waiting, F.col("_p")).otherwise(F.col("price")).alias("price"),
+                           F.when(waiting, F.col("_r")).otherwise(F.col("reason")).alias("reason"),
+                           F.when(waiting & (F.col("_s") == "user_selected_internet"), F.lit(0.0)).otherwise(F.col("margin")).alias("margin"),
+                           F.when(waiting, F.col("_s")).otherwise(F.col("source")).alias("source"))
+    donors = cut_lineage(donors)
+    dups = lines.where(F.col("cached")).select("session_id", "line_index", "raw_text", "cache_key")
+    view = donors.where(F.col("source").isNull() | ~F.col("source").isin("cancelled", "error")).drop("raw_text", "cached", "line_index")
+    copies = dups.join(view, ["session_id", "cache_key"]).withColumn("cached", F.lit(True))
+    return donors.unionByName(copies)
 
 
 def candidate_block(cands: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,10 +216,11 @@ def apply_choices(questions: DataFrame, choices: DataFrame, candidates: DataFram
     db = candidates.where(F.col("id").isNotNull()).select(
         F.col("session_id").alias("_s1"), F.col("line_index").alias("_l1"), F.col("id").alias("_cid"),
         F.col("name").alias("c_name"), F.col("price").alias("c_price"))
-    net = candidates.where(F.col("url").isNotNull())
+    # offers have no id; one without a url is found by an answer without one
+    net = candidates.where(F.col("id").isNull())
     wn = Window.partitionBy("session_id", "line_index", "url").orderBy("rank")
     net = _first_k(net, wn).select(F.col("session_id").alias("_s2"), F.col("line_index").alias("_l2"),
-                                   F.col("url").alias("_curl"), F.col("title").alias("o_title"),
+                                   F.col("url").alias("_curl"), F.col("title").alias("o_title"), F.lit(True).alias("_hit"),
                                    F.col("supplier").alias("o_supplier"), F.col("price").alias("o_price"))
     x = base.join(db, (F.col("session_id") == F.col("_s1")) & (F.col("line_index") == F.col("_l1"))
                   & (F.col("type") == "product") & (F.col("id") == F.col("_cid")), "left")
@@ -172,13 +231,13 @@ def apply_choices(questions: DataFrame, choices: DataFrame, candidates: DataFram
               .when(t == "product", F.lit("user_selected_db")).when(t == "internet", F.lit("user_selected_internet"))
               .otherwise(F.lit("unknown")))
     product_name = F.when(t == "product", F.col("c_name")).when(
-        (t == "internet") & F.col("_curl").isNotNull(), F.coalesce(F.col("o_title"), F.col("name")))
+        (t == "internet") & F.col("_hit"), F.coalesce(F.when(F.col("o_title") != "", F.col("o_title")), F.col("name")))
     return x.select(
         "session_id", "line_index", "name", source.alias("source"),
         F.when(t == "product", F.col("_cid")).alias("product_id"),
         product_name.alias("product_name"),
-        F.when((t == "internet") & F.col("_curl").isNotNull(), F.col("o_supplier")).alias("product_supplier"),
-        F.when((t == "internet") & F.col("_curl").isNotNull(), F.col("_curl")).alias("product_url"),
+        F.when((t == "internet") & F.col("_hit"), F.col("o_supplier")).alias("product_supplier"),
+        F.when((t == "internet") & F.col("_hit"), F.col("_curl")).alias("product_url"),
         F.when(t == "product", F.col("c_price")).when(t == "internet", F.col("o_price")).alias("price"),
         F.when(t.isNull(), F.lit("input_timeout")).alias("reason"),
     )
@@ -187,28 +246,27 @@ def apply_choices(questions: DataFrame, choices: DataFrame, candidates: DataFram
 def cancel_session(questions: DataFrame, choices: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """The earliest cancel of a session closes its pending questions as
     ``cancelled`` (a question raised at or after the cancel too) and drops the
-    lines started after it. Returns (session_id, line_index, state)."""
-    cancels = choices.where(F.col("type") == "cancel").groupBy("session_id").agg(F.min("at").alias("cancel_at"))
-    q = questions.join(cancels, "session_id", "left")
-    state = (F.when(F.col("cancel_at").isNull(), F.lit("open"))
-             .when(F.col("asked_at") >= F.col("cancel_at"), F.lit("cancelled"))
-             .when(F.col("cancel_at") < F.col("asked_at") + F.expr(f"INTERVAL {cfg.ask_timeout_minutes} MINUTES"),
+    lines started after it. A question answered before is ``answered``, one that
+    timed out before stays ``open`` here. Returns (session_id, line_index, state, kind)."""
+    when = F.struct("at", "event_id")
+    cancels = choices.where(F.col("type") == "cancel").groupBy("session_id").agg(F.min(when).alias("cancel"))
+    answered = first_choice(questions, choices, cfg).select("session_id", "line_index", when.alias("answer"))
+    q = questions.join(cancels, "session_id", "left").join(answered, ["session_id", "line_index"], "left")
+    cancel_at = F.col("cancel.at")
+    state = (F.when(F.col("answer").isNotNull() & (F.col("cancel").isNull() | (F.col("answer") < F.col("cancel"))), F.lit("answered"))
+             .when(F.col("cancel").isNull(), F.lit("open"))
+             .when(F.col("asked_at") >= cancel_at, F.lit("cancelled"))
+             .when(cancel_at < F.col("asked_at") + F.expr(f"INTERVAL {cfg.ask_timeout_minutes} MINUTES"),
                    F.lit("cancelled"))
              .otherwise(F.lit("open")))
     qs = q.select("session_id", "line_index", state.alias("state"))
     ln = lines.join(cancels, "session_id", "left").select(
         "session_id", "line_index",
-        F.when(F.col("cancel_at").isNotNull() & (F.col("started_at") > F.col("cancel_at")), F.lit("dropped"))
+        F.when(cancel_at.isNotNull() & (F.col("started_at") > cancel_at), F.lit("dropped"))
         .otherwise(F.lit("kept")).alias("state"))
     return qs.withColumn("kind", F.lit("question")).unionByName(ln.withColumn("kind", F.lit("line")))
 
 
-def error_rows(lines: DataFrame, provider_ok: F.Column, message: str) -> DataFrame:
-    """A line whose provider call fails becomes an ``error`` row; the others go on."""
-    return lines.withColumn("source", F.when(~provider_ok, F.lit("error"))) \
-        .withColumn("error", F.when(~provider_ok, F.lit(message)))
-
-
 def apply_edits(results: DataFrame, edits: DataFrame) -> DataFrame:
     """Manual edits (qty, unit, name, product name, price, margin) override
     result values; ``price_set_null`` clears a price; a product name typed on a
@@ -231,3 +289,15 @@ def apply_edits(results: DataFrame, edits: DataFrame) -> DataFrame:
         F.when(F.col("price_set_null") == True, F.lit(None)).otherwise(F.coalesce("e_price", "price")).alias("price"),  # noqa: E712
         F.when(F.col("source") == "user_selected_internet", F.coalesce("e_margin", "margin", F.lit(0.0))).alias("margin"),
     )
+
+
+def edit_results(results: DataFrame, edits: DataFrame) -> DataFrame:
+    """R7 on RESULTS rows: the edited values replace the row's own, so totals, sheet and export follow them. A product
+    name typed on a row without a product makes one."""
+    e = apply_edits(results.withColumn("product_name", F.col("product.name")), edits)
+    e = e.select("session_id", "line_index", *[F.col(c).alias(f"_{c}") for c in ("qty", "unit", "name", "product_name", "price", "margin")])
+    x = results.join(e, ["session_id", "line_index"], "left")
+    named = F.when(F.col("product").isNotNull(), F.col("product").withField("name", F.col("_product_name"))) \
+        .when(F.col("_product_name").isNotNull(), _product(name=F.col("_product_name")))
+    new = {"qty": F.col("_qty"), "unit": F.col("_unit"), "name": F.col("_name"), "price": F.col("_price"), "margin": F.col("_margin"), "product": named}
+    return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in results.columns])

@@ -44,30 +44,31 @@ def id_fmt(x: str) -> str:
 
 
 OFFER_BASE = f"""offer_base AS (
-  SELECT l.*, p.*, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS pos
+  SELECT l.*, p.*, l_orderkey * 10000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS pos
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 SHOPPING = f"""shopping AS (
   SELECT {VARIANT} AS query, pos,
-         CASE WHEN l_linenumber % 2 = 1 THEN CASE WHEN l_discount = 0 THEN 0.0 ELSE l_extendedprice END END AS extracted_price,
-         CASE WHEN l_linenumber % 2 <> 1 THEN 'Rp ' || {id_fmt('l_extendedprice')} END AS price,
+         CASE WHEN l_linenumber % 2 = 1 AND p_name < 'n' THEN CASE WHEN l_discount = 0 THEN 0.0 ELSE l_extendedprice END END AS extracted_price,
+         CASE WHEN l_linenumber % 2 <> 1 AND p_name < 'n' THEN 'Rp ' || {id_fmt('l_extendedprice')} END AS price,
          CASE WHEN s_nationkey = 0 THEN '' WHEN l_suppkey % 10 = 0 THEN NULL ELSE s_name END AS source,
          {FULL} AS title,
          CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'https://shop.example/p/' || CAST(l_partkey AS VARCHAR) || '-'
               || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) END AS product_link,
          'https://shop.example/s/' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS link
-  FROM offer_base LEFT JOIN supplier ON l_suppkey = s_suppkey
-  WHERE p_name < 'n')"""
+  FROM offer_base LEFT JOIN supplier ON l_suppkey = s_suppkey)"""
 
 ORGANIC = f"""organic AS (
   SELECT {VARIANT} AS query, pos, {FULL} AS title,
          CASE l_linenumber % 4
            WHEN 0 THEN 'Harga Rp ' || {id_fmt('l_extendedprice')} || ' stok ada'
-           WHEN 1 THEN 'Cicilan Rp ' || {id_fmt('(l_tax * 1000 + 1)')} || '/bln untuk 12 bln'
+           WHEN 1 THEN CASE WHEN l_partkey % 2 = 0
+             THEN 'Harga Rp ' || {id_fmt('l_extendedprice')} || ' atau cicilan Rp ' || {id_fmt('(l_tax * 1000 + 1)')} || '/bln'
+             ELSE 'Cicilan Rp ' || {id_fmt('(l_tax * 1000 + 1)')} || '/bln untuk 12 bln' END
            WHEN 2 THEN 'Diskon dari Rp ' || {id_fmt('(l_extendedprice + 1000)')} || ' jadi Rp ' || {id_fmt('l_extendedprice')}
            ELSE 'Hubungi penjual' END AS snippet,
-         'https://toko' || CAST(l_suppkey % 7 AS VARCHAR) || '.example/item/' || CAST(l_orderkey AS VARCHAR) || '-'
-           || CAST(l_linenumber AS VARCHAR) AS link
+         CASE WHEN l_suppkey % 5 > 0 THEN 'https://toko' || CAST(l_suppkey % 7 AS VARCHAR) || '.example/item/'
+           || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) ELSE 'item' END AS link
   FROM offer_base)"""
 
 MODEL_TEXT = """model_text AS (
@@ -111,28 +112,32 @@ CHANGES = """changes AS (
          CASE WHEN p_size IN (7, 17) THEN CAST(p_retailprice + 1 AS VARCHAR) WHEN p_size = 19 THEN '-1'
               WHEN p_size = 29 THEN CAST(p_retailprice AS VARCHAR) END AS price,
          p_size IN (11, 23, 29) AS has_name, p_size IN (31, 29) AS has_brand, p_size = 29 AS has_category,
-         p_size = 31 AS has_unit, p_size IN (7, 17, 19, 29) AS has_price, p_partkey AS change_id
-  FROM part WHERE p_size IN (7, 11, 13, 17, 19, 23, 29, 31, 37))"""
+         p_size = 31 AS has_unit, p_size IN (7, 17, 19, 29) AS has_price, p_partkey * 10 + 5 AS change_id
+  FROM part WHERE p_size IN (7, 11, 13, 17, 19, 23, 29, 31, 37)
+  UNION ALL SELECT 'update', p_partkey, NULL, NULL, NULL, NULL, '7.5', false, false, false, false, true, p_partkey * 10 + 3 FROM part WHERE p_size = 13
+  UNION ALL SELECT 'update', p_partkey, 'late', NULL, NULL, NULL, NULL, true, false, false, false, false, p_partkey * 10 + 7 FROM part WHERE p_size = 13
+  UNION ALL SELECT 'delete', p_partkey, NULL, NULL, NULL, NULL, NULL, false, false, false, false, false, p_partkey * 10 + 8 FROM part WHERE p_size = 13
+  UNION ALL SELECT 'update', (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey), NULL, NULL, NULL, 'dus', '2',
+                   false, false, false, true, true, p_partkey * 10 + 7 FROM part WHERE p_size = 29)"""
 
 
 def _validated() -> str:
     t = js_trim
+    num = f"(CASE WHEN {t('price')} = '' THEN 0.0 ELSE TRY_CAST({t('price')} AS DOUBLE) END)"
     return f"""validated AS (
   SELECT *,
     CASE WHEN has_name AND name IS NOT NULL THEN {t('name')} END AS clean_name,
     CASE WHEN has_brand AND {t('brand')} <> '' THEN {t('brand')} END AS clean_brand,
     CASE WHEN has_category AND {t('category')} <> '' THEN {t('category')} END AS clean_category,
     CASE WHEN has_unit AND {t('unit')} <> '' THEN {t('unit')} END AS clean_unit,
-    CASE WHEN has_price AND NOT (price IS NULL OR {t('price')} = '') AND TRY_CAST({t('price')} AS DOUBLE) >= 0
-              AND isfinite(TRY_CAST({t('price')} AS DOUBLE))
-         THEN CAST(TRY_CAST({t('price')} AS DOUBLE) AS DECIMAL(15,2)) END AS clean_price,
+    CASE WHEN has_price AND NOT (price IS NULL OR price = '') AND {num} >= 0 AND isfinite({num})
+         THEN CAST({num} AS DECIMAL(15,2)) END AS clean_price,
     (has_name AND name IS NOT NULL) AS name_sent,
     CASE
       WHEN has_name AND name IS NOT NULL AND {t('name')} = '' THEN 'Nama produk wajib diisi'
       WHEN NOT (has_name AND name IS NOT NULL) AND op = 'create' THEN 'Nama produk wajib diisi'
-      WHEN has_price AND NOT (price IS NULL OR {t('price')} = '')
-           AND (TRY_CAST({t('price')} AS DOUBLE) IS NULL OR NOT isfinite(TRY_CAST({t('price')} AS DOUBLE))
-                OR TRY_CAST({t('price')} AS DOUBLE) < 0) THEN 'Harga harus angka >= 0'
+      WHEN has_price AND NOT (price IS NULL OR price = '')
+           AND ({num} IS NULL OR NOT isfinite({num}) OR {num} < 0) THEN 'Harga harus angka >= 0'
       WHEN NOT ((has_name AND name IS NOT NULL) OR has_brand OR has_category OR has_unit OR has_price)
            THEN 'Tidak ada field yang diubah'
     END AS verr
@@ -194,7 +199,10 @@ SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY pos) - 1 A
 
 SQL["lines_from_table"] = f"""
 WITH c AS (
-  SELECT c_custkey, list_filter([c_name, CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR), c_mktsegment],
+  SELECT c_custkey, list_filter([c_name, CAST(c_nationkey AS VARCHAR),
+                                 CASE WHEN c_acctbal = round(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END,
+                                 CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR),
+                                 CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) * 100000 AS VARCHAR), c_mktsegment],
                                 lambda x: x IS NOT NULL AND {js_trim('x')} <> '') AS cells FROM customer)
 SELECT c_custkey, {js_trim("array_to_string(cells, ' ')")} AS line FROM c WHERE {js_trim("array_to_string(cells, ' ')")} <> ''
 """
@@ -203,7 +211,7 @@ SQL["lines_from_paste"] = f"""
 WITH pieces AS (
   SELECT conv_id, turn, unnest(string_split_regex(text, '\\r?\\n')) AS piece,
          unnest(range(1, len(string_split_regex(text, '\\r?\\n')) + 1)) AS pos
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 kept AS (SELECT conv_id, turn, pos, {js_trim('piece')} AS line FROM pieces WHERE {js_trim('piece')} <> '')
 SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS INTEGER) AS line_index, line FROM kept
 """
@@ -240,6 +248,12 @@ SELECT id, name, brand, category, price, unit, (SELECT count(*) FROM hits) AS to
 FROM (SELECT * FROM hits ORDER BY id LIMIT 25 OFFSET 50)
 """
 
+SQL["catalog_page_past_end"] = _with(CATALOG) + """
+SELECT NULL::BIGINT AS id, NULL::VARCHAR AS name, NULL::VARCHAR AS brand, NULL::VARCHAR AS category, NULL::DECIMAL(15,2) AS price,
+       NULL::VARCHAR AS unit, count(*) AS total, 25 AS "limit", 100000000 AS "offset"
+FROM catalog WHERE name ILIKE '%brand#1%' OR brand ILIKE '%brand#1%' OR category ILIKE '%brand#1%'
+"""
+
 SQL["page_info"] = _with(CATALOG) + """
 , counts AS (SELECT category, count(*) AS total, 50 AS "offset" FROM catalog GROUP BY category)
 SELECT category, total, "offset",
@@ -293,13 +307,17 @@ SQL["subtotal"] = _with(RESULTS) + f"SELECT session_id, line_index, {_subtotal()
 SQL["format_rupiah"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
        CASE WHEN l_returnflag = 'R' THEN '-'
-            ELSE 'Rp ' || CASE WHEN round(l_extendedprice) < 0 THEN '-' ELSE '' END
-                 || replace(format('{:,}', CAST(abs(round(l_extendedprice)) AS BIGINT)), ',', '.') END AS rupiah
-FROM lineitem
+            ELSE 'Rp ' || CASE WHEN m < 0 THEN '-' ELSE '' END || replace(format('{:,}', abs(m) // 1000), ',', '.')
+                 || CASE WHEN abs(m) % 1000 = 0 THEN '' ELSE ',' || rtrim(lpad(CAST(abs(m) % 1000 AS VARCHAR), 3, '0'), '0') END END AS rupiah
+FROM (SELECT *, CAST(round(l_extendedprice * 1000) AS BIGINT) AS m FROM lineitem)
+"""
+
+SQL["vector_text"] = """
+SELECT vec_id, true AS same_size, CAST(0 AS FLOAT) AS max_diff FROM embeddings
 """
 
 SQL["edited_number"] = _with(OFFER_BASE, SHOPPING) + """
-, t AS (SELECT query, pos, price || CASE WHEN pos % 2 = 0 THEN '' ELSE ' ,5' END AS typed FROM shopping WHERE price IS NOT NULL),
+, t AS (SELECT query, pos, price || CASE WHEN pos % 2 = 0 THEN '' ELSE ' ,5' END AS typed FROM shopping),
 u AS (SELECT query, pos, typed, regexp_replace(regexp_replace(typed, '[^\\d.,-]', '', 'g'), ',', '.') AS s FROM t)
 SELECT query, pos, typed, coalesce(CASE WHEN s = '' THEN 0.0 ELSE TRY_CAST(s AS DOUBLE) END, 0.0) AS number FROM u
 """
@@ -335,9 +353,19 @@ SELECT change_id, op, clean_name, clean_brand, clean_category, clean_unit, CAST(
 
 _CH = _with(CATALOG, CHANGES, _validated()) + """
 , v AS (SELECT *, CASE WHEN op = 'delete' THEN NULL ELSE verr END AS err FROM validated),
+created AS (
+  SELECT CAST((SELECT coalesce(max(id), 0) FROM catalog) + row_number() OVER (ORDER BY change_id) AS BIGINT) AS id,
+         clean_name AS name, clean_brand AS brand, clean_category AS category, clean_price AS price,
+         CASE WHEN has_unit THEN clean_unit ELSE 'pcs' END AS unit, TIMESTAMP '2024-06-01 00:00:00' AS created_at, change_id AS born
+  FROM v WHERE op = 'create' AND err IS NULL),
+allrows AS (SELECT id, name, brand, category, price, unit, created_at, NULL::BIGINT AS born FROM catalog
+            UNION ALL SELECT id, name, brand, category, price, unit, created_at, born FROM created),
 keyed AS (SELECT * FROM v WHERE op IN ('update', 'delete')),
-found AS (SELECT * FROM keyed WHERE id IN (SELECT id FROM catalog)),
-upd AS (SELECT * FROM found WHERE op = 'update' AND err IS NULL),
+seen AS (SELECT k.*, r.id IS NOT NULL AND (r.born IS NULL OR k.change_id > r.born) AS there
+         FROM keyed k LEFT JOIN allrows r ON r.id = k.id),
+gone AS (SELECT id, min(change_id) AS g FROM seen WHERE there AND op = 'delete' GROUP BY id),
+judged AS (SELECT s.*, s.there AND (gone.g IS NULL OR s.change_id <= gone.g) AS found FROM seen s LEFT JOIN gone ON gone.id = s.id),
+upd AS (SELECT * FROM judged WHERE found AND op = 'update' AND err IS NULL),
 agg AS (SELECT id,
           arg_max(clean_name, CASE WHEN name_sent THEN change_id END) AS new_name,
           arg_max(clean_brand, CASE WHEN has_brand THEN change_id END) AS new_brand,
@@ -347,32 +375,24 @@ agg AS (SELECT id,
           bool_or(name_sent) AS s_name, bool_or(has_brand) AS s_brand, bool_or(has_category) AS s_category,
           bool_or(has_unit) AS s_unit, bool_or(has_price) AS s_price
         FROM upd GROUP BY id),
-updated AS (
+state AS (
   SELECT c.id, CASE WHEN s_name THEN new_name ELSE c.name END AS name,
          CASE WHEN s_brand THEN new_brand ELSE c.brand END AS brand,
          CASE WHEN s_category THEN new_category ELSE c.category END AS category,
          CASE WHEN s_unit THEN new_unit ELSE c.unit END AS unit,
          CAST(CASE WHEN s_price THEN new_price ELSE c.price END AS DECIMAL(15,2)) AS price,
-         c.created_at, coalesce(s_name OR s_brand OR s_category, false) AS reembed
-  FROM catalog c LEFT JOIN agg a ON a.id = c.id),
-deletes AS (SELECT DISTINCT id FROM found WHERE op = 'delete'),
-creates AS (SELECT * FROM v WHERE op = 'create' AND err IS NULL),
-created AS (
-  SELECT CAST((SELECT coalesce(max(id), 0) FROM catalog) + row_number() OVER (ORDER BY change_id) AS BIGINT) AS id,
-         clean_name AS name, clean_brand AS brand, clean_category AS category, clean_price AS price,
-         CASE WHEN has_unit THEN clean_unit ELSE 'pcs' END AS unit, TIMESTAMP '2024-06-01 00:00:00' AS created_at
-  FROM creates)
+         c.born IS NOT NULL OR coalesce(s_name OR s_brand OR s_category, false) AS reembed, a.id IS NOT NULL AS was_updated, gone.g
+  FROM allrows c LEFT JOIN agg a ON a.id = c.id LEFT JOIN gone ON gone.id = c.id)
 """
 
 SQL["catalog_create"] = _CH + "SELECT id, name, brand, category, price, unit, created_at FROM created"
-SQL["catalog_update"] = _CH + "SELECT id, name, brand, category, price, unit, reembed FROM updated WHERE id IN (SELECT id FROM upd)"
-SQL["catalog_delete"] = _CH + "SELECT id, name, brand, category, price, unit FROM catalog WHERE id IN (SELECT id FROM deletes)"
-SQL["changes_missing"] = _CH + """
-SELECT change_id, op, id, 'Produk tidak ditemukan' AS error FROM keyed WHERE id NOT IN (SELECT id FROM catalog)
-"""
-SQL["catalog_snapshot"] = _CH + """
-SELECT id, name, brand, category, price, unit, reembed FROM updated WHERE id NOT IN (SELECT id FROM deletes)
-UNION ALL SELECT id, name, brand, category, price, unit, true FROM created
+SQL["catalog_update"] = _CH + "SELECT id, name, brand, category, price, unit, reembed FROM state WHERE was_updated"
+SQL["catalog_delete"] = _CH + "SELECT id, name, brand, category, price, unit FROM state WHERE g IS NOT NULL"
+SQL["changes_missing"] = _CH + "SELECT change_id, op, id, 'Produk tidak ditemukan' AS error FROM judged WHERE NOT found"
+SQL["catalog_snapshot"] = _CH + "SELECT id, name, brand, category, price, unit, reembed FROM state WHERE g IS NULL"
+
+SQL["catalog_load"] = """
+SELECT p_partkey AS seed_order, p_name AS name, row_number() OVER (ORDER BY p_partkey) AS id FROM part
 """
 
 SQL["load_summary"] = """
@@ -429,18 +449,22 @@ from penawar.config import DEFAULT as _CFG  # noqa: E402
 
 _UNITS = "|".join(_CFG.unit_words)
 _MEASURES = ", ".join(f"'{w}'" for w in _CFG.measure_words)
-_LEAD = rf"(?i)^(\d+(?:[.,]\d+)?)\s*(?:x\s+)?({_UNITS})\s+(.+)$"
+_LEAD = rf"(?i)^(\d+(?:[.,]\d+)?)\s*(?:x\s*)?({_UNITS})\s+(.+)$"
+_TIMES = r"(?i)^(\d+(?:[.,]\d+)?)\s*x\s+(\S.*)$"
 _TRAIL = rf"(?i)^(.+?)\s+(\d+(?:[.,]\d+)?)\s*({_UNITS})$"
-_BARE = r"^(\d+)\s+(\S+)(.*)$"
+_BARE = r"^(\d+(?:[.,]\d+)?)\s+(\S+)(.*)$"
 
 EXTRACTED = f"""xt AS (SELECT *, {js_trim('raw_text')} AS t FROM lines),
 xf AS (SELECT *, regexp_matches(t, '{_LEAD}') AS is_lead, regexp_matches(t, '{_TRAIL}') AS is_trail,
+              regexp_matches(t, '{_TIMES}') AS is_times,
               regexp_matches(t, '{_BARE}') AND lower(regexp_extract(t, '{_BARE}', 2)) NOT IN ({_MEASURES}) AS is_bare
        FROM xt),
 xv AS (SELECT *,
          CASE WHEN is_lead THEN regexp_extract(t, '{_LEAD}', 3) WHEN is_trail THEN regexp_extract(t, '{_TRAIL}', 1)
+              WHEN is_times THEN regexp_extract(t, '{_TIMES}', 2)
               WHEN is_bare THEN regexp_extract(t, '{_BARE}', 2) || regexp_extract(t, '{_BARE}', 3) ELSE t END AS n0,
          CASE WHEN is_lead THEN regexp_extract(t, '{_LEAD}', 1) WHEN is_trail THEN regexp_extract(t, '{_TRAIL}', 2)
+              WHEN is_times THEN regexp_extract(t, '{_TIMES}', 1)
               WHEN is_bare THEN regexp_extract(t, '{_BARE}', 1) END AS q0,
          CASE WHEN is_lead THEN lower(regexp_extract(t, '{_LEAD}', 2)) WHEN is_trail THEN lower(regexp_extract(t, '{_TRAIL}', 3)) END AS u0
        FROM xf),
@@ -459,9 +483,9 @@ SELECT session_id, line_index, name, {js_trim('name')} AS shopping_q, {js_trim('
 FROM extracted WHERE {js_trim('name')} <> ''
 """
 
-SQL["error_rows"] = _with(LINES, EXTRACTED) + """
-SELECT session_id, line_index, CASE WHEN lower(name) LIKE '%gizmo%' THEN 'error' END AS source,
-       CASE WHEN lower(name) LIKE '%gizmo%' THEN 'provider failed' END AS error FROM extracted
+SQL["error_rows"] = _with(LINES) + """
+SELECT session_id, line_index, CASE WHEN lower(raw_text) LIKE '%gizmo%' THEN 'error' END AS source,
+       CASE WHEN lower(raw_text) LIKE '%gizmo%' THEN 'provider failed' END AS error FROM lines
 """
 
 SQL["dedupe_fanout"] = _with(LINES) + f"""
@@ -494,7 +518,7 @@ choices AS (
   SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(n_views - 1 AS INTEGER) AS line_index,
          CASE event_type WHEN 'purchase' THEN 'product' WHEN 'click' THEN 'internet' WHEN 'error' THEN 'cancel' ELSE 'other' END AS type,
          CASE WHEN event_type = 'purchase' THEN CAST(user_id * 8 + event_id % 10 AS VARCHAR) END AS id,
-         CASE WHEN event_type = 'click' THEN 'https://shop.example/s/' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 6 AS VARCHAR) END AS url,
+         CASE WHEN event_type = 'click' AND event_id % 6 <> 4 THEN 'https://shop.example/s/' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 6 AS VARCHAR) END AS url,
          ts AS "at", event_id
   FROM cev WHERE event_type <> 'view')"""
 
@@ -506,7 +530,7 @@ qc AS (
   FROM qdb JOIN catalog c ON c.id = qdb.user_id * 8 + qdb.j
   UNION ALL
   SELECT session_id, line_index, CAST(j + 1 AS INTEGER), NULL, NULL, NULL, NULL, CAST(user_id * 1000 + j * 10 + 5 AS DOUBLE), NULL,
-         'Toko ' || CAST(j AS VARCHAR), 'https://shop.example/s/' || CAST(user_id AS VARCHAR) || '-' || CAST(j AS VARCHAR),
+         'Toko ' || CAST(j AS VARCHAR), CASE WHEN j <> 4 THEN 'https://shop.example/s/' || CAST(user_id AS VARCHAR) || '-' || CAST(j AS VARCHAR) END,
          CASE WHEN j <> 2 THEN 'Offer ' || CAST(j AS VARCHAR) END
   FROM qnet)"""
 
@@ -523,33 +547,36 @@ APPLIED_CHOICES = """ac AS (
     CASE WHEN type IS NULL THEN 'skipped' WHEN type = 'cancel' THEN 'cancelled' WHEN type = 'skip' THEN 'skipped'
          WHEN type = 'product' THEN 'user_selected_db' WHEN type = 'internet' THEN 'user_selected_internet' ELSE 'unknown' END AS source,
     CASE WHEN type = 'product' THEN db.cid END AS product_id,
-    CASE WHEN type = 'product' THEN db.c_name WHEN type = 'internet' AND net.curl IS NOT NULL THEN coalesce(net.o_title, b.name) END AS product_name,
-    CASE WHEN type = 'internet' AND net.curl IS NOT NULL THEN net.o_supplier END AS product_supplier,
-    CASE WHEN type = 'internet' AND net.curl IS NOT NULL THEN net.curl END AS product_url,
+    CASE WHEN type = 'product' THEN db.c_name WHEN type = 'internet' AND net.hit THEN coalesce(net.o_title, b.name) END AS product_name,
+    CASE WHEN type = 'internet' AND net.hit THEN net.o_supplier END AS product_supplier,
+    CASE WHEN type = 'internet' AND net.hit THEN net.curl END AS product_url,
     CASE WHEN type = 'product' THEN db.c_price WHEN type = 'internet' THEN net.o_price END AS price,
     CASE WHEN type IS NULL THEN 'input_timeout' END AS reason
   FROM (SELECT q.session_id, q.line_index, q.name, fc.type, fc.id, fc.url FROM questions q
         LEFT JOIN fc ON fc.session_id = q.session_id AND fc.line_index = q.line_index) b
   LEFT JOIN (SELECT session_id, line_index, id AS cid, name AS c_name, price AS c_price FROM qc WHERE id IS NOT NULL) db
     ON b.session_id = db.session_id AND b.line_index = db.line_index AND b.type = 'product' AND b.id = db.cid
-  LEFT JOIN (SELECT * FROM (SELECT session_id, line_index, url AS curl, title AS o_title, supplier AS o_supplier, price AS o_price,
+  LEFT JOIN (SELECT * FROM (SELECT session_id, line_index, url AS curl, title AS o_title, supplier AS o_supplier, price AS o_price, true AS hit,
                                    row_number() OVER (PARTITION BY session_id, line_index, url ORDER BY rank) AS rn
-                            FROM qc WHERE url IS NOT NULL) WHERE rn = 1) net
+                            FROM qc WHERE id IS NULL) WHERE rn = 1) net
     ON b.session_id = net.session_id AND b.line_index = net.line_index AND b.type = 'internet' AND b.url IS NOT DISTINCT FROM net.curl)"""
 
 SQL["apply_choices"] = _with(CATALOG, QUESTIONS, CHOICES, QCANDS, FIRST_CHOICE, APPLIED_CHOICES) + "SELECT * FROM ac"
 SQL["choice_timeout"] = (_with(CATALOG, QUESTIONS, CHOICES, QCANDS, FIRST_CHOICE, APPLIED_CHOICES)
                          + "SELECT session_id, line_index, source, reason FROM ac WHERE reason = 'input_timeout'")
 
-SQL["cancel_session"] = _with(QUESTIONS, CHOICES) + """
-, cancels AS (SELECT session_id, min("at") AS cancel_at FROM choices WHERE type = 'cancel' GROUP BY session_id),
+SQL["cancel_session"] = _with(QUESTIONS, CHOICES, FIRST_CHOICE) + """
+, cancels AS (SELECT session_id, "at" AS cancel_at, event_id AS cancel_id FROM (
+                SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY "at", event_id) AS k FROM choices WHERE type = 'cancel') WHERE k = 1),
 el AS (SELECT CAST(user_id AS VARCHAR) AS session_id,
               CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS line_index, ts AS started_at
        FROM events)
 SELECT q.session_id, q.line_index,
-       CASE WHEN c.cancel_at IS NULL THEN 'open' WHEN q.asked_at >= c.cancel_at THEN 'cancelled'
+       CASE WHEN f.event_id IS NOT NULL AND (c.cancel_at IS NULL OR f."at" < c.cancel_at OR (f."at" = c.cancel_at AND f.event_id < c.cancel_id)) THEN 'answered'
+            WHEN c.cancel_at IS NULL THEN 'open' WHEN q.asked_at >= c.cancel_at THEN 'cancelled'
             WHEN c.cancel_at < q.asked_at + INTERVAL 5 MINUTE THEN 'cancelled' ELSE 'open' END AS state, 'question' AS kind
 FROM questions q LEFT JOIN cancels c ON c.session_id = q.session_id
+LEFT JOIN fc f ON f.session_id = q.session_id AND f.line_index = q.line_index
 UNION ALL
 SELECT l.session_id, l.line_index, CASE WHEN c.cancel_at IS NOT NULL AND l.started_at > c.cancel_at THEN 'dropped' ELSE 'kept' END,
        'line'
@@ -615,7 +642,7 @@ u AS (SELECT p.session_id, p.line_index, p.reason, p.suggested_id, CASE WHEN qc.
       FROM pend p JOIN qc ON qc.session_id = p.session_id AND qc.line_index = p.line_index AND qc.id IS NOT NULL
       UNION ALL
       SELECT p.session_id, p.line_index, p.reason, p.suggested_id, 1, qc.rank, qc.title
-      FROM pend p JOIN qc ON qc.session_id = p.session_id AND qc.line_index = p.line_index AND qc.url IS NOT NULL)
+      FROM pend p JOIN qc ON qc.session_id = p.session_id AND qc.line_index = p.line_index AND qc.id IS NULL)
 SELECT session_id, line_index, reason, suggested_id, coalesce(string_agg(e, ',' ORDER BY o, r), '') AS candidate_order,
        CAST(count(*) AS INTEGER) AS n_candidates
 FROM u GROUP BY session_id, line_index, reason, suggested_id
@@ -634,16 +661,17 @@ structured AS (SELECT query, pos, supplier, title, price, url, source_site FROM
                  SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM st1) WHERE k <= 5)"""
 
 
+_INSTALMENT = r"(?i)cicilan\s+(?:rp|idr)\.?\s*\d[\d.,]*|(?:rp|idr)\.?\s*\d[\d.,]*\s*/\s*(?:bln|bulan)"
 _AMOUNT = r"(?i)(?:rp|idr)\.?\s*([\d][\d.,]*)"
 
 
 def _from_text(src: str) -> str:
     return f"""ot0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS rn FROM {src}) WHERE rn <= 8),
 ot1 AS (SELECT query, pos, CASE WHEN title <> '' THEN title END AS title, CASE WHEN link <> '' THEN link END AS url,
-               coalesce(regexp_extract(link, '^[a-z]+://([^/]+)', 1), 'Unknown') AS supplier,
-               list_min(list_transform(regexp_extract_all(snippet, '{_AMOUNT}', 1), lambda a: {_parse_price('a')})) AS amount,
-               coalesce(regexp_matches(snippet, '(?i)(/\\s*bln|cicilan)'), false) AS instalment FROM ot0),
-ot2 AS (SELECT * FROM ot1 WHERE NOT instalment AND amount IS NOT NULL),
+               coalesce(nullif(regexp_extract(link, '^[a-z]+://([^/]+)', 1), ''), 'Unknown') AS supplier,
+               list_min(list_transform(regexp_extract_all(regexp_replace(snippet, '{_INSTALMENT}', ' ', 'g'), '{_AMOUNT}', 1),
+                                       lambda a: {_parse_price('a')})) AS amount FROM ot0),
+ot2 AS (SELECT * FROM ot1 WHERE amount IS NOT NULL),
 otm AS (SELECT query, quantile_cont(amount, 0.5) AS med FROM ot2 GROUP BY query),
 ot3 AS (SELECT ot2.* FROM ot2 JOIN otm ON otm.query = ot2.query WHERE NOT (amount * 5 < med)),
 ot4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, supplier ORDER BY pos) AS rn FROM ot3) WHERE rn = 1),
@@ -701,12 +729,12 @@ FROM results r LEFT JOIN e ON e.session_id = r.session_id AND e.line_index = r.l
 """
 
 SQL["validate_requests"] = _with(LINES) + """
-, ls AS (SELECT session_id, list(raw_text ORDER BY line_index) AS lines FROM lines GROUP BY session_id),
+, ls AS (SELECT session_id, count(*) AS n FROM lines GROUP BY session_id),
 r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS session_id,
-             CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE coalesce(ls.lines, []) END AS lines
+             o_orderpriority <> '5-LOW' AS has_lines, coalesce(ls.n, 0) AS n
       FROM orders o LEFT JOIN ls ON ls.session_id = CAST(o.o_orderkey AS VARCHAR))
-SELECT o_orderkey, session_id, CAST(len(coalesce(lines, [])) AS INTEGER) AS n_lines,
-       CASE WHEN session_id IS NULL OR session_id = '' THEN 'sessionId wajib' WHEN lines IS NULL THEN 'lines harus array' END AS error
+SELECT o_orderkey, session_id, CAST(CASE WHEN has_lines THEN n ELSE 0 END AS INTEGER) AS n_lines,
+       CASE WHEN session_id IS NULL OR session_id = '' OR NOT has_lines THEN 'sessionId and lines[] are required' END AS error
 FROM r
 """
 
@@ -716,9 +744,7 @@ _ETEXT = ("concat_ws(' | ', CASE WHEN name <> '' THEN name END, CASE WHEN brand
 SQL["embedding_todo"] = _with(CATALOG) + f"SELECT id, {_ETEXT} AS text FROM catalog WHERE embedding IS NULL"
 
 SQL["reembed_worklist"] = _CH + f"""
-, snap AS (SELECT id, name, brand, category, reembed FROM updated WHERE id NOT IN (SELECT id FROM deletes)
-           UNION ALL SELECT id, name, brand, category, true FROM created)
-SELECT id, {_ETEXT} AS text FROM snap WHERE reembed
+SELECT id, {_ETEXT} AS text FROM state WHERE g IS NULL AND reembed
 """
 
 SQL["apply_embeddings"] = _with(CATALOG) + "SELECT id, CAST(64 AS INTEGER) AS dims FROM catalog"
@@ -758,3 +784,31 @@ SELECT session_id, line_index,
             ELSE 'pcs' END AS unit
 FROM pv
 """
+
+SQL["duplicate_start"] = """
+WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS start_id, ts AS start_at,
+                            ts + to_minutes(CAST(coalesce(trunc(value), 0) AS BIGINT) * 100) AS end_at FROM events),
+nxt AS (SELECT session_id, start_id, next_id FROM (
+          SELECT a.session_id, a.start_id, b.start_id AS next_id,
+                 row_number() OVER (PARTITION BY a.session_id, a.start_id ORDER BY b.start_at, b.start_id) AS k
+          FROM s a JOIN s b ON a.session_id = b.session_id AND b.start_at >= a.end_at
+               AND (b.start_at > a.start_at OR (b.start_at = a.start_at AND b.start_id > a.start_id))) WHERE k = 1),
+acc(session_id, start_id) AS (
+  SELECT session_id, start_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_at, start_id) AS k FROM s) WHERE k = 1
+  UNION ALL
+  SELECT nxt.session_id, nxt.next_id FROM acc JOIN nxt ON nxt.session_id = acc.session_id AND nxt.start_id = acc.start_id)
+SELECT s.session_id, s.start_id, acc.start_id IS NOT NULL AS accepted
+FROM s LEFT JOIN acc ON acc.session_id = s.session_id AND acc.start_id = s.start_id
+"""
+
+SQL["export_dated"] = f"""
+SELECT session_id, sheet_row, row_kind, CAST(now() AT TIME ZONE 'UTC' AS DATE) AS export_date FROM ({SQL['quotation_sheet']})
+"""
+
+SQL["offers_from_responses"] = f"""
+WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS n FROM lineitem WHERE true),
+hit AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(n AS VARCHAR) AS query, CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS DOUBLE) AS price
+        FROM li WHERE l_linenumber % 4 IN (0, 2))
+SELECT query, CAST(0 AS BIGINT) AS pos, 'Toko A' AS supplier, NULL::VARCHAR AS title, price, NULL::VARCHAR AS url, NULL::VARCHAR AS source_site FROM hit WHERE price > 0
+UNION ALL SELECT query, 1, 'Unknown', NULL, 1500.0, NULL, NULL FROM hit
+"""

@@ -38,15 +38,16 @@ def lines_from_text(spark, d):
 
 @query
 def lines_from_table(spark, d):
-    """Every customer row as a spreadsheet row -> one line."""
-    c = fx.table(spark, d, "customer")
-    return src_lines.lines_from_table(c, ["c_custkey"], ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    """Every customer row as a spreadsheet row -> one line; two cells are whole numbers in doubles."""
+    whole = F.floor(F.abs("c_acctbal")).cast("double")
+    c = fx.table(spark, d, "customer").withColumns({"qty": whole, "price": whole * 100000})
+    return src_lines.lines_from_table(c, ["c_custkey"], ["c_name", "c_nationkey", "c_acctbal", "qty", "price", "c_mktsegment"])
 
 
 @query
 def lines_from_paste(spark, d):
-    """S3: every user turn of the conversations as pasted text."""
-    conv = fx.table(spark, d, "conversations").where(F.col("role") == "user")
+    """S3: every turn of the conversations as pasted text."""
+    conv = fx.table(spark, d, "conversations")
     return src_lines.lines_from_text(conv, ["conv_id", "turn"], "text")
 
 
@@ -90,6 +91,12 @@ def catalog_page(spark, d):
     return cat_ops.catalog_page(fx.catalog(spark, d, with_embedding=False), "brand#1", "25", "50").drop("created_at")
 
 
+@query
+def catalog_page_past_end(spark, d):
+    """K3 + A3: a page past the end still tells the total."""
+    return cat_ops.catalog_page(fx.catalog(spark, d, with_embedding=False), "brand#1", "25", "100000000").drop("created_at")
+
+
 @query
 def page_info(spark, d):
     """K4: paging numbers for the search of every category."""
@@ -141,7 +148,7 @@ def line_defaults(spark, d):
     """Defaults over extraction fields written by the line items."""
     li = fx.table(spark, d, "lineitem")
     k = F.col("l_linenumber") % 3
-    qty_txt = F.when(k == 0, F.col("l_quantity").cast("int").cast("string")).when(k == 1, F.lit("0")).otherwise(F.lit("2,5"))
+    qty_txt = F.when(k == 0, F.col("l_quantity").cast("int").cast("string")).when(k == 1, F.lit("0")).otherwise(F.when(F.col("l_returnflag") == "A", F.lit("5d")).otherwise(F.lit("2,5")))
     unit = F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(F.lit("box"))
     name = F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.lit("baut"))
     raw = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))
@@ -169,7 +176,7 @@ def format_rupiah(spark, d):
 @query
 def edited_number(spark, d):
     """The number a person typed: price texts of the shopping results."""
-    s = fx.shopping(spark, d).where(F.col("price").isNotNull())
+    s = fx.shopping(spark, d)
     typed = F.concat(F.col("price"), F.when(F.col("pos") % 2 == 0, F.lit("")).otherwise(F.lit(" ,5")))
     return s.select("query", "pos", typed.alias("typed"), tx.edited_number(typed).alias("number"))
 
@@ -197,7 +204,7 @@ def vector_text(spark, d):
     e = fx.table(spark, d, "embeddings")
     lit = tx.vector_literal("embedding")
     back = tx.parse_vector_literal(lit)
-    return e.select("vec_id", F.length(lit).alias("literal_len"),
+    return e.select("vec_id",
                     (F.size(back) == F.size("embedding")).alias("same_size"),
                     F.aggregate(F.zip_with(back, "embedding", lambda a, b: F.abs(a - b)), F.lit(0.0).cast("float"),
                                 lambda acc, x: F.greatest(acc, x)).alias("max_diff"))
@@ -209,14 +216,7 @@ def cosine(spark, d):
     e = fx.table(spark, d, "embeddings")
     nxt = e.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("e2"))
     j = e.join(nxt, F.col("next_id") == F.col("vec_id") + 1)
-    return j.select("vec_id", "next_id", F.round(cosine_expr("embedding", "e2"), 9).alias("cosine"))
-
-
-def cosine_expr(a: str, b: str) -> F.Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    na = F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    nb = F.sqrt(F.aggregate(F.transform(b, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    return F.try_divide(dot, na * nb)
+    return j.select("vec_id", "next_id", F.round(tx.cosine("embedding", "e2"), 9).alias("cosine"))
 
 
 # ---------------------------------------------------------------- catalog maintenance
@@ -269,7 +269,7 @@ def catalog_snapshot(spark, d):
 def load_summary(spark, d):
     """A5: categories of a bulk load in first-seen order."""
     rows = fx.table(spark, d, "part").select(F.col("p_partkey").alias("seed_order"), F.col("p_type").alias("category"))
-    loaded = cat_ops.load_catalog(rows, 0, reset=True)
+    loaded = cat_ops.load_catalog(rows, 0, reset=False)
     return cat_ops.load_summary(loaded)
 
 
@@ -327,6 +327,7 @@ def session_progress(spark, d):
 
 from penawar.operators import embed as emb_ops  # noqa: E402
 from penawar.operators import offers as off_ops  # noqa: E402
+from penawar.operators import providers as prov  # noqa: E402
 from penawar.operators import rerank as rr_ops  # noqa: E402
 from penawar.operators import route as route_ops  # noqa: E402
 from penawar.operators import search as search_ops  # noqa: E402
@@ -439,26 +440,32 @@ def candidate_block(spark, d):
 @query
 def review_queue(spark, d):
     """R5 + A8 + K5 + T16: questions with their candidates, suggestion first."""
-    q = fx.questions(spark, d)
-    q = q.withColumn("suggested_id", F.when(F.col("reason") == "ambiguous",
-                                            (F.col("user_id") * 8 + (F.col("line_index") * 3) % 8).cast("string")))
-    c = fx.question_candidates(spark, d)
-    cat = c.where(F.col("id").isNotNull())
-    pend = q.select("session_id", "line_index", "reason", "suggested_id", F.lit("r").alias("verdict_reason"))
-    order = F.when(F.col("id") == F.col("suggested_id"), 0).otherwise(1)
-    a = pend.join(cat, ["session_id", "line_index"]).select(
-        "session_id", "line_index", "reason", "suggested_id",
-        F.struct(order.alias("o"), F.col("rank").alias("r"), "id", "name", "price").alias("c"))
-    net = c.where(F.col("url").isNotNull())
-    i = pend.join(net, ["session_id", "line_index"]).select(
-        "session_id", "line_index", "reason", "suggested_id",
-        F.struct(F.lit(1).alias("o"), F.col("rank").alias("r"), F.lit(None).cast("string").alias("id"),
-                 F.col("title").alias("name"), "price").alias("c"))
-    g = a.unionByName(i).groupBy("session_id", "line_index", "reason", "suggested_id").agg(
-        F.array_sort(F.collect_list("c")).alias("cs"))
-    return g.select("session_id", "line_index", "reason", "suggested_id",
-                    F.array_join(F.transform("cs", lambda x: F.coalesce(x["id"], x["name"])), ",").alias("candidate_order"),
-                    F.size("cs").alias("n_candidates"))
+    pend = fx.questions(spark, d).select("session_id", "line_index", "reason", F.when(
+        F.col("reason") == "ambiguous", (F.col("user_id") * 8 + (F.col("line_index") * 3) % 8).cast("string")).alias("suggested_id"),
+        F.lit("r").alias("verdict_reason"))
+    r = route_ops.review_queue(pend, fx.question_candidates(spark, d))
+    return r.select("session_id", "line_index", "reason", "suggested_id",
+                    F.array_join(F.transform("candidates", lambda x: F.coalesce(x["id"], x["name"])), ",").alias("candidate_order"),
+                    "n_candidates")
+
+
+@query
+def quote_pipeline(spark, d):
+    """R6 + R4 + J8 + A1: every order line matched; stand-in answers to the pipeline's own questions (the suggestion, the
+    first offer, a skip or nothing, by line number); repeats follow; totals per session."""
+    out = route_ops.match_lines(fx.lines(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d),
+                                fx.shopping(spark, d), fx.organic(spark, d))
+    asked = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    pend = cut_lineage(route_ops.pending_questions(out["lines"]).withColumn("asked_at", asked))
+    shown = cut_lineage(route_ops.question_candidates(pend, out["candidates"], out["offers"]))
+    first = shown.groupBy("session_id", "line_index").agg(F.min_by("url", "rank").alias("url"))
+    k = F.col("line_index") % 4
+    kind = F.when(k == 0, F.lit("skip")).when(k < 3, F.when(F.col("reason") == "ambiguous", F.lit("product")).otherwise(F.lit("internet")))
+    choices = (pend.join(first, ["session_id", "line_index"], "left").withColumn("type", kind).where(F.col("type").isNotNull())
+               .select("session_id", "line_index", "type", F.when(F.col("type") == "product", F.col("suggested_id")).alias("id"),
+                       F.when(F.col("type") == "internet", F.col("url")).alias("url"), F.col("asked_at").alias("at"), F.lit(1).cast("long").alias("event_id")))
+    results = route_ops.close_lines(out["lines"], route_ops.apply_choices(pend, choices, shown))
+    return quote.quotation_total(results)
 
 
 @query
@@ -493,12 +500,24 @@ def offer_requests(spark, d):
     return off_ops.offer_requests(n)
 
 
+def _failing_provider(texts):
+    """A provider that refuses some lines, as a remote model does."""
+    if any("gizmo" in t.lower() for t in texts):
+        raise RuntimeError("provider failed")
+    return texts
+
+
 @query
 def error_rows(spark, d):
-    """Lines whose provider call fails (names with 'gizmo') become error rows."""
-    n = _line_names(spark, d)
-    ok = ~F.lower(F.col("name")).contains("gizmo")
-    return route_ops.error_rows(n, ok, "provider failed").select("session_id", "line_index", "source", "error")
+    """Lines whose provider call raises (texts with 'gizmo') become error rows; their neighbours go on."""
+    called = prov.call_provider(fx.lines(spark, d).select("session_id", "line_index", "raw_text"), "raw_text", _failing_provider)
+    return prov.error_results(called).select("session_id", "line_index", "source", "error")
+
+
+@query
+def offers_from_responses(spark, d):
+    """E6 + T8 + K7 + T7: offers in stored model answers, one answer per searched text."""
+    return off_ops.offers_from_responses(fx.offer_responses(spark, d)).drop("origin")
 
 
 @query
@@ -540,10 +559,7 @@ def apply_edits(spark, d):
 @query
 def validate_requests(spark, d):
     """Start requests need a session id and a line list."""
-    r = fx.requests(spark, d)
-    err = (F.when(F.col("session_id").isNull() | (F.col("session_id") == ""), F.lit("sessionId wajib"))
-           .when(F.col("lines").isNull(), F.lit("lines harus array")))
-    return r.select("o_orderkey", "session_id", F.size(F.coalesce("lines", F.array())).alias("n_lines"), err.alias("error"))
+    return ses_ops.validate_requests(fx.requests(spark, d)).select("o_orderkey", "session_id", "n_lines", "error")
 
 
 @query
@@ -593,12 +609,11 @@ def last_leaver(spark, d):
 
 @query
 def duplicate_start(spark, d):
-    """Starts of a running session are rejected (signup events start runs
-    lasting ``value`` minutes)."""
-    ev = fx.table(spark, d, "events").where(F.col("event_type") == "signup")
+    """Starts of a running session are rejected (every event of a user starts a run of 100 x ``value`` minutes)."""
+    ev = fx.table(spark, d, "events")
+    mins = F.coalesce(F.col("value").cast("int"), F.lit(0)) * 100
     starts = ev.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("start_id"),
-                       F.col("ts").alias("start_at"),
-                       (F.col("ts") + F.make_dt_interval(mins=F.col("value").cast("int") * 100)).alias("end_at"))
+                       F.col("ts").alias("start_at"), (F.col("ts") + F.make_dt_interval(mins=mins)).alias("end_at"))
     return ses_ops.duplicate_start(starts)
 
 

@@ -4,6 +4,7 @@ shared checkpoint folder of a cluster session."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark import StorageLevel
@@ -45,7 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (tests, local runs) a scratch folder is made.
+    as is. Only when it is unset in a local session (tests) a scratch folder is made;
+    a cluster session without it is refused, as executors don't share the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="penawar-ckpt-", dir=os.environ.get("PENAWAR_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path
@@ -72,7 +76,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-_SHIPPED: dict[int, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -82,7 +86,7 @@ def ship_package(spark: SparkSession) -> None:
     executors of a cluster do not share the driver's source folder.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     import zipfile

@@ -20,16 +20,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from penawar.operators.chunks import running
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; the reader (file listing, footers) is built once per session."""
-    key = (id(spark._jsparkSession), f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(key[1])
     return _TABLES[key]
@@ -107,28 +109,29 @@ def _id_fmt(x: F.Column) -> F.Column:
 def _offer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x part with a result position unique within the query text.
 
-    pos = order key * 1000 + position of the line in its order; it is built
+    pos = order key * 10 million + position of the line in its order; it is built
     from the small per-order window, never from a window over the query
     (a query may hold a large share of all rows)."""
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    li = li.withColumn("pos", F.col("l_orderkey") * 1000 + F.row_number().over(w) - 1)
+    li = li.withColumn("pos", F.col("l_orderkey") * 10_000_000 + F.row_number().over(w) - 1)
     return li.join(part, li.l_partkey == part.p_partkey)
 
 
 def shopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured shopping results for the text a line searches; only names
-    before 'n' have any, the others fall back to organic results."""
+    before 'n' have a price, the others fall back to organic results."""
     sup = table(spark, sf_dir, "supplier")
-    b = _offer_base(spark, sf_dir).filter(F.col("p_name") < "n")
+    served = F.col("p_name") < "n"
+    b = _offer_base(spark, sf_dir)
     b = b.join(sup, b.l_suppkey == sup.s_suppkey, "left")
     odd = F.col("l_linenumber") % 2 == 1
     return b.select(
         line_variant().alias("query"),
         "pos",
-        F.when(odd, F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col("l_extendedprice"))).alias("extracted_price"),
-        F.when(~odd, F.concat(F.lit("Rp "), _id_fmt(F.col("l_extendedprice")))).alias("price"),
+        F.when(odd & served, F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col("l_extendedprice"))).alias("extracted_price"),
+        F.when(~odd & served, F.concat(F.lit("Rp "), _id_fmt(F.col("l_extendedprice")))).alias("price"),
         F.when(F.col("s_nationkey") == 0, F.lit("")).when(F.col("l_suppkey") % 10 == 0, F.lit(None)).otherwise(F.col("s_name")).alias("source"),
         catalog_name().alias("title"),
         F.when(F.col("l_linenumber") % 3 == 0, F.lit(None)).otherwise(
@@ -146,6 +149,7 @@ def organic(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.concat(F.lit("Rp "), _id_fmt(F.col("l_extendedprice")))
     snippet = (
         F.when(k == 0, F.concat(F.lit("Harga "), price, F.lit(" stok ada")))
+        .when((k == 1) & (F.col("l_partkey") % 2 == 0), F.concat(F.lit("Harga "), price, F.lit(" atau cicilan Rp "), _id_fmt(F.col("l_tax") * 1000 + 1), F.lit("/bln")))
         .when(k == 1, F.concat(F.lit("Cicilan "), F.lit("Rp "), _id_fmt(F.col("l_tax") * 1000 + 1), F.lit("/bln untuk 12 bln")))
         .when(k == 2, F.concat(F.lit("Diskon dari Rp "), _id_fmt(F.col("l_extendedprice") + 1000), F.lit(" jadi "), price))
         .otherwise(F.lit("Hubungi penjual"))
@@ -155,8 +159,9 @@ def organic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos",
         catalog_name().alias("title"),
         snippet.alias("snippet"),
-        F.concat(F.lit("https://toko"), (F.col("l_suppkey") % 7).cast("string"), F.lit(".example/item/"),
-                 F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("link"),
+        F.when(F.col("l_suppkey") % 5 > 0, F.concat(
+            F.lit("https://toko"), (F.col("l_suppkey") % 7).cast("string"), F.lit(".example/item/"),
+            F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))).otherwise(F.lit("item")).alias("link"),
     )
 
 
@@ -198,8 +203,9 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_views") - 1).cast("int").alias("line_index"),
         kind.alias("type"),
         F.when(kind == "product", (F.col("user_id") * 8 + F.col("event_id") % 10).cast("string")).alias("id"),
-        F.when(kind == "internet", F.concat(F.lit("https://shop.example/s/"), F.col("user_id").cast("string"), F.lit("-"),
-                                            (F.col("event_id") % 6).cast("string"))).alias("url"),
+        F.when((kind == "internet") & (F.col("event_id") % 6 != 4),
+               F.concat(F.lit("https://shop.example/s/"), F.col("user_id").cast("string"), F.lit("-"),
+                        (F.col("event_id") % 6).cast("string"))).alias("url"),
         F.col("ts").alias("at"),
         "event_id",
     )
@@ -226,7 +232,8 @@ def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("category"),
         (F.col("user_id") * 1000 + F.col("j") * 10 + 5).cast("double").alias("price"), F.lit(None).cast("string").alias("unit"),
         F.concat(F.lit("Toko "), F.col("j").cast("string")).alias("supplier"),
-        F.concat(F.lit("https://shop.example/s/"), F.col("user_id").cast("string"), F.lit("-"), F.col("j").cast("string")).alias("url"),
+        F.when(F.col("j") != 4, F.concat(F.lit("https://shop.example/s/"), F.col("user_id").cast("string"), F.lit("-"),
+                                         F.col("j").cast("string"))).alias("url"),
         F.when(F.col("j") != 2, F.concat(F.lit("Offer "), F.col("j").cast("string"))).alias("title"))
     return db.unionByName(net)
 
@@ -243,12 +250,14 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size 7 price + 1; size 11 new name; size 13 delete; size 17 update of an
     unknown id; size 19 negative price; size 23 blank name; size 29 create;
     size 31 update of brand to blank and unit to ' box '; size 37 empty update.
+    Beside these, for every part of size 13 an update before and one after the delete and a second
+    delete, and for every part of size 29 an update of the id that the create before it gets.
     """
     p = table(spark, sf_dir, "part")
     s = F.col("p_size")
     op = (F.when(s.isin(7, 11, 17, 19, 23, 31, 37), "update").when(s == 13, "delete").when(s == 29, "create"))
     rows = p.filter(s.isin(7, 11, 13, 17, 19, 23, 29, 31, 37))
-    return rows.select(
+    rows = rows.select(
         op.alias("op"),
         F.when(s == 29, F.lit(None).cast("bigint")).when(s == 17, F.col("p_partkey") + 1000000).otherwise(F.col("p_partkey")).alias("id"),
         F.when(s == 11, F.concat(F.col("p_name"), F.lit(" v2"))).when(s == 23, F.lit("  "))
@@ -263,8 +272,29 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (s == 29).alias("has_category"),
         (s == 31).alias("has_unit"),
         (s.isin(7, 17, 19, 29)).alias("has_price"),
-        F.col("p_partkey").alias("change_id"),
+        (F.col("p_partkey") * 10 + 5).alias("change_id"),
     )
+    none = lambda t: F.lit(None).cast(t)
+    typed = {c: none(t) for c, t in rows.dtypes}
+    flags = {c: F.lit(False) for c in rows.columns if c.startswith("has_")}
+
+    def more(src: DataFrame, no: int, op: str, ident: F.Column, **sent: F.Column) -> DataFrame:
+        cols = {**typed, **flags, **sent, **{f"has_{k}": F.lit(True) for k in sent}, "op": F.lit(op), "id": ident,
+                "change_id": F.col("p_partkey") * 10 + no}
+        return src.select(*[cols[c].alias(c) for c in rows.columns])
+
+    gone = p.filter(s == 13)
+    made = p.filter(s == 29)
+    # the new ids follow the largest part key in change order
+    nth = running(made, [], F.floor(F.col("p_partkey") / 1000), ["p_partkey"], F.lit(1), "nth")
+    top = p.agg(F.max("p_partkey").alias("top")).withColumn("k", F.lit(1))
+    nth = nth.withColumn("k", F.lit(1)).join(F.broadcast(top), "k")
+    parts = [more(gone, 3, "update", F.col("p_partkey"), price=F.lit("7.5")), more(gone, 7, "update", F.col("p_partkey"), name=F.lit("late")),
+             more(gone, 8, "delete", F.col("p_partkey")),
+             more(nth, 7, "update", F.col("top") + F.col("nth"), unit=F.lit("dus"), price=F.lit("2"))]
+    for x in parts:
+        rows = rows.unionByName(x)
+    return rows
 
 
 def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,16 +385,15 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start requests: one per order with its lines (session id blank for status P,
+    """Start requests: one per order with the number of its lines (session id blank for status P,
     no line list for priority 5-LOW)."""
     o = table(spark, sf_dir, "orders")
-    ln = lines(spark, sf_dir).groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_index", "raw_text"))).alias("ls"))
+    ln = lines(spark, sf_dir).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     j = o.join(ln, o.o_orderkey.cast("string") == ln.session_id, "left")
-    return j.select(F.col("o_orderkey"),
+    has = F.col("o_orderpriority") != "5-LOW"
+    return j.select("o_orderkey",
                     F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderkey").cast("string")).alias("session_id"),
-                    F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise(
-                        F.transform(F.coalesce(F.col("ls"), F.array()), lambda x: x["raw_text"])).alias("lines"))
+                    has.alias("has_lines"), F.when(has, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("int").alias("n_lines"))
 
 
 def events_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,3 +418,19 @@ def extraction_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 1, body).when(k == 2, F.concat(F.lit("Hasil: "), body, F.lit(" selesai")))
             .otherwise(F.lit("maaf, tidak bisa")))
     return ln.select("session_id", "line_index", text.alias("response"))
+
+
+def offer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored model answers to the organic search of every line, keyed by order and line: fenced arrays, an object
+    where an array is due, prose, and entries with missing fields or unreadable prices."""
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    li = li.withColumn("n", F.row_number().over(w) - 1)
+    k = F.col("l_linenumber") % 4
+    price = F.col("l_extendedprice").cast("bigint").cast("string")
+    entry = lambda sup, p: F.concat(F.lit('{"supplier":"'), sup, F.lit('","price":"'), p, F.lit('","url":""}'))
+    arr = F.concat(F.lit("["), entry(F.lit("Toko A"), price), F.lit(","), entry(F.lit(""), F.lit("Rp 1.500")), F.lit(","),
+                   entry(F.lit("Toko B"), F.lit("murah")), F.lit("]"))
+    text = (F.when(k == 0, F.concat(F.lit("```json\n"), arr, F.lit("\n```"))).when(k == 1, entry(F.lit("Toko A"), price))
+            .when(k == 2, F.concat(F.lit("Hasil: "), arr)).otherwise(F.lit("tidak ada")))
+    return li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("n").cast("string")).alias("query"), text.alias("response"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penawar.functions.text import js_trim
+from penawar.functions.text import js_trim, number_text
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (path, content). Whole files, so line order is kept."""
+    """One row per file: (path, content). An order list is one person's upload, so a file is one row (2 GB at most)
+    and its lines keep their order."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
@@ -17,13 +18,10 @@ def lines_from_text(files: DataFrame, key_cols: list[str], text_col: str = "cont
     """Split on ``\\r?\\n``, trim (JavaScript blank class), drop blank
     lines, then number the rest from 0 within each file.
 
-    ``posexplode`` keeps the position of every piece, so numbering is a window
-    over (file, position) — no driver loop, and files are independent tasks.
-    """
-    parts = files.select(*key_cols, F.posexplode(F.split(F.col(text_col), "\r?\n")).alias("pos", "piece"))
-    kept = parts.select(*key_cols, "pos", js_trim("piece").alias("line")).where(F.col("line") != "")
-    w = Window.partitionBy(*key_cols).orderBy("pos")
-    return kept.select(*key_cols, (F.row_number().over(w) - 1).alias("line_index"), "line")
+    Trimming and dropping happen in the split array, so the position that
+    ``posexplode`` gives is the line number: one narrow stage, no shuffle."""
+    pieces = F.transform(F.split(F.col(text_col), "\r?\n"), lambda x: js_trim(x))
+    return files.select(*key_cols, F.posexplode(F.filter(pieces, lambda x: x != "")).alias("line_index", "line"))
 
 
 def lines_keep_gaps(files: DataFrame, key_cols: list[str], text_col: str, sep: str) -> DataFrame:
@@ -34,8 +32,9 @@ def lines_keep_gaps(files: DataFrame, key_cols: list[str], text_col: str, sep: s
 
 def lines_from_table(df: DataFrame, key_cols: list[str], cell_cols: list[str]) -> DataFrame:
     """One line per row — the non-blank cells, as text, joined by a space;
-    rows with nothing left are dropped."""
-    cells = F.array(*[F.col(c).cast("string") for c in cell_cols])
+    rows with nothing left are dropped. Spreadsheet numbers are doubles: 10.0 is written 10."""
+    kinds = dict(df.dtypes)
+    cells = F.array(*[number_text(F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in cell_cols])
     kept = F.filter(cells, lambda x: x.isNotNull() & (js_trim(x) != ""))
     line = js_trim(F.array_join(kept, " "))
     return df.select(*key_cols, line.alias("line")).where(F.col("line") != "")

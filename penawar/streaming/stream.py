@@ -4,6 +4,7 @@
   and answers on (session, line) with the 5-minute window as join condition and
   watermarks on both sides; a question with no answer comes out (with null
   answer) once the watermark passes ``asked_at + 5 min`` — the timeout.
+* ``first_answer`` (X1, X2, W6): the same with keyed state and an event-time timer, one row per question.
 * ``session_guard`` (X3, X4, X5): keyed state per session with
   ``applyInPandasWithState``: starts while running are rejected, the last
   leaver ends the session, a cancel closes it.
@@ -16,6 +17,7 @@ Each has a batch twin in ``penawar.operators`` used by the tests as reference.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,6 +48,59 @@ def answer_or_timeout(questions: DataFrame, choices: DataFrame, cfg: MatchConfig
                     F.when(F.col("type").isNull(), F.lit("input_timeout")).alias("reason"))
 
 
+FIRST_OUT = T.StructType([
+    T.StructField("session_id", T.StringType()), T.StructField("line_index", T.IntegerType()),
+    T.StructField("asked_at", T.TimestampType()), T.StructField("type", T.StringType()), T.StructField("id", T.StringType()),
+    T.StructField("url", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("event_id", T.LongType()),
+    T.StructField("reason", T.StringType()),
+])
+FIRST_STATE = T.StructType([T.StructField("asked", T.TimestampType()), T.StructField("early", T.StringType())])
+
+
+def first_answer(questions: DataFrame, choices: DataFrame, cfg: MatchConfig = DEFAULT, lateness: str = "10 minutes") -> DataFrame:
+    """One row per question: its first answer in event time while it was pending, or the timeout.
+
+    Keyed state per (session, line): the question and its answers so far (answers may arrive before it, late or
+    repeated). An event-time timer at the end of the pending window, once the watermark has passed it, picks the
+    first answer and frees the state; answers without a question are freed after the same time."""
+    ship_package(questions.sparkSession)
+    q = questions.select("session_id", "line_index", F.col("asked_at").alias("ts"), F.lit("question").alias("kind"),
+                         *[F.lit(None).cast(t).alias(n) for n, t in (("type", "string"), ("id", "string"), ("url", "string"), ("event_id", "long"))])
+    c = choices.select("session_id", "line_index", F.col("at").alias("ts"), F.lit("choice").alias("kind"), "type", "id", "url", "event_id")
+    minutes = cfg.ask_timeout_minutes
+
+    def run(key, pdfs, state):
+        window = pd.Timedelta(minutes=minutes)
+        asked, early = (state.get if state.exists else (None, "[]"))
+        answers = json.loads(early)
+        if state.hasTimedOut:
+            state.remove()
+            if asked is not None:
+                asked = pd.Timestamp(asked)
+                live = sorted(a for a in answers if asked <= pd.Timestamp(a[0]) < asked + window)
+                at, event_id, kind, ident, url = live[0] if live else (None, None, None, None, None)
+                yield pd.DataFrame([(key[0], key[1], asked, kind, ident, url, pd.Timestamp(at) if at else None, event_id,
+                                     None if live else "input_timeout")], columns=FIRST_OUT.names)
+            return
+        last = None
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                if r.kind == "question":
+                    asked = r.ts if asked is None else min(pd.Timestamp(asked), r.ts)
+                else:
+                    answers.append([r.ts.isoformat(), int(r.event_id), r.type, r.id, r.url])
+                last = r.ts if last is None else max(last, r.ts)
+        if asked is not None:  # only the earliest live answer can win
+            start = pd.Timestamp(asked)
+            answers = sorted(a for a in answers if start <= pd.Timestamp(a[0]) < start + window)[:1]
+        state.update((None if asked is None else pd.Timestamp(asked).to_pydatetime(), json.dumps(answers)))
+        due = (pd.Timestamp(asked) if asked is not None else last) + window
+        state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return (q.unionByName(c).withWatermark("ts", lateness).groupBy("session_id", "line_index")
+            .applyInPandasWithState(run, FIRST_OUT, FIRST_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
 GUARD_OUT = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("event_id", T.LongType()),
@@ -60,7 +115,14 @@ GUARD_STATE = T.StructType([
 ])
 
 
+# a session without events for this long (event time) is forgotten
+EXPIRY_MS = 24 * 3600 * 1000
+
+
 def _guard(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     busy_until, members, cancelled_at = (state.get if state.exists else (None, 0, None))
     rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="mergesort")
     out = []
@@ -76,31 +138,33 @@ def _guard(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.
         elif r.kind == "leave":
             members -= 1
             ended = members <= 0
-            if ended and cancelled_at is None:
-                cancelled_at = r.ts
+            if ended:  # nobody is left: the run is cancelled and the session free
+                cancelled_at, busy_until = r.ts, None
             out.append((r.session_id, r.event_id, r.ts, r.kind, "session_end" if ended else "left"))
         elif r.kind == "cancel":
-            if cancelled_at is None:
-                cancelled_at = r.ts
+            cancelled_at, busy_until = r.ts, None
             out.append((r.session_id, r.event_id, r.ts, r.kind, "cancelled"))
     state.update((busy_until, members, cancelled_at))
+    last = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + EXPIRY_MS)
     yield pd.DataFrame(out, columns=[f.name for f in GUARD_OUT.fields])
 
 
 def session_guard(events: DataFrame) -> DataFrame:
     """X3-X5 on a stream of session events (session_id, event_id, ts, kind, end_at),
     kind in start / join / leave / cancel. Sequential per session, so the session
-    is the state key; sessions are spread over tasks by the key hash."""
+    is the state key; sessions are spread over tasks by the key hash. A cancel or the last leave frees the session."""
     ship_package(events.sparkSession)
     return (events.withWatermark("ts", "1 hour")
             .groupBy("session_id")
-            .applyInPandasWithState(_guard, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(_guard, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def progress_stream(results: DataFrame, totals: DataFrame) -> DataFrame:
     """Done lines per session as results arrive (stream-static join with the
     line totals; output mode ``update``)."""
-    done = results.groupBy("session_id").agg(F.count(F.lit(1)).alias("done"))
+    # a line that is reported again counts once, as in the batch twin
+    done = results.dropDuplicates(["session_id", "line_index"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("done"))
     return done.join(totals, "session_id").select(
         "session_id", "done", "total", F.round(F.col("done") * 100.0 / F.col("total")).cast("int").alias("percent"))
 
@@ -108,8 +172,11 @@ def progress_stream(results: DataFrame, totals: DataFrame) -> DataFrame:
 def cached_results_batch(batch: DataFrame, results_so_far: DataFrame) -> DataFrame:
     """X7 inside ``foreachBatch``: lines of the micro-batch whose normalised text
     already has a (non error, non cancelled) result in the same session take it,
-    marked ``cached``; the rest are returned with ``cached`` false for matching."""
+    marked ``cached``; the rest are returned with ``cached`` false for matching. Of lines that repeat a text within the
+    batch only the first (``donor_index``) is matched; the others are ``cached`` and take its result once it is there."""
     keyed = batch.withColumn("cache_key", tx.normalise_key("raw_text"))
+    donors = keyed.groupBy("session_id", "cache_key").agg(F.min("line_index").alias("donor_index"))
+    keyed = keyed.join(donors, ["session_id", "cache_key"])
     done = (results_so_far.where(~F.col("source").isin("error", "cancelled"))
             .withColumn("cache_key", tx.normalise_key("raw_text"))
             .groupBy("session_id", "cache_key")
@@ -117,4 +184,5 @@ def cached_results_batch(batch: DataFrame, results_so_far: DataFrame) -> DataFra
     j = keyed.join(done, ["session_id", "cache_key"], "left")
     return j.select("session_id", "line_index", "raw_text", "cache_key", F.col("r.source").alias("source"),
                     F.col("r.product_id").alias("product_id"), F.col("r.price").alias("price"),
-                    F.col("r").isNotNull().alias("cached"))
+                    (F.col("r").isNotNull() | (F.col("line_index") > F.col("donor_index"))).alias("cached"),
+                    F.when(F.col("r").isNull(), F.col("donor_index")).alias("donor_index"))

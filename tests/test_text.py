@@ -20,7 +20,7 @@ def test_parse_price(spark, text, expected):
     assert one(spark, tx.parse_price, text) == expected
 
 
-@pytest.mark.parametrize("text,expected", [("12,5", 12.5), ("1.500.000", 0.0), ("Rp 200", 200.0), ("abc", 0.0)])
+@pytest.mark.parametrize("text,expected", [("12,5", 12.5), ("1.500.000", 0.0), ("1-2", 0.0), ("", 0.0), (None, 0.0), ("Rp 200", 200.0), ("abc", 0.0)])
 def test_edited_number(spark, text, expected):
     assert one(spark, tx.edited_number, text) == expected
 
@@ -41,7 +41,8 @@ def test_json_parse_failure(spark):
     assert one(spark, lambda c: tx.json_parses(tx.json_in_text(c)), '```\n{"id": 1}\n```') is True
 
 
-@pytest.mark.parametrize("text,expected", [("2,5", 1.0), ("0", 1.0), ("3", 3.0), (None, 1.0), ("abc", 1.0)])
+@pytest.mark.parametrize("text,expected", [("2,5", 1.0), ("0", 1.0), ("3", 3.0), (None, 1.0), ("abc", 1.0), ("5d", 1.0),
+                                           ("12f", 1.0), ("1e2", 100.0), (" 7 ", 7.0), ("0x10", 16.0)])
 def test_qty_default(spark, text, expected):
     assert one(spark, tx.qty_default, text) == expected
 
@@ -63,7 +64,10 @@ def test_embedding_text(spark):
 
 
 def test_format_rupiah(spark):
-    assert one(spark, tx.format_rupiah, 1234567.4, "double") == "Rp 1.234.567"
+    assert one(spark, tx.format_rupiah, 1234567.4, "double") == "Rp 1.234.567,4"
+    assert one(spark, tx.format_rupiah, 1234.56789, "double") == "Rp 1.234,568"
+    assert one(spark, tx.format_rupiah, -2500.0, "double") == "Rp -2.500"
+    assert one(spark, lambda c: tx.format_rupiah(c, decimals=0), 1234567.4, "double") == "Rp 1.234.567"
     assert one(spark, tx.format_rupiah, None, "double") == "-"
 
 
@@ -79,3 +83,14 @@ def test_status_label(spark):
     df = spark.createDataFrame([("auto_database",), ("mystery",)], "s string")
     label, tone = tx.status_label("s")
     assert [tuple(r) for r in df.select(label, tone).collect()] == [("Cocok otomatis", "ok"), ("mystery", "bad")]
+
+
+@pytest.mark.parametrize("value,expected", [(10.0, "10"), (25000000.0, "25000000"), (2.5, "2.5"), (12345678.25, "12345678.25"), (-3.0, "-3"), (0.0, "0")])
+def test_number_text(spark, value, expected):
+    assert one(spark, tx.number_text, value, "double") == expected
+
+
+def test_vector_literal_round_trip(spark):
+    df = spark.createDataFrame([([0.5, -1.25, 3.0],)], "v array<float>")
+    r = df.select(tx.vector_literal("v").alias("t"), tx.parse_vector_literal(tx.vector_literal("v")).alias("b"), tx.cosine("v", "v").alias("c")).first()
+    assert r.t == "[0.5,-1.25,3.0]" and r.b == [0.5, -1.25, 3.0] and r.c == pytest.approx(1.0)
