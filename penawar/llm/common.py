@@ -11,7 +11,8 @@ from penawar.session import ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # fixed by the result contracts
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# every ASCII character that is no letter or digit separates alphanumeric words
+BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 # a broadcast side may hold this many rows at most; beyond it the join shuffles
@@ -56,7 +57,15 @@ def whole(col: str = "text") -> Column:
 
 
 def alnum_words(col: str = "text") -> Column:
-    return F.regexp_extract_all(lower_ascii(whole(col)), F.lit(ALNUM_WORD), F.lit(0))
+    """Runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z: one translation, one split at spaces
+    (a regular expression that collects all matches copies the whole text for each)."""
+    spaced = F.btrim(F.translate(whole(col), UPPER + BREAKS, LOWER + " " * len(BREAKS)))
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
+
+
+def word_hash(words: Column, at: Column, n: int = 1) -> Column:
+    """Hash of the n words from ``at`` on."""
+    return F.xxhash64(*[F.get(words, at + j) for j in range(n)])
 
 
 def row_key() -> Column:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penawar.llm.common import alnum_words, columns_of, row_key, same_key, written
+from penawar.llm.common import alnum_words, columns_of, row_key, same_key, word_hash, written
 
 # fixed values of the contract
 PHRASES = (
@@ -49,17 +49,24 @@ def required(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
+def placed(worded: DataFrame) -> DataFrame:
+    """worded plus (pos, token): one row per word, by its hash; narrow."""
+    return (worded.where(F.size("words") > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+            .withColumn("token", word_hash(F.col("words"), F.col("pos"))))
+
+
 def word_frequencies(worded: DataFrame, words: list[str]) -> DataFrame:
     """(word, freq) for each listed word over all documents."""
     spark = worded.sparkSession
     listed = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
-    seen = (worded.select(F.explode("words").alias("word")).join(F.broadcast(listed), "word")  # words of the templates only
+    listed = listed.withColumn("token", F.xxhash64("word"))
+    seen = (placed(worded).select("token").join(F.broadcast(listed), "token")  # words of the templates only
             .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
-    return listed.join(seen, "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq"))
+    return listed.join(seen, "word", "left").select("word", "token", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
 def probes(freq: DataFrame, phrases, templates, threshold: float) -> DataFrame:
-    """What a document word can hit: (word, label, is_base, at, need, words). For a phrase ``at`` is the offset of its
+    """What a document word can hit: (token, label, is_base, at, need, words). For a phrase ``at`` is the offset of its
     rarest word; for a template it is the word's rank in the frequency order."""
     spark = freq.sparkSession
     ph = spark.createDataFrame([(label, i, p.split()) for i, (label, p) in enumerate(phrases)],
@@ -67,14 +74,14 @@ def probes(freq: DataFrame, phrases, templates, threshold: float) -> DataFrame:
     rarest = Window.partitionBy("no").orderBy("freq", "word", "at")
     ph = (ph.select("*", F.posexplode("words").alias("at", "word")).join(F.broadcast(freq), "word")
           .withColumn("r", F.row_number().over(rarest)).where("r = 1")
-          .select("word", "label", F.lit(True).alias("is_base"), "at", F.size("words").alias("need"), "words"))
+          .select("token", "label", F.lit(True).alias("is_base"), "at", F.size("words").alias("need"), "words"))
     tm = spark.createDataFrame([(label, i, sorted(set(t.split())), required(len(set(t.split())), threshold))
                                 for i, (label, t) in enumerate(templates)],
                                "label string, no int, words array<string>, need int")
     by_rarity = Window.partitionBy("no").orderBy("freq", "word")
     tm = (tm.select("*", F.explode("words").alias("word")).join(F.broadcast(freq), "word")
           .withColumn("at", F.row_number().over(by_rarity) - 1).where(F.size("words") - F.col("at") >= F.col("need"))
-          .select("word", "label", F.lit(False).alias("is_base"), "at", "need", "words"))
+          .select("token", "label", F.lit(False).alias("is_base"), "at", "need", "words"))
     return ph.unionByName(tm)
 
 
@@ -85,8 +92,7 @@ def license_matches(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thres
     vocabulary = [w for _, t in (*phrases, *templates) for w in t.split()]
     probe = written(probes(word_frequencies(worded, vocabulary), phrases, templates, threshold), "license-probes")
     half = block // 2
-    hit = (worded.select("doc_id", "_h", "words", F.posexplode("words").alias("pos", "word"))
-           .join(F.broadcast(probe.withColumnRenamed("words", "pattern")), "word"))  # rows bounded by the templates
+    hit = placed(worded).join(F.broadcast(probe.withColumnRenamed("words", "pattern")), "token")  # rows bounded by the templates
     # a word lies in the block that starts at its half and in the one before
     starts = F.when(F.col("is_base"), F.array(F.col("pos") - F.col("at"))).otherwise(
         F.array((F.floor(F.col("pos") / half) * half).cast("int"), ((F.floor(F.col("pos") / half) - 1) * half).cast("int")))
