@@ -1,12 +1,13 @@
 """Secret scan over a trigram inverted index.
 
 1. Each rule's regular expression is read into a Boolean query over trigrams: an AND of
-   clauses, each an OR of trigrams of which every match holds one (``trigram_query``).
+   clauses, each an OR of sets of trigrams; every match holds all of one set (``trigram_query``).
 2. The index has one posting (trigram, document) for each trigram that any query asks for,
    over the lower-cased whole texts; it is written to the shared folder.
-3. Postings are intersected: a document is a rule's candidate if it has a posting for each of
-   the rule's clauses. Rules without a mandatory trigram take every document.
-4. Candidates are verified with the regular expression itself; matches become spans.
+3. Postings are intersected: a document is a rule's candidate if, for each of the rule's clauses,
+   it has postings for all trigrams of a set. Rules without a mandatory trigram take every document.
+4. Candidates are verified with the regular expression itself; matches become spans. Only
+   documents that may be candidates are shuffled to meet their rules (``common.maybe_in``).
 
 Documents: a null text counts as empty; rows that repeat a doc_id and text repeat their
 result; a null doc_id is kept. Only doc_id and text are read. No rows in, no rows out.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from re import _constants as _c
 from re import _parser
@@ -23,7 +25,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penawar.llm.common import columns_of, packed, row_key, same_key, whole, written
+from penawar.llm.common import columns_of, maybe_in, packed, row_key, same_key, whole, written
 
 
 @dataclass(frozen=True)
@@ -34,16 +36,17 @@ class Rule:
     least: int = 1  # characters; shorter matches are dropped after matching
 
 
-# fixed values of the contract, in its order
+# fixed values of the contract, in its order. A run of one character class is matched whole, so its
+# least length may stand in the pattern itself; a short value after a key has to be matched and dropped.
 BASE_RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 # well-known public token formats
 MORE_RULES = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
@@ -89,19 +92,17 @@ def _joined(pieces: list[list[str] | None]) -> list[str] | None:
     return sorted(set(strings)) if len(strings) <= _ALTERNATIVES else None
 
 
-def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """Clauses (AND) of trigrams (OR) that the lower-cased text of every match satisfies.
+def trigram_query(pattern: str) -> list[frozenset[frozenset[str]]]:
+    """Clauses (AND), each of alternative trigram sets (OR): the lower-cased text of a match has all trigrams of one.
 
-    Neighbouring pieces are joined while the alternatives stay few. Strings s1 | s2 | ... need a
-    trigram of s1 or one of s2 and so on; of a single string every trigram is a clause."""
-    clauses: set[frozenset[str]] = set()
+    Neighbouring pieces are joined while the alternatives stay few; a string's trigrams are its set,
+    and a set that holds another one is absorbed by it. Strings under three characters ask for nothing."""
+    clauses: set[frozenset[frozenset[str]]] = set()
 
     def close(strings: list[str]) -> None:
-        grams = [sorted({s[i:i + 3] for i in range(len(s) - 2)}) for s in strings]
-        if all(grams):
-            # every choice of one trigram per string is implied; the aligned ones are enough
-            for i in range(max(map(len, grams))):
-                clauses.add(frozenset(g[min(i, len(g) - 1)] for g in grams))
+        sets = {frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings}
+        if all(sets):
+            clauses.add(frozenset(x for x in sets if not any(y < x for y in sets)))
 
     run = [""]
     for p in [*_pieces(_parser.parse(pattern)), None]:
@@ -112,7 +113,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
         else:
             run = joined
     close(run)
-    return sorted(clauses, key=sorted)
+    return sorted(clauses, key=lambda c: sorted(map(sorted, c)))
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -123,18 +124,22 @@ def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
             .select("doc_id", "_h", F.explode(has).alias("trigram")).distinct())
 
 
-def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
+def candidates(postings: DataFrame, queries: dict[str, list[frozenset[frozenset[str]]]]) -> DataFrame:
     """(doc_id, _h, rules): documents whose postings satisfy all clauses of a rule's query."""
     spark = postings.sparkSession
-    terms = spark.createDataFrame([(t, rule, i) for rule, q in queries.items() for i, c in enumerate(q) for t in sorted(c)],
-                                  "trigram string, rule string, clause int")
-    need = F.create_map(*[F.lit(x) for rule, q in queries.items() for x in (rule, len(q))])
-    hits = (postings.join(F.broadcast(terms), "trigram")  # one row per trigram of the rules
-            .groupBy("doc_id", "_h", "rule").agg(F.count_distinct("clause").alias("n")))
-    return (hits.where(F.col("n") == F.element_at(need, F.col("rule")))
+    terms = spark.createDataFrame(
+        [(t, rule, i, j, len(alt), len(q)) for rule, q in queries.items() for i, clause in enumerate(q)
+         for j, alt in enumerate(sorted(clause, key=sorted)) for t in sorted(alt)],
+        "trigram string, rule string, clause int, alt int, size int, clauses int")
+    sets = (postings.join(F.broadcast(terms), "trigram")  # one row per trigram of the rules
+            .groupBy("doc_id", "_h", "rule", "clause", "alt", "clauses", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size"))
+    return (sets.groupBy("doc_id", "_h", "rule", "clauses").agg(F.count_distinct("clause").alias("n")).where("n = clauses")
             .groupBy("doc_id", "_h").agg(F.collect_set("rule").alias("rules")))
 
 
+_MATCH = "array<struct<kind:string,order:int,idx:int,gap:int,len:int,ok:boolean>>"
+
+
 def _matches(rule: Rule, order: int) -> Column:
     """Array of (kind, order, idx, gap, len, ok): each match with the characters between it and the one before."""
     text, pat = F.col("text"), F.lit(rule.pattern)
@@ -156,18 +161,21 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
     keyed = docs.select("doc_id", row_key().alias("_h"), whole().alias("text"))
+
+    def matched(df: DataFrame, columns: list[Column]) -> DataFrame:
+        return df.select("doc_id", "_h", F.explode(F.concat(*columns)).alias("m")).select("doc_id", "_h", "m.*")
+
+    scans = [_matches(r, i) for i, r in enumerate(rules) if r.kind not in indexed]
+    found = [matched(keyed, scans)] if scans else []
     if indexed:
-        grams = sorted({t for q in indexed.values() for c in q for t in c})
+        grams = sorted({t for q in indexed.values() for c in q for alt in c for t in alt})
         postings = written(trigram_index(docs, grams), "trigram-index")
-        keyed = same_key(keyed, candidates(postings, indexed), "left")
-    else:
-        keyed = keyed.withColumn("rules", F.lit(None).cast("array<string>"))
-    none = F.array().cast("array<struct<kind:string,order:int,idx:int,gap:int,len:int,ok:boolean>>")
-    per_rule = [_matches(r, i) if not queries[r.kind] else
-                F.when(F.array_contains(F.coalesce("rules", F.array().cast("array<string>")), r.kind), _matches(r, i)).otherwise(none)
-                for i, r in enumerate(rules)]
-    found = (keyed.select("doc_id", "_h", F.explode(F.concat(*per_rule)).alias("m")).select("doc_id", "_h", "m.*")
-             .dropDuplicates(["doc_id", "_h", "kind", "idx"]))
+        cand = written(candidates(postings, indexed), "secret-candidates")
+        near = same_key(keyed.where(maybe_in(cand)), cand, "inner")
+        none = F.array().cast(_MATCH)
+        found.append(matched(near, [F.when(F.array_contains("rules", r.kind), _matches(r, i)).otherwise(none)
+                                    for i, r in enumerate(rules) if r.kind in indexed]))
+    found = reduce(DataFrame.unionByName, found).dropDuplicates(["doc_id", "_h", "kind", "idx"])
     seq = Window.partitionBy("doc_id", "_h", "kind").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(seq)
     return (found.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
@@ -183,14 +191,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
               .groupBy("doc_id", "_h")
               .agg(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("seen"), F.struct("seen", "start")))).alias("_gaps"),
                    F.max("end").alias("_last")))
-    d = same_key(packed(docs), pieces, "left")
+    pieces = written(pieces, "secret-pieces")
+    d, may = packed(docs), maybe_in(pieces)
+    whole_ones = d.where(~may).select("_row.*")  # no shuffle for these
+    d = same_key(d.where(may), pieces, "left")
     parts = F.transform("_gaps", lambda g: F.concat(
         F.substr(F.col("text"), (g["seen"] + 1).cast("int"), (g["start"] - g["seen"]).cast("int")), F.lit(mask)))
     clean = F.concat(F.array_join(parts, ""), F.substr(F.col("text"), (F.col("_last") + 1).cast("int")))
     changed = F.col("_row").withField("text", clean)
     if "n_chars" in docs.columns:
         changed = changed.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
-    return d.select(F.when(F.col("_last").isNull(), F.col("_row")).otherwise(changed).alias("_row")).select("_row.*")
+    return whole_ones.unionByName(
+        d.select(F.when(F.col("_last").isNull(), F.col("_row")).otherwise(changed).alias("_row")).select("_row.*"))
 
 
 def span_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
