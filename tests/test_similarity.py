@@ -92,3 +92,31 @@ def test_offer_top_k_plans_group_limit(spark):
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
     opt = offers_structured(fx.shopping(spark, SF001))._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in opt
+
+
+def test_copies_grow_linearly_with_the_sides(spark):
+    from penawar.operators.similarity_join import CELLS_PER_CORE, _grid
+
+    cells = CELLS_PER_CORE * spark.sparkContext.defaultParallelism
+    copies = []
+    for f in (1, 10, 100, 1000):
+        rows, cols = _grid(spark, 60_000 * f, 20_000 * f)
+        assert rows * cols <= cells and rows * cols >= cells // 2
+        copies.append((60_000 * cols + 20_000 * rows) * f)
+    assert copies == [copies[0], copies[0] * 10, copies[0] * 100, copies[0] * 1000]
+    assert _grid(spark, 1, 10**6)[0] == 1 and _grid(spark, 10**6, 1)[1] == 1
+
+
+def test_small_blocks_give_the_same_rows(spark, monkeypatch):
+    """Many blocks per cell, some of a single long name, against one block."""
+    from penawar.config import MatchConfig
+    from penawar.operators import similarity_join as sj
+
+    cat = fx.catalog(spark, SF001, with_embedding=False).toPandas()[["id", "name"]]
+    cat["name_len"] = cat["name"].str.len()
+    cat.loc[0, "name"] = cat.loc[0, "name"] + " " + " ".join(f"kata{i}" for i in range(300))
+    q = cat[["name"]].rename(columns={"name": "key"}).iloc[::3]
+    rows = lambda cfg: sorted(map(tuple, sj._trigram_block(cfg)(q, cat)[["key", "id", "score"]].values.tolist()))
+    want = rows(MatchConfig())
+    monkeypatch.setattr(sj, "BLOCK_CELLS", 4000)
+    assert rows(MatchConfig(catalog_block_rows=16, query_block_rows=7)) == want
