@@ -812,3 +812,20 @@ hit AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(n AS VARCHAR) AS query
 SELECT query, CAST(0 AS BIGINT) AS pos, 'Toko A' AS supplier, NULL::VARCHAR AS title, price, NULL::VARCHAR AS url, NULL::VARCHAR AS source_site FROM hit WHERE price > 0
 UNION ALL SELECT query, 1, 'Unknown', NULL, 1500.0, NULL, NULL FROM hit
 """
+
+# T3 by its definition: the best extent of the name's trigram sequence; an extent may start and end on shared trigrams only
+_SEQ = ("flatten(list_transform(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), "
+        "lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))")
+
+SQL["word_similarity"] = f"""
+WITH p AS (SELECT DISTINCT {VARIANT} AS q, {FULL} AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+qs AS (SELECT q, list_distinct({_SEQ.format(x='q')}) AS tq FROM (SELECT DISTINCT q FROM p)),
+ns AS (SELECT n, {_SEQ.format(x='n')} AS seq FROM (SELECT DISTINCT n FROM p)),
+m AS (SELECT q, n, tq, seq, list_filter(range(1, len(seq) + 1), lambda i: list_contains(tq, seq[i])) AS hit
+      FROM p JOIN qs USING (q) JOIN ns USING (n)),
+e AS (SELECT q, n, len(tq) AS nq, tq, list_distinct(seq[a:b]) AS ext
+      FROM (SELECT *, unnest(hit) AS b FROM (SELECT *, unnest(hit) AS a FROM m)) WHERE a <= b),
+c AS (SELECT q, n, nq, len(ext) AS u, len(list_intersect(ext, tq)) AS c FROM e),
+best AS (SELECT q, n, max(c / (nq + u - c)) AS score FROM c GROUP BY q, n)
+SELECT p.q, p.n, coalesce(score, 0.0) AS score FROM p LEFT JOIN best ON best.q = p.q AND best.n = p.n
+"""
