@@ -14,8 +14,8 @@ The tables of the last three are soft counts: posteriors of the text alone, summ
 by grouped aggregation, so one host's pages never meet in one task. The pages of a host take their
 own posterior out of its counts (leave one out).
 
-Training: documents whose ``lang`` is set, of each language the ``per_language`` of least hash (a
-documented bound; at most ``max_languages`` languages, the most frequent). Pages: a null html has no
+Training: documents with a doc_id, lang and text, of each language the ``per_language`` ids of least hash
+(a documented bound; at most ``max_languages`` languages, the most frequent). Pages: a null html has no
 text, a null url no host; then the other evidence decides. Texts of any length are read whole.
 Repeated rows are judged alike but count; a null page_id is kept. Only the named columns are read.
 Without training rows the language is null.
@@ -27,7 +27,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penawar.llm.common import columns_of, written
@@ -68,13 +68,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
     d = columns_of(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
     top = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     langs = sorted(r["lang"] for r in top)
-    order = [F.xxhash64(F.lit(seed), "doc_id", "text"), F.col("doc_id")]
-    sample = None
-    for name in langs:
-        part = d.where(F.col("lang") == name).orderBy(*order).limit(per_language)
-        sample = part if sample is None else sample.unionByName(part)
-    if sample is None:
+    if not langs:
         return [], np.zeros((0, 1 << BITS))
+    # the ids first, without the texts: a group limit keeps per_language rows of a language in every task
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    ids = (d.where(F.col("lang").isin(*langs) & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
+           .withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r"))
+    # at most per_language * max_languages ids are broadcast
+    sample = (d.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang")
+              .agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     def count(batches):
         for pdf in batches:
@@ -89,7 +91,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [total.tobytes()]})
 
     parts = sample.select("lang", "text").repartition(8).mapInPandas(count, "lang string, counts binary")
+    if not ids.limit(1).count():
+        return [], np.zeros((0, 1 << BITS))
     rows = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in parts.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()}
+    langs = [x for x in langs if x in rows]
     table = np.vstack([rows[x] for x in langs]) + 0.5
     return langs, np.log(table) - np.log(table.sum(axis=1, keepdims=True))
 
