@@ -829,3 +829,72 @@ c AS (SELECT q, n, nq, len(ext) AS u, len(list_intersect(ext, tq)) AS c FROM e),
 best AS (SELECT q, n, max(c / (nq + u - c)) AS score FROM c GROUP BY q, n)
 SELECT p.q, p.n, coalesce(score, 0.0) AS score FROM p LEFT JOIN best ON best.q = p.q AND best.n = p.n
 """
+
+# the matching core over part texts: every pair's shared trigrams; exact scores, by definition, of the pairs whose upper
+# bound reaches the 8th best lower bound of their text (and of those that the vectors bring)
+_PARTS = f"""WITH {CATALOG},
+pt AS (SELECT CASE qvec_id % 4 WHEN 0 THEN {FULL} WHEN 1 THEN p_name || ' ' || p_type WHEN 2 THEN p_name || ' ' || p_type || ' size 99'
+              ELSE 'xyzzy ' || CAST(qvec_id AS VARCHAR) || 'q' END AS text, qvec_id
+       FROM (SELECT min(p_partkey) AS qvec_id FROM part GROUP BY p_name, p_type) g JOIN part ON p_partkey = qvec_id),
+qs AS (SELECT text, list_distinct({_SEQ.format(x='text')}) AS tq FROM (SELECT DISTINCT text FROM pt)),
+ns AS (SELECT id, name, seq, list_distinct(seq) AS tn FROM (SELECT id, name, {_SEQ.format(x='name')} AS seq FROM catalog)),
+sh AS (SELECT text, id, len(list_intersect(tq, tn)) AS sh, len(tq) AS m, len(tn) AS n FROM qs, ns),
+bound AS (SELECT text, id, sh / m AS ub, row_number() OVER (PARTITION BY text ORDER BY sh / (m + n - sh) DESC) AS k, sh / (m + n - sh) AS lb
+          FROM sh WHERE sh >= 0.3 * m - 1e-9),
+lb8 AS (SELECT text, max(CASE WHEN k = 8 THEN lb ELSE 0 END) AS lb FROM bound GROUP BY text),
+cand AS (SELECT bound.text, id FROM bound JOIN lb8 ON lb8.text = bound.text WHERE ub >= greatest(0.3, lb8.lb) - 1e-9),
+vq AS (SELECT text, qvec_id, CAST(embedding AS DOUBLE[]) AS e FROM pt JOIN embeddings ON vec_id = qvec_id),
+vs AS (SELECT text, qvec_id, c.id, list_dot_product(vq.e, CAST(c.embedding AS DOUBLE[]))
+              / (sqrt(list_dot_product(vq.e, vq.e)) * sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))) AS sim
+       FROM vq, catalog c WHERE c.embedding IS NOT NULL),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text, qvec_id ORDER BY sim DESC, id) AS v_rn FROM vs WHERE sim >= 0.3) WHERE v_rn <= 8),
+want AS (SELECT text, id FROM cand UNION SELECT text, id FROM vec),
+hits AS (SELECT want.text, want.id, tq, seq, list_filter(range(1, len(seq) + 1), lambda i: list_contains(tq, seq[i])) AS hit
+         FROM want JOIN qs ON qs.text = want.text JOIN ns ON ns.id = want.id),
+ext AS (SELECT text, id, tq, list_distinct(seq[a:b]) AS ext
+        FROM (SELECT *, unnest(hit) AS b FROM (SELECT *, unnest(hit) AS a FROM hits)) WHERE a <= b),
+best AS (SELECT text, id, max(len(list_intersect(ext, tq)) / (len(tq) + len(ext) - len(list_intersect(ext, tq)))) AS score FROM ext GROUP BY text, id),
+scored AS (SELECT want.text, want.id, coalesce(best.score, 0.0) AS score FROM want LEFT JOIN best ON best.text = want.text AND best.id = want.id),
+trg AS (SELECT * FROM (SELECT scored.text, scored.id, score, row_number() OVER (PARTITION BY scored.text ORDER BY score DESC, length(name), scored.id) AS t_rn
+                       FROM scored JOIN catalog c ON c.id = scored.id WHERE score >= 0.3) WHERE t_rn <= 8)
+"""
+
+_FUSED = """, tp AS (SELECT pt.text, pt.qvec_id, id, score, t_rn FROM pt JOIN trg ON trg.text = pt.text),
+fused AS (SELECT coalesce(tp.text, vec.text) AS text, coalesce(tp.qvec_id, vec.qvec_id) AS qvec_id, coalesce(tp.id, vec.id) AS id, t_rn, v_rn, sim
+          FROM tp FULL JOIN (SELECT * FROM vec WHERE {vectors}) vec ON vec.text = tp.text AND vec.qvec_id = tp.qvec_id AND vec.id = tp.id),
+ranked AS (SELECT f.text AS name, f.qvec_id, f.id AS cid, c.name AS name_c, brand, category, CAST(price AS DOUBLE) AS price, unit, s.score,
+                  coalesce(sim, 0.0) AS vector_sim, coalesce(1.0 / (60 + t_rn), 0.0) + coalesce(1.0 / (60 + v_rn), 0.0) AS rrf
+           FROM fused f JOIN catalog c ON c.id = f.id JOIN scored s ON s.text = f.text AND s.id = f.id),
+hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, qvec_id ORDER BY rrf DESC, length(name_c), cid) AS rank FROM ranked) WHERE rank <= 8),
+ob AS (SELECT *, best_score - second_score AS gap, best_score >= 0.9 AND (second_score IS NULL OR best_score - second_score >= 0.15) AS obvious FROM (
+         SELECT name, qvec_id, max(CASE WHEN rank = 1 THEN score END) AS best_score, max(CASE WHEN rank = 2 THEN score END) AS second_score,
+                max(CASE WHEN rank = 1 THEN CAST(cid AS VARCHAR) END) AS best_id, count(*) AS n_candidates FROM hy GROUP BY name, qvec_id)),
+tok AS (SELECT *, regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+(?:[.,]\\d+)*') AS req,
+               regexp_extract_all(lower(concat_ws(' ', name_c, brand, category)), '[\\p{{L}}\\p{{N}}]+(?:[.,]\\d+)*') AS have FROM hy),
+judged AS (SELECT *, len(list_filter(req, lambda t: regexp_matches(t, '\\d') AND NOT list_contains(have, t))) = 0 AS surv,
+                  len(list_filter(req, lambda t: NOT list_contains(have, t))) = 0 AS has_all FROM tok),
+va AS (SELECT name, qvec_id, count(*) FILTER (WHERE surv) AS n_surv, count(*) FILTER (WHERE surv AND has_all) AS n_all,
+              arg_min(cid, rank) FILTER (WHERE surv) AS best, arg_min(score, rank) FILTER (WHERE surv) AS best_score,
+              arg_min(cid, rank) FILTER (WHERE surv AND has_all) AS best_all FROM judged GROUP BY name, qvec_id),
+verdict AS (SELECT name, qvec_id, CAST(CASE WHEN n_surv = 0 THEN NULL WHEN n_all >= 1 THEN best_all ELSE best END AS VARCHAR) AS id,
+                   CASE WHEN n_surv = 0 THEN 0.0 WHEN n_all >= 2 THEN 0.5 WHEN n_all = 1 THEN 0.9 ELSE best_score * 0.7 END AS confidence,
+                   CASE WHEN n_surv = 0 THEN 'no_match' WHEN n_all >= 2 THEN 'ambiguous' WHEN n_all = 1 THEN 'single_match' ELSE 'best_survivor' END AS reason
+            FROM va)
+"""
+_HYBRID = _PARTS + _FUSED.format(vectors="true")
+
+SQL["parts_trigram"] = _PARTS + "SELECT text AS key, CAST(t_rn AS INTEGER) AS rank, id, round(score, 12) AS score FROM trg"
+SQL["parts_percent"] = _PARTS + "SELECT text AS key, CAST(t_rn AS INTEGER) AS rank, id, CAST(round(score * 100) AS INTEGER) AS score_pct FROM trg"
+SQL["parts_hybrid"] = _HYBRID + """SELECT name, qvec_id, CAST(rank AS INTEGER) AS rank, CAST(cid AS VARCHAR) AS id, name_c, brand, category, price, unit,
+       round(score, 9) AS score, round(vector_sim, 9) AS vector_sim, round(rrf, 9) AS rrf FROM hy"""
+SQL["parts_degraded"] = _PARTS + _FUSED.format(vectors="false") + """SELECT name, qvec_id, CAST(rank AS INTEGER) AS rank, CAST(cid AS VARCHAR) AS id,
+       round(score, 9) AS score, round(rrf, 9) AS rrf FROM hy"""
+SQL["parts_obvious"] = _HYBRID + """SELECT name, qvec_id, best_id, n_candidates, obvious, round(best_score, 9) AS best_score,
+       round(second_score, 9) AS second_score, round(gap, 9) AS gap FROM ob"""
+SQL["parts_rerank"] = _HYBRID + "SELECT name, qvec_id, id, round(confidence, 9) AS confidence, reason FROM verdict"
+SQL["parts_route"] = _HYBRID + """, r AS (SELECT ob.name, ob.qvec_id, obvious, best_id, n_candidates, v.id, v.confidence, v.reason,
+       CASE WHEN obvious THEN 'auto_database' WHEN v.id IS NOT NULL AND v.confidence >= 0.8 THEN 'auto_database_ai' WHEN v.id IS NULL THEN 'offers' ELSE 'ask' END AS route
+     FROM ob JOIN verdict v ON v.name = ob.name AND v.qvec_id = ob.qvec_id)
+SELECT name, qvec_id, route, CASE WHEN obvious THEN best_id WHEN route = 'auto_database_ai' THEN id END AS product_id,
+       CASE WHEN route = 'auto_database_ai' THEN round(confidence, 9) END AS confidence, CASE WHEN NOT obvious THEN reason END AS verdict_reason,
+       CASE WHEN route = 'ask' THEN id END AS suggested_id, n_candidates FROM r"""

@@ -632,3 +632,62 @@ def similarity_percent(spark, d):
     names = _line_names(spark, d).select(F.col("name").alias("key"))
     t = trigram_topk(names, fx.catalog(spark, d, with_embedding=False))
     return t.select("key", "rank", "id", F.round(F.col("score") * 100).cast("int").alias("score_pct"))
+
+
+# ---------------------------------------------------------------- the matching core over part texts
+
+
+def _part_candidates(spark, d):
+    return search_ops.hybrid_search(fx.part_texts(spark, d), fx.catalog(spark, d), fx.query_vectors(spark, d))
+
+
+@query
+def parts_trigram(spark, d):
+    """P2 + J1 + W1 + K1: top-8 catalog rows per part text by word_similarity >= 0.3."""
+    names = fx.part_texts(spark, d).select(F.col("name").alias("key"))
+    return trigram_topk(names, fx.catalog(spark, d, with_embedding=False)).select("key", "rank", "id", F.round("score", 12).alias("score"))
+
+
+@query
+def parts_hybrid(spark, d):
+    """J3 + J4 + T5 + K2: fused candidates of every part text and its vector."""
+    c = _part_candidates(spark, d)
+    return c.select("name", "qvec_id", "rank", "id", "name_c", "brand", "category", "price", "unit",
+                    *[F.round(x, 9).alias(x) for x in ("score", "vector_sim", "rrf")])
+
+
+@query
+def parts_degraded(spark, d):
+    """The same without query vectors."""
+    c = search_ops.hybrid_search(fx.part_texts(spark, d), fx.catalog(spark, d), None)
+    return c.select("name", "qvec_id", "rank", "id", F.round("score", 9).alias("score"), F.round("rrf", 9).alias("rrf"))
+
+
+@query
+def parts_obvious(spark, d):
+    """R1 + W7: the obvious-match decision per part text."""
+    o = search_ops.obvious(cut_lineage(_part_candidates(spark, d)), route_ops.PAIR)
+    return o.select("name", "qvec_id", "best_id", "n_candidates", "obvious",
+                    *[F.round(x, 9).alias(x) for x in ("best_score", "second_score", "gap")])
+
+
+@query
+def parts_rerank(spark, d):
+    """The rule reranker over the candidates of every part text."""
+    r = rr_ops.rule_rerank(cut_lineage(_part_candidates(spark, d)), route_ops.PAIR)
+    return r.select("name", "qvec_id", "id", F.round("confidence", 9).alias("confidence"), "reason")
+
+
+@query
+def parts_route(spark, d):
+    """The route of every part text with candidates."""
+    r = route_ops.route_pairs(cut_lineage(_part_candidates(spark, d)))
+    return r.withColumn("confidence", F.round("confidence", 9))
+
+
+@query
+def parts_percent(spark, d):
+    """The similarity shown to a person for the candidates of every part text."""
+    names = fx.part_texts(spark, d).select(F.col("name").alias("key"))
+    t = trigram_topk(names, fx.catalog(spark, d, with_embedding=False))
+    return t.select("key", "rank", "id", F.round(F.col("score") * 100).cast("int").alias("score_pct"))

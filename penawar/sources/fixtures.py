@@ -434,3 +434,16 @@ def offer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (F.when(k == 0, F.concat(F.lit("```json\n"), arr, F.lit("\n```"))).when(k == 1, entry(F.lit("Toko A"), price))
             .when(k == 2, F.concat(F.lit("Hasil: "), arr)).otherwise(F.lit("tidak ada")))
     return li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("n").cast("string")).alias("query"), text.alias("response"))
+
+
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search text per (name, type) of the whole part table, with the vector of its smallest part: the full catalog
+    name, name and type, these with a size that no part has, or a text that nothing resembles."""
+    part = table(spark, sf_dir, "part")
+    first = part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("qvec_id"))
+    p = part.join(first.select("qvec_id"), F.col("p_partkey") == F.col("qvec_id"))
+    k = F.col("qvec_id") % 4
+    short = F.concat_ws(" ", "p_name", "p_type")
+    text = (F.when(k == 0, catalog_name()).when(k == 1, short).when(k == 2, F.concat(short, F.lit(" size 99")))
+            .otherwise(F.concat(F.lit("xyzzy "), F.col("qvec_id").cast("string"), F.lit("q"))))
+    return p.select(text.alias("name"), "qvec_id")
