@@ -86,3 +86,72 @@ def test_cached_results_in_foreach_batch(spark):
     got = {(r.session_id, r.line_index): (r.cached, r.product_id) for r in seen}
     # same session + same normalised text reuses; an error result is not reused; other sessions do not share
     assert got == {("s", 5): (True, "7"), ("s", 6): (False, None), ("t", 0): (False, None)}
+
+
+def _batches(path, frames):
+    """Write each frame as one file, so that a stream with one file per trigger sees them as micro-batches in order."""
+    import time
+
+    for i, df in enumerate(frames):
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+
+
+def _run_batches(spark, df, name, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True) \
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="ckpt-")).start()
+    q.awaitTermination(180)
+    return spark.table(name)
+
+
+def test_first_answer_over_batches_equals_the_batch_twin(spark):
+    from penawar.operators import route as route_ops
+
+    d = tempfile.mkdtemp(prefix="first-")
+    t0, m = dt.datetime(2024, 1, 1, 10, 0, 0), dt.timedelta(minutes=1)
+    qschema = "session_id string, line_index int, asked_at timestamp"
+    cschema = "session_id string, line_index int, type string, id string, url string, at timestamp, event_id long"
+    q1 = [("s", 0, t0), ("s", 1, t0), ("s", 2, t0)]
+    q2 = [("s", 3, t0 + m), ("z", 0, t0 + 180 * m)]  # the last one moves the watermark
+    c1 = [("s", 0, "product", "7", None, t0 + 3 * m, 1), ("s", 3, "skip", None, None, t0 + 2 * m, 2)]  # an answer before its question arrives
+    c2 = [("s", 0, "skip", None, None, t0 + 2 * m, 3),  # late, but earlier in event time
+          ("s", 0, "skip", None, None, t0 + 2 * m, 3), ("s", 1, "product", "9", None, t0 + 9 * m, 4), ("z", 0, "skip", None, None, t0 + 181 * m, 5)]
+    c3 = [("z", 9, "skip", None, None, t0 + 400 * m, 6)]
+    _batches(d + "/q", [spark.createDataFrame(x, qschema) for x in (q1, q2, [("z", 8, t0 + 400 * m)])])
+    _batches(d + "/c", [spark.createDataFrame(x, cschema) for x in (c1, c2, c3)])
+    read = lambda p, s: spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(p)
+    out = _run_batches(spark, stream.first_answer(read(d + "/q", qschema), read(d + "/c", cschema)), "first_t1")
+    got = {(r.session_id, r.line_index): (r.type, r.event_id, r.reason) for r in out.collect()}
+    twin = route_ops.first_choice(spark.createDataFrame(q1 + q2, qschema), spark.createDataFrame(c1 + c2, cschema))
+    want = {(s, k): (None, None, "input_timeout") for s, k, _ in q1 + q2} | {(r.session_id, r.line_index): (r.type, r.event_id, None) for r in twin.collect()}
+    assert got == want == {("s", 0): ("skip", 3, None), ("s", 1): (None, None, "input_timeout"), ("s", 2): (None, None, "input_timeout"),
+                           ("s", 3): ("skip", 2, None), ("z", 0): ("skip", 5, None)}
+
+
+def test_cancel_and_last_leave_free_the_session(spark):
+    d = tempfile.mkdtemp(prefix="free-")
+    t0, m = dt.datetime(2024, 1, 1, 10, 0, 0), dt.timedelta(minutes=1)
+    schema = "session_id string, event_id long, ts timestamp, kind string, end_at timestamp"
+    one = [("a", 1, t0, "start", t0 + 60 * m), ("a", 2, t0 + m, "cancel", None), ("b", 3, t0, "join", None), ("b", 4, t0, "start", t0 + 60 * m)]
+    two = [("a", 5, t0 + 2 * m, "start", t0 + 9 * m), ("a", 6, t0 + 3 * m, "start", t0 + 9 * m), ("b", 7, t0 + m, "leave", None), ("b", 8, t0 + 2 * m, "start", t0 + 9 * m)]
+    _batches(d + "/e", [spark.createDataFrame(x, schema) for x in (one, two)])
+    out = _run_batches(spark, stream.session_guard(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d + "/e")), "free_t1")
+    got = {r.event_id: r.outcome for r in out.collect()}
+    assert got == {1: "accepted", 2: "cancelled", 3: "member", 4: "accepted", 5: "accepted", 6: "rejected", 7: "session_end", 8: "accepted"}
+
+
+def test_progress_counts_a_line_once(spark):
+    d = tempfile.mkdtemp(prefix="prog2-")
+    schema = "session_id string, line_index int"
+    _batches(d + "/r", [spark.createDataFrame(x, schema) for x in ([("s", 0), ("s", 1)], [("s", 1), ("s", 2)])])
+    totals = spark.createDataFrame([("s", 4)], "session_id string, total long")
+    out = _run_batches(spark, stream.progress_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d + "/r"), totals), "prog_t2", "update")
+    assert max(r.done for r in out.collect()) == 3
+
+
+def test_repeats_in_one_batch_wait_for_their_donor(spark):
+    batch = spark.createDataFrame([("s", 4, "Meja"), ("s", 5, " meja "), ("s", 6, "Kursi")], "session_id string, line_index int, raw_text string")
+    done = spark.createDataFrame([("s", 0, "kursi", "auto_database", "7", 10.0)],
+                                 "session_id string, line_index int, raw_text string, source string, product_id string, price double")
+    got = {r.line_index: (r.cached, r.product_id, r.donor_index) for r in stream.cached_results_batch(batch, done).collect()}
+    assert got == {4: (False, None, 4), 5: (True, None, 4), 6: (True, "7", None)}
