@@ -8,8 +8,8 @@ Documents are sets of distinct word shingles; two link when 100 * |A & B| >= per
   (counter, hash), the same for all documents. An order by estimates is still a total order, so
   the filters below lose nothing.
 * Multi-match prefixes: with o = ceil(percent/100 * n), sets that link share at least l shingles
-  in their first n - o + l ones. A document's l is chosen by estimated cost: longer prefixes cost
-  rows, and at most (sum of the estimated partners in the prefix) / l documents share l of them.
+  in their first n - o + l ones. A document's l is chosen by estimated cost: a longer prefix costs
+  rows and meetings, and at most (sum of the estimated partners in it) / l documents share l of it.
   Two documents need min(l_a, l_b) shared shingles in the prefixes of that l.
 * Pair bounds: sizes (n_b * 100 >= percent * n_a), and positions for the pair's own necessary
   overlap o_ab: only shingles before n - o_ab + l count; a class whose prefix holds so many
@@ -132,7 +132,10 @@ def adaptive_prefix(shingles: np.ndarray, counts: np.ndarray, typical: float, pe
     longest = order[:n - o + top]
     partners = np.cumsum(np.maximum(counts[longest].astype(np.float64) - typical - 1, 0.0))
     ls = np.arange(1, top + 1)
-    cost = (n - o + ls) + pair_cost * partners[n - o + ls - 1] / ls
+    # rows that meet partners of about the same size: those must share 2 * percent / (100 + percent) of the shingles
+    like = n - -(-2 * percent * n // (100 + percent))
+    met = partners[like + ls - 1]
+    cost = (n - o + ls) + met + pair_cost * met / ls
     ell = int(ls[np.argmin(cost)])
     return shingles[longest[:n - o + ell]], ell
 
