@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from penawar.llm.common import columns_of, maybe_in, packed, row_key, same_key, written
 from penawar.llm.components import connected_components
-from penawar.llm.shingles import WordHashes, set_signature, shingle_set
+from penawar.llm.shingles import set_signature, shingle_set
 from penawar.session import ship_package
 
 SIZE = 5
@@ -73,15 +73,21 @@ _SETS = "doc_id long, _h long, sig long, n int, block int, counts binary"
 
 def _set_task(size: int, bits: int):
     def run(batches):
-        memo, counters = WordHashes(), np.zeros(1 << bits, np.uint32)
+        counters = np.zeros(1 << bits, np.uint32)
         shift = np.uint64(64 - bits)
         for batch in batches:
-            sig, n = [], []
+            sig, n, slots, held = [], [], [], 0
             for t in _texts(batch):
-                s = shingle_set(t, size, memo)
+                s = shingle_set(t, size)
                 n.append(len(s))
                 sig.append(set_signature(s) if len(s) else None)
-                np.add.at(counters, (s >> shift).astype(np.int64), 1)
+                slots.append((s >> shift).astype(np.int32))
+                held += len(s)
+                if held >= FLUSH * 4:
+                    counters += np.bincount(np.concatenate(slots), minlength=1 << bits).astype(np.uint32)
+                    slots, held = [], 0
+            if held:
+                counters += np.bincount(np.concatenate(slots), minlength=1 << bits).astype(np.uint32)
             k = len(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_h"), pa.array(sig, pa.int64()), pa.array(n, pa.int32()),
@@ -142,7 +148,7 @@ def adaptive_prefix(shingles: np.ndarray, counts: np.ndarray, typical: float, pe
 
 def _prefix_task(counters, size: int, percent: int):
     def run(batches):
-        memo, table = WordHashes(), counters.value
+        table = counters.value
         shift = np.uint64(64 - int(len(table)).bit_length() + 1)
         typical = float(table.mean())
         seen: set[int] = set()
@@ -155,7 +161,7 @@ def _prefix_task(counters, size: int, percent: int):
 
         for batch in batches:
             for t in _texts(batch):
-                s = shingle_set(t, size, memo)
+                s = shingle_set(t, size)
                 if not len(s):
                     continue
                 sig = set_signature(s)
@@ -225,12 +231,12 @@ def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _verify_task(size: int, percent: int):
     def run(batches):
-        memo, cache = WordHashes(), OrderedDict()
+        cache = OrderedDict()
 
         def of(sig, text):
             s = cache.get(sig)
             if s is None:
-                s = cache[sig] = shingle_set(text, size, memo)
+                s = cache[sig] = shingle_set(text, size)
                 if len(cache) > 64:
                     cache.popitem(last=False)
             return s

@@ -5,33 +5,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; forgets all words when it holds ``limit`` of them."""
-
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
-        return h
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, size: int, memo: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words; of fewer words, the whole sequence as one.
 
     bytes.lower() lowers A-Z alone and bytes.split() splits at \\x20 and \\x09-\\x0D alone."""
@@ -39,12 +25,13 @@ def shingle_set(text: bytes | None, size: int, memo: WordHashes) -> np.ndarray:
     n = len(words)
     if n == 0:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
     width = min(size, n)
     acc = np.full(n - width + 1, width, np.uint64)
     for j in range(width):
-        acc = _mixed(acc * _MUL + h[j:n - width + 1 + j])
-    return np.unique(acc)
+        acc = acc * _MUL + h[j:n - width + 1 + j]
+    acc = np.sort(_mixed(acc))
+    return acc[np.concatenate(([True], acc[1:] != acc[:-1]))]
 
 
 def set_signature(shingles: np.ndarray) -> int:
