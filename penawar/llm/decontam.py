@@ -4,12 +4,14 @@ An item's windows are its runs of ``window`` words (an item of fewer words is on
 document contains a window when all its shingles stand there in order. Shingles are ``gram``
 words (fewer for an item of fewer).
 
+* Matches: every document is split once; its shingles that occur in the benchmark are written.
 * Rarity order: the corpus frequency of every benchmark shingle, counted over all documents.
 * Prefix: containment must be whole, so a single shingle is the necessary prefix: each window's
-  rarest. Windows whose rarest shingle never occurs are gone. Neighbouring windows share it.
-* Join: document shingles meet prefix shingles; the offsets fix where a window would start.
+  rarest. Windows with a shingle that never occurs are gone. Neighbouring windows share a prefix.
+* Join: the matches meet prefix shingles; the offsets fix where a window would start.
 * Positional and length bounds: that start must lie in the document, with room for the window.
-* Verification: the document's words there equal the window's, on the document's own row.
+* Verification: the document's words there equal the window's; only documents with a candidate
+  are read again.
 
 The benchmark is the small side: it is broadcast behind a check of its rows, else shuffled.
 Documents: a null text has no words; rows that repeat a doc_id and text repeat their result.
@@ -22,14 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penawar.llm.common import alnum_words, broadcast_if_small, columns_of, packed, row_key, same_key, written
+from penawar.llm.common import alnum_words, broadcast_if_small, columns_of, maybe_in, packed, row_key, same_key, word_hash, written
 
 WINDOW = 13
 GRAM = 3
 
 
-def _shingle(words: Column, at: Column, gram: Column) -> Column:
-    return F.xxhash64(F.slice(words, at + 1, gram))
+def _shingle(words: str, at: str, gram: int) -> Column:
+    """Hash of a shingle of 1 to ``gram`` words, by the row's column gram."""
+    out = word_hash(F.col(words), F.col(at), gram)
+    for g in range(1, gram):
+        out = F.when(F.col("gram") == g, word_hash(F.col(words), F.col(at), g)).otherwise(out)
+    return out
 
 
 def item_shingles(items: DataFrame, window: int, gram: int) -> DataFrame:
@@ -40,53 +46,86 @@ def item_shingles(items: DataFrame, window: int, gram: int) -> DataFrame:
           .withColumn("length", F.least(F.lit(window), F.size("words")))
           .withColumn("gram", F.least(F.lit(gram), F.col("length"))))
     it = it.withColumn("q", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("gram"))))
-    return it.withColumn("token", _shingle(F.col("words"), F.col("q"), F.col("gram")))
+    return it.withColumn("token", _shingle("words", "q", gram))
+
 
+# the token of the row that every document has beside its shingles
+_WHOLE = -1
 
-def doc_shingles(worded: DataFrame, grams: list[int]) -> DataFrame:
-    """worded plus (gram, p, token), one row per shingle; narrow, for a join in the same stage."""
+
+def matched_shingles(docs: DataFrame, tokens: DataFrame, grams: list[int]) -> DataFrame:
+    """(doc_id, _h, n_words, p, gram, token): a document's shingles that are listed in ``tokens`` (gram, token), and one
+    row with p = -1 for itself. Every text is split once, and its shingles meet the list in the same stage."""
+    worded = columns_of(docs, "doc_id", "text").select("doc_id", row_key().alias("_h"), alnum_words().alias("words"))
+    spark = docs.sparkSession
+    listed = tokens.unionByName(spark.createDataFrame([(grams[0], _WHOLE)], "gram int, token long"))
+    listed = broadcast_if_small(listed)
     out = None
     for g in grams:
-        one = (worded.where(F.size("words") >= g)
-               .withColumn("p", F.explode(F.sequence(F.lit(0), F.size("words") - g)))
-               .withColumn("gram", F.lit(g)).withColumn("token", _shingle(F.col("words"), F.col("p"), F.lit(g))))
+        first = F.lit(-1 if g == grams[0] else 0)
+        one = (worded.where((F.size("words") >= g) | (first == -1))
+               .withColumn("p", F.explode(F.sequence(first, F.greatest(first, F.size("words") - g))))
+               .withColumn("gram", F.lit(g))
+               .withColumn("token", F.when(F.col("p") < 0, F.lit(_WHOLE).cast("long")).otherwise(word_hash(F.col("words"), F.col("p"), g)))
+               .join(listed, ["gram", "token"])
+               .select("doc_id", "_h", F.size("words").alias("n_words"), "p", "gram", "token"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.where((F.col("p") >= 0) == (F.col("token") != _WHOLE))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, _h, item_id, start, length): every place where a window of an item stands, once per distinct row."""
-    worded = columns_of(docs, "doc_id", "text").select("doc_id", row_key().alias("_h"), alnum_words().alias("words"))
+def _matches(docs: DataFrame, items: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(item shingles, matched shingles), both written."""
     shingles = written(item_shingles(items, window, gram), "benchmark-shingles")
     # at most `gram` different sizes
     grams = sorted(r[0] for r in shingles.select("gram").distinct().collect()) or [gram]
-    tokens = broadcast_if_small(shingles.select("gram", "token").distinct())
-    freq = (doc_shingles(worded, grams).select("gram", "token").join(tokens, ["gram", "token"])
-            .groupBy("gram", "token").agg(F.count(F.lit(1)).alias("freq")))
+    tokens = shingles.select("gram", "token").distinct()
+    return shingles, written(matched_shingles(docs, tokens, grams), "benchmark-matches")
+
+
+def prefixes(shingles: DataFrame, matches: DataFrame) -> DataFrame:
+    """(item, item_id, item_words, length, gram, token, q, starts): the rarest shingle of each window, with the windows
+    that share it. Its order is the corpus frequency, counted over all documents."""
+    freq = matches.where("p >= 0").groupBy("gram", "token").agg(F.count(F.lit(1)).alias("freq"))
     ranked = shingles.join(freq, ["gram", "token"])  # a shingle that no document has is gone, and its windows below
     # each window s: its shingles q in s .. s + length - gram; the prefix is the rarest
     s = F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - (F.col("length") - F.col("gram"))),
                              F.least(F.col("q"), F.size("words") - F.col("length"))))
     per_window = Window.partitionBy("item", "s").orderBy("freq", "token", "q")
-    prefix = (ranked.withColumn("s", s)
-              .withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("item", "s")))
-              .withColumn("r", F.row_number().over(per_window))
-              .where((F.col("r") == 1) & (F.col("known") == F.col("length") - F.col("gram") + 1))
-              .groupBy("item", "item_id", "words", "length", "gram", "token", "q").agg(F.collect_list("s").alias("starts"))
-              .withColumnsRenamed({"words": "item_words"}))
-    prefix = broadcast_if_small(written(prefix, "benchmark-prefix"))
-    hit = doc_shingles(worded, grams).join(prefix, ["gram", "token"])
-    hit = (hit.withColumn("s", F.explode("starts")).withColumn("start", F.col("p") - F.col("q") + F.col("s"))
-           .where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("words")))
-           .where(F.slice("words", F.col("start") + 1, F.col("length")) == F.slice("item_words", F.col("s") + 1, F.col("length"))))
-    return hit.select("doc_id", "_h", "item_id", "start", "length").distinct()
+    return (ranked.withColumn("s", s)
+            .withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("item", "s")))
+            .withColumn("r", F.row_number().over(per_window))
+            .where((F.col("r") == 1) & (F.col("known") == F.col("length") - F.col("gram") + 1))
+            .groupBy("item", "item_id", "words", "length", "gram", "token", "q").agg(F.collect_list("s").alias("starts"))
+            .withColumnsRenamed({"words": "item_words"}))
+
+
+def _verified(docs: DataFrame, shingles: DataFrame, matches: DataFrame) -> DataFrame:
+    prefix = broadcast_if_small(written(prefixes(shingles, matches), "benchmark-prefix"))
+    cand = (matches.where("p >= 0").join(prefix, ["gram", "token"])
+            .withColumn("s", F.explode("starts")).withColumn("start", F.col("p") - F.col("q") + F.col("s"))
+            .where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
+            .select("doc_id", "_h", "item_id", "start", "length", F.slice("item_words", F.col("s") + 1, F.col("length")).alias("wanted"))
+            .distinct())
+    cand = written(cand, "benchmark-candidates")
+    # the words themselves: only documents with a candidate are read again
+    worded = columns_of(docs, "doc_id", "text").withColumn("_h", row_key()).where(maybe_in(cand))
+    worded = worded.select("doc_id", "_h", alnum_words().alias("words")).distinct()
+    same = same_key(cand, worded, "inner").where(F.slice("words", F.col("start") + 1, F.col("length")) == F.col("wanted"))
+    return same.select("doc_id", "_h", "item_id", "start", "length").distinct()
+
+
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, _h, item_id, start, length): every place where a window of an item stands, once per distinct row."""
+    shingles, matches = _matches(docs, items, window, gram)
+    return _verified(docs, shingles, matches)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM,
                   share_of: int = 20) -> DataFrame:
     """One row per document: doc_id, _h, n_words, n_hit, items (sorted ids), contaminated (n_hit > 0 and at least one
     word in ``share_of`` hit)."""
-    occ = occurrences(docs, items, window, gram)
+    shingles, matches = _matches(docs, items, window, gram)
+    occ = written(_verified(docs, shingles, matches), "benchmark-occurrences")
     # words under the union of a document's windows: each window adds what lies beyond those before it
     order = Window.partitionBy("doc_id", "_h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     per_place = occ.groupBy("doc_id", "_h", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
@@ -94,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
            .groupBy("doc_id", "_h")
            .agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))).cast("long").alias("n_hit")))
     ids = occ.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    d = columns_of(docs, "doc_id", "text").select("doc_id", row_key().alias("_h"), F.size(alnum_words()).cast("long").alias("n_words"))
+    d = matches.where("p = -1").select("doc_id", "_h", F.col("n_words").cast("long").alias("n_words"))
     d = same_key(same_key(d, hit), ids)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return d.select("doc_id", "_h", "n_words", n_hit.alias("n_hit"),
@@ -104,5 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
     """``docs`` without the contaminated ones, columns as they are."""
-    bad = contamination(docs, items, **params).where("contaminated").select("doc_id", "_h").distinct()
-    return same_key(packed(docs).drop("text"), bad, "left_anti").select("_row.*")
+    bad = written(contamination(docs, items, **params).where("contaminated").select("doc_id", "_h").distinct(), "contaminated")
+    d, may = packed(docs).drop("text"), maybe_in(bad)
+    return (d.where(~may).select("_row.*")  # no shuffle for these
+            .unionByName(same_key(d.where(may), bad, "left_anti").select("_row.*")))
