@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors (NB-SVM).
 
-Features are indicators of hashed byte n-grams of the whole text. Each indicator is scaled by
+Features are indicators of hashed n-grams of the whole text: of its bytes, and of its pattern of
+repeated words and lines. Each indicator is scaled by
 its class log-count ratio r = log(p / |p|) - log(q / |q|) with add-one counts p, q over the
 training texts of either class; rows are scaled to unit length and a linear hinge-loss model
 is fitted on them by dual coordinate descent. A logistic curve over cross-fitted margins,
@@ -31,21 +32,36 @@ from penawar.session import ship_package
 
 BITS = 18
 ORDERS = (2, 3, 4)
+REPEATS = (1, 2, 4)
 PER_CLASS = 2000
 THRESHOLD = 0.3
 SEED = 11
 
 
-def ngram_ids(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Sorted distinct ids of the text's byte n-grams."""
-    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    seen = np.zeros(1 << bits, bool)
-    for n in ORDERS:
+def _mark(seen: np.ndarray, b: np.ndarray, orders, salt: int, bits: int) -> None:
+    for n in orders:
         if len(b) >= n:
-            g = np.full(len(b) - n + 1, n, np.uint32)
+            g = np.full(len(b) - n + 1, n + salt, np.uint32)
             for j in range(n):
                 g = g * np.uint32(0x01000193) ^ b[j:len(b) - n + 1 + j]
             seen[(g * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)] = True
+
+
+def ngram_ids(text: str | None, bits: int = BITS) -> np.ndarray:
+    """Sorted distinct ids of the text's byte n-grams, and of the n-grams of its repetition pattern: which words
+    equal the word before them, which lines a line before them."""
+    raw = (text or "").encode("utf-8", "replace")
+    seen = np.zeros(1 << bits, bool)
+    _mark(seen, np.frombuffer(raw, np.uint8).astype(np.uint32), ORDERS, 0, bits)
+    words = raw.split()
+    _mark(seen, np.fromiter((x == y for x, y in zip(words, words[1:])), np.uint32, max(len(words) - 1, 0)), REPEATS, 100, bits)
+    lines = [x for x in raw.splitlines() if x]
+    known: set[bytes] = set()
+    again = np.zeros(len(lines), np.uint32)
+    for i, x in enumerate(lines):
+        again[i] = x in known
+        known.add(x)
+    _mark(seen, again, REPEATS, 200, bits)
     return np.flatnonzero(seen).astype(np.int32)
 
 
