@@ -40,23 +40,22 @@ FILE_RECORDS = 1000
 DATE = "2000-01-01T00:00:00Z"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a string: 20 bits (5 hex digits) make 4 letters."""
-    digest = F.sha1(payload)
-    letters = []
-    for i in range(0, 40, 5):
-        part = F.conv(F.substring(digest, i + 1, 5), 16, 10).cast("int")
-        letters += [F.substr(F.lit(BASE32), F.shiftright(part, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+def with_digest(df: DataFrame, payload: str, out: str) -> DataFrame:
+    """``df`` plus the upper-case base32 of the SHA-1 of a string column: 20 bits (5 hex digits) make 4 letters. Digest
+    and parts are columns of their own, so that each is computed once."""
+    df = df.withColumn("_sha", F.sha1(payload))
+    df = df.withColumn("_parts", F.array(*[F.conv(F.substring("_sha", i + 1, 5), 16, 10).cast("int") for i in range(0, 40, 5)]))
+    letter = lambda part, s: F.substr(F.lit(BASE32), F.shiftright(part, s).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    letters = [letter(F.get("_parts", F.lit(i)), s) for i in range(8) for s in (15, 10, 5, 0)]
+    return df.withColumn(out, F.concat(*letters)).drop("_sha", "_parts")
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, _h, bytes, digest, refers_to): refers_to is null for responses."""
     payload = F.coalesce("html", F.lit(""))
-    d = (columns_of(pages, "page_id", "url", "html")
-         .select("page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("bytes"))
-         .withColumn("digest", base32_sha1(F.col("html"))).withColumn("_h", F.xxhash64("digest")))
-    known = written(d.select("page_id", "bytes", "digest", "_h"), "warc-digests")
+    d = columns_of(pages, "page_id", "url", "html").select(
+        "page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("bytes"), F.xxhash64(payload).alias("_h"))
+    known = written(with_digest(d, "html", "digest").select("page_id", "bytes", "digest", "_h"), "warc-digests")
     # payloads that are there more than once, under different ids
     firsts = (known.where(F.col("bytes") >= least_bytes).groupBy("digest", "_h")
               .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "_h", "first"))
@@ -64,9 +63,10 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     may = maybe_in(firsts)
     names = firsts.select(F.col("digest").alias("_digest"), "first")
     # hot payloads: the planner can split the pages' side of this join
-    found = d.where(may).join(names, F.col("digest") == F.col("_digest"), "left")
+    found = with_digest(d.where(may), "html", "digest")
+    found = found.join(names, F.col("digest") == F.col("_digest"), "left")
     other = (F.col("first").isNotNull()) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
-    return (d.where(~may).withColumn("refers_to", F.lit(None).cast("long"))
+    return (with_digest(d.where(~may), "html", "digest").withColumn("refers_to", F.lit(None).cast("long"))
             .unionByName(found.withColumn("refers_to", F.when(other, F.col("first"))).drop("_digest", "first")))
 
 
@@ -146,17 +146,19 @@ def _candidate_task(batches):
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """(path, at) on the chain from offset 0 of each file, by pointer jumping over (path, at, next)."""
-    most = links.groupBy("path").count().agg(F.max("count").alias("n")).first()["n"] or 0  # one number
-    reached = links.where("at = 0").select("path", "at")
-    jumps, done = links.select("path", "at", "next"), 1
+    """(file, at) on the chain from offset 0 of each file, by pointer jumping over (file, at, next).
+
+    All tables here grow with the archives, so no side of a join may be broadcast on a guess of its size."""
+    most = links.groupBy("file").count().agg(F.max("count").alias("n")).first()["n"] or 0  # one number
+    reached = links.where("at = 0").select("file", "at")
+    places, jumps, done = links.select("file", "at").hint("merge"), links.select("file", "at", "next"), 1
     while done < most:
-        step = reached.join(jumps, ["path", "at"]).select("path", F.col("next").alias("at"))
-        reached = written(reached.unionByName(step).join(links.select("path", "at"), ["path", "at"], "left_semi").distinct(), "warc-reached")
+        step = reached.join(jumps.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at"))
+        reached = written(reached.unionByName(step).distinct().join(places, ["file", "at"], "left_semi"), "warc-reached")
         done *= 2
         if done < most:
-            after = jumps.select("path", F.col("at").alias("next"), F.col("next").alias("far"))
-            jumps = written(jumps.join(after, ["path", "next"]).select("path", "at", F.col("far").alias("next")), "warc-jumps")
+            after = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
+            jumps = written(jumps.join(after.hint("merge"), ["file", "next"]).select("file", "at", F.col("far").alias("next")), "warc-jumps")
     return reached
 
 
@@ -165,9 +167,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload_digest."""
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    cand = written(files.mapInArrow(_candidate_task, _CANDIDATE), "warc-candidates")
-    kept = reachable(cand.select("path", "at", "next"))
-    return cand.join(kept, ["path", "at"], "left_semi").drop("next", "size")
+    cand = files.mapInArrow(_candidate_task, _CANDIDATE).withColumn("file", F.xxhash64("path"))
+    cand = written(cand, "warc-candidates")
+    kept = reachable(cand.select("file", "at", "next"))
+    return cand.join(kept.hint("merge"), ["file", "at"], "left_semi").drop("file", "next", "size")
 
 
 def round_trip(pages: DataFrame, file_records: int = FILE_RECORDS, least_bytes: int = 0) -> DataFrame:
