@@ -747,7 +747,11 @@ SQL["reembed_worklist"] = _CH + f"""
 SELECT id, {_ETEXT} AS text FROM state WHERE g IS NULL AND reembed
 """
 
-SQL["apply_embeddings"] = _with(CATALOG) + "SELECT id, CAST(64 AS INTEGER) AS dims FROM catalog"
+SQL["apply_embeddings"] = _with(CATALOG) + """
+SELECT id, CAST(64 AS INTEGER) AS dims,
+       coalesce(round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4), 1.0) AS norm,
+       round(CAST(embedding[1] AS DOUBLE), 6) AS kept_first FROM catalog
+"""
 
 _MEMBERS = """mem AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts, event_id,
                        CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS delta

@@ -583,11 +583,13 @@ def reembed_worklist(spark, d):
 
 @query
 def apply_embeddings(spark, d):
-    """Backfilled vectors written back; which rows now have a vector."""
+    """Backfilled vectors written back; rows that had a vector keep it (its first number), every vector has length 1."""
     cat = fx.catalog(spark, d)
     new = emb_ops.embed_texts(emb_ops.embedding_todo(cat), emb_ops.hashed_trigram_provider(64))
-    out = emb_ops.apply_embeddings(cat, new)
-    return out.select("id", F.size("embedding").alias("dims"))
+    out = emb_ops.apply_embeddings(cat, new).join(cat.select("id", F.col("embedding").isNotNull().alias("had")), "id")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return out.select("id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"),
+                      F.when(F.col("had"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6)).alias("kept_first"))
 
 
 # ---------------------------------------------------------------- sessions
