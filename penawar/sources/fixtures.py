@@ -169,20 +169,25 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
+def _by_user(ev: DataFrame, value: F.Column, name: str) -> DataFrame:
+    """Running sum of ``value`` per user in time order, by hourly chunks: a user with most events is no single task."""
+    return running(ev, ["user_id"], F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600), ["ts", "event_id"], value, name)
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per view event; session = user; even lines ask about
     catalog candidates, odd lines about internet offers. A question is asked
     4 minutes before the user's next event (so that event answers in time),
     except every third view, asked at the view itself."""
-    ev = _events(spark, sf_dir)
-    wn = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ev = ev.withColumn("next_ts", F.lead("ts").over(wn))
-    ev = ev.filter(F.col("event_type") == "view")
+    ev = _by_user(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), F.lit(1), "n")
+    after = ev.select(F.col("user_id").alias("u2"), (F.col("n") - 1).alias("n2"), F.col("ts").alias("next_ts"))
+    ev = ev.join(after, (F.col("user_id") == F.col("u2")) & (F.col("n") == F.col("n2")), "left")
+    ev = _by_user(ev.filter(F.col("event_type") == "view"), F.lit(1), "v")
     asked = F.when((F.col("event_id") % 3 == 0) | F.col("next_ts").isNull(), F.col("ts")).otherwise(
         F.greatest(F.col("ts"), F.col("next_ts") - F.expr("INTERVAL 4 MINUTES")))
     q = ev.select(
         F.col("user_id").cast("string").alias("session_id"),
-        (F.row_number().over(wn) - 1).alias("line_index"),
+        (F.col("v") - 1).cast("int").alias("line_index"),
         asked.alias("asked_at"),
         F.concat(F.lit("barang "), F.col("event_id").cast("string")).alias("name"),
         "user_id",
@@ -194,8 +199,7 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers: each non-view event answers the latest question of its user
     asked at or before it (line_index -1 when none was asked yet)."""
     ev = _events(spark, sf_dir)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("n_views", F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).over(w))
+    ev = _by_user(ev, F.when(F.col("event_type") == "view", 1).otherwise(0), "n_views")
     kind = (F.when(F.col("event_type") == "purchase", "product").when(F.col("event_type") == "click", "internet")
             .when(F.col("event_type") == "error", "cancel").otherwise("other"))
     return ev.filter(F.col("event_type") != "view").select(
@@ -399,10 +403,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a session as started over time: every event of a user is a line
     start (session = user, started_at = ts)."""
-    ev = _events(spark, sf_dir)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = _by_user(_events(spark, sf_dir), F.lit(1), "n")
     return ev.select(F.col("user_id").cast("string").alias("session_id"),
-                     (F.row_number().over(w) - 1).alias("line_index"), F.col("ts").alias("started_at"))
+                     (F.col("n") - 1).cast("int").alias("line_index"), F.col("ts").alias("started_at"))
 
 
 def extraction_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
