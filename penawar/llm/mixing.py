@@ -83,7 +83,7 @@ def apportion(parties: DataFrame, votes: str, seats: str, by: list[str], tie: li
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES, share: float = 1.0,
-        block_words: int = 64, shard_words: int = 4_000_000, seed: int = 17) -> DataFrame:
+        block_words: int = 64, shard_words: int = 250_000, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
     d = written(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -131,11 +131,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES, share: f
               .select("_row", "_src", "_shard", "_block",
                       (F.least(F.col("_end"), (F.col("_block") + 1) * block_words)
                        - F.greatest(F.col("_start"), F.col("_block") * block_words)).alias("_w")))
-    extra = (pieces.join(picked, ["_src", "_shard", "_block"])
+    # hints: the sizes of exploded rows are unknown to the planner, and both sides grow with the input
+    extra = (pieces.hint("merge").join(picked.hint("merge"), ["_src", "_shard", "_block"])
              .groupBy("_row").agg(F.sum("_w").alias("_extra")))
     return (d.select("_row", "doc_id", "source", "size", "source_size", "target", "_src", "_shard")
             .join(quotas.select("_src", "_shard", "_passes"), ["_src", "_shard"], "left")
-            .join(extra, "_row", "left")
+            .join(extra.hint("merge"), "_row", "left")
             .select("doc_id", "source", "size", "source_size", "target",
                     (F.col("size") * F.coalesce(F.col("_passes"), F.lit(0)) + F.coalesce(F.col("_extra"), F.lit(0)))
                     .cast("long").alias("taken")))
