@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from penawar.llm import licenses
+from penawar.llm import licenses, secrets, url_filter, warc
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,4 +56,75 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN bl USING (rid) LEFT JOIN al USING (rid)
 """
 
 
-SQL = {"op9_decontaminate": OP9, "op10_license_scan": _op10()}
+def _op1() -> str:
+    """Spans from the matches and the pieces between them, a rule at a time."""
+    parts = []
+    for order, r in enumerate(secrets.RULES):
+        pat = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT rid, '{r.kind}' AS kind, {order} AS o, regexp_extract_all(t, '{pat}', 0) AS m,
+       regexp_extract_all(t, '{pat}', {r.group}) AS g, string_split_regex(t, '{pat}') AS s, {r.least} AS least FROM d""")
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
+spans AS (SELECT rid, kind, o, length(array_to_string(s[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS a, length(m[i]) AS n
+          FROM each WHERE length(g[i]) >= least),
+named AS (SELECT rid, kind, o, a, kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(a + n AS VARCHAR) AS name FROM spans),
+agg AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+               count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(name, ',' ORDER BY a, o) FILTER (WHERE kind IN ({base})) AS b,
+               string_agg(name, ',' ORDER BY a, o) AS spans, count(*) AS n_spans FROM named GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans
+FROM d LEFT JOIN agg USING (rid)
+"""
+
+
+def _op2() -> str:
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.RULES)
+    return f"""
+WITH p AS (SELECT page_id, row_number() OVER () AS rid, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rid, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(v, r, name, start) AS (VALUES {rules}),
+fit AS (SELECT rid, r, v, row_number() OVER (PARTITION BY rid ORDER BY length(r) DESC) AS k FROM h, rules
+        WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)),
+j AS (SELECT h.*, fit.r, fit.v FROM h LEFT JOIN fit ON fit.rid = h.rid AND k = 1),
+listed AS (SELECT DISTINCT host FROM j WHERE v = 'block')
+SELECT page_id, host, path, r AS rule, coalesce(v, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict,
+       host IN (SELECT host FROM listed) AS listed
+FROM j
+"""
+
+
+def _op3() -> str:
+    chunk = "CAST('0x' || substr(sha, {0}, 5) AS INTEGER)"
+    letters = " || ".join(f"substr('{warc.BASE32}', (({chunk.format(i)} >> {b}) & 31) + 1, 1)" for i in range(1, 41, 5) for b in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, {letters} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f ON f.html = p.html
+"""
+
+
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^ 	-]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM both_have JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+two_way AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM two_way UNION SELECT r.a, t.b FROM reach r JOIN two_way t ON t.a = r.b),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+"""
+
+
+SQL = {"op1_secret_scan": _op1(), "op2_url_filter": _op2(), "op3_warc": _op3(), "op8_jaccard_join": OP8,
+       "op9_decontaminate": OP9, "op10_license_scan": _op10()}
