@@ -89,16 +89,20 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, dim: int) -> np.ndar
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows, values, y, dim, cost, epochs, seed):
-    """min |w|^2 / 2 + sum cost_i * max(0, 1 - y_i w x_i), one dual variable at a time; the bias is a constant feature."""
-    w, bias = np.zeros(dim), 0.0
+def dual_coordinate_descent(rows, ratios, y, cost, epochs, seed):
+    """min |w|^2 / 2 + sum cost_i * max(0, 1 - y_i w x_i), one dual variable at a time; the bias is a constant feature.
+
+    Row i has the values ratios[rows[i]] scaled to unit length; they are taken when needed, never stored."""
+    w, bias = np.zeros(len(ratios)), 0.0
     alpha = np.zeros(len(rows))
-    square = np.array([(v * v).sum() for v in values]) + 1.0
+    scale = np.array([1 / max(np.sqrt((ratios[ids] ** 2).sum()), 1e-12) for ids in rows])
+    square = np.array([(ratios[ids] ** 2).sum() for ids in rows]) * scale ** 2 + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            ids, v = rows[i], values[i]
+            ids = rows[i]
+            v = ratios[ids] * scale[i]
             g = y[i] * (w[ids] @ v + bias) - 1
             new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
@@ -114,8 +118,7 @@ def dual_coordinate_descent(rows, values, y, dim, cost, epochs, seed):
 
 def _fit_margins(rows, y, dim, cost, epochs, seed):
     r = log_count_ratios(rows, y, dim)
-    values = [r[ids] / max(np.sqrt((r[ids] ** 2).sum()), 1e-12) for ids in rows]
-    w, bias = dual_coordinate_descent(rows, values, y, dim, cost, epochs, seed)
+    w, bias = dual_coordinate_descent(rows, r, y, cost, epochs, seed)
     return r, w * r, bias
 
 

@@ -49,8 +49,8 @@ def test_quality_edge_cases(spark):
 def test_hinge_loss_fit_separates():
     rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])] * 5
     y = np.array([1, 1, -1, -1] * 5)
-    w, b = quality.dual_coordinate_descent(rows, [np.ones(2)] * 20, y, 4, np.ones(20), 50, 1)
-    assert all(np.sign(w[r].sum() + b) == t for r, t in zip(rows, y))
+    w, b = quality.dual_coordinate_descent(rows, np.ones(4), y, np.ones(20), 50, 1)
+    assert all(np.sign(w[r].sum() / np.sqrt(2) + b) == t for r, t in zip(rows, y))
 
 
 def brute_nearest(rows, k=10):
