@@ -12,8 +12,7 @@ Documents are sets of distinct word shingles; two link when 100 * |A & B| >= per
   rows and meetings, and at most (sum of the estimated partners in it) / l documents share l of it.
   Two documents need min(l_a, l_b) shared shingles in the prefixes of that l.
 * Pair bounds: sizes (n_b * 100 >= percent * n_a), and positions for the pair's own necessary
-  overlap o_ab: only shingles before n - o_ab + l count; a class whose prefix holds so many
-  shingles that no other class has that o_ab can't be reached is out.
+  overlap o_ab: only shingles before n - o_ab + l count.
 * Hot lists: where a shingle's list has ``hot`` classes or more, each is first compared with the
   list's hub, the class where that shingle comes earliest (it has the fewest rare shingles of its
   own, like the origin of a group of near copies). Classes joined that way need no comparison with
@@ -294,15 +293,10 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
     joined = connected_components(hub_links)
 
     # all lists: pairs of different components
-    known = lists.groupBy("sig").agg(F.count(one).cast("int").alias("shared"))
-    state = (known.join(joined.withColumnRenamed("node", "sig"), "sig", "left")
-             .select("sig", "shared", F.coalesce("root", "sig").alias("root")))
-    hot_rows = lists.where(F.col("m") >= hot).join(state, "sig")
-    # a prefix of n - o + l holds n - o + l - shared shingles that no other class has
-    alone = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + F.col("l") - F.col("shared")
-    hot_rows = hot_rows.withColumn("most", (F.col("n") - alone).cast("int"))
+    hot_rows = (lists.where(F.col("m") >= hot).join(joined.withColumnRenamed("node", "sig"), "sig", "left")
+                .withColumn("root", F.coalesce("root", "sig")))
     by_token = Window.partitionBy("token")
-    cols = ("sig", "n", "pos", "l", "root", "most")
+    cols = ("sig", "n", "pos", "l", "root")
     hot_rows = written(hot_rows.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token))
                        .where("lo <> hi").select("token", *cols), "join-hot")
     x = hot_rows.withColumnsRenamed({c: f"x_{c}" for c in cols})
@@ -310,7 +304,7 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
     xn, yn, ell = F.col("x_n"), F.col("y_n"), F.least("x_l", "y_l")
     o = _overlap(percent, xn, yn)
     hot_pairs = (x.join(y, "token").where((F.col("x_sig") < F.col("y_sig")) & (F.col("x_root") != F.col("y_root"))
-                                          & _fits(percent, xn, yn) & (F.col("x_most") >= o) & (F.col("y_most") >= o)
+                                          & _fits(percent, xn, yn)
                                           & _within(xn, F.col("x_pos"), o, ell) & _within(yn, F.col("y_pos"), o, ell))
                  .select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), ell.alias("l")))
     cold_pairs = (lists.where(F.size("near") > 0).select("sig", F.explode("near").alias("x"))

@@ -72,6 +72,17 @@ def test_groups_of_near_copies(spark, hot):
     assert result(got) == brute(rows)
 
 
+def test_shingle_beyond_the_partners_prefix(spark):
+    """A prefix shingle that no other class has in its prefix may still stand further back in a partner."""
+    rng = random.Random(11)
+    x = [f"x{i}" for i in range(16)]
+    rows = [(0, " ".join(x))]
+    rows += [(1 + i, " ".join(x + [f"y{i}a{j}" for j in range(3)])) for i in range(7)]
+    rows.append((20, " ".join(x[:5])))
+    rows += [(100 + i, " ".join([f"u{rng.randrange(10**9)}" for _ in range(200)] + x[1:])) for i in range(50)]
+    assert result(ngram_join.near_duplicates(docs_of(spark, rows))) == brute(rows)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "one two"), (9, "ONE\x0btwo"), (10, "one two three"), (None, "one two"), (11, long),
