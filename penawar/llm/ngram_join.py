@@ -316,17 +316,22 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
     return members, written(links, "join-links")
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, **params) -> DataFrame:
-    """One row per document: doc_id, _h, n_shingles, component_id (least doc_id reachable)."""
+def _grouped(docs: DataFrame, size: int, percent: int, **params) -> DataFrame:
+    """(doc_id, _h, n, root, component_id) for every row with a doc_id; root: the component's class, null without words."""
     members, links = jaccard_links(docs, size, percent, **params)
     roots = connected_components(links)
     least = (members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
              .join(roots.withColumnRenamed("node", "sig"), "sig", "left"))
     least = least.withColumn("root", F.coalesce("root", "sig"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(ids, "root").select("sig", "component_id")
-    found = (members.join(named, "sig", "left")
-             .select("doc_id", "_h", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    named = least.join(ids, "root").select("sig", "root", "component_id")
+    return (members.join(named, "sig", "left")
+            .select("doc_id", "_h", "n", "root", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, **params) -> DataFrame:
+    """One row per document: doc_id, _h, n_shingles, component_id (least doc_id reachable)."""
+    found = _grouped(docs, size, percent, **params).select("doc_id", "_h", F.col("n").cast("long").alias("n_shingles"), "component_id")
     ship_package(docs.sparkSession)
     lost = columns_of(docs, "doc_id", "text").where(F.col("doc_id").isNull())
     none = (lost.select("doc_id", "text", row_key().alias("_h")).mapInArrow(_set_task(size, 14), _SETS).where("block is null")
@@ -334,14 +339,16 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, *
     return found.unionByName(none)
 
 
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each component (the one that names it; of equal rows one), and every row without
-    words or without a doc_id; columns as they are. Only rows that may go are shuffled."""
-    found = (near_duplicates(docs, **params).where("n_shingles > 0 and doc_id is not null")
-             .groupBy("doc_id", "_h").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
+def drop_near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, **params) -> DataFrame:
+    """``docs`` with one document of each component (the row of least doc_id, then of least text hash; of equal rows one),
+    and every row without words or without a doc_id; columns as they are. Only rows that may go are shuffled."""
+    found = (_grouped(docs, size, percent, **params).where("n > 0")
+             .groupBy("doc_id", "_h").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("rows")))
     found = written(found, "dedup-found")
-    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_h").alias("named"))
-    go = (found.join(named, "doc_id", "left").withColumn("stays", F.coalesce(F.col("_h") == F.col("named"), F.lit(False)))
+    # one doc_id may stand in several components, so a component is told by its root
+    named = (found.groupBy("root").agg(F.min(F.struct("doc_id", "_h")).alias("named"))
+             .select("named.doc_id", "named._h", F.lit(True).alias("named")))
+    go = (found.join(named, ["doc_id", "_h"], "left").withColumn("stays", F.coalesce("named", F.lit(False)))
           .where("not stays or rows > 1").select("doc_id", "_h", "stays"))
     go = written(go, "dedup-go")
     d = packed(docs).drop("text")

@@ -98,6 +98,13 @@ def test_edge_cases(spark):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.drop_near_duplicates(empty).count() == 0
 
 
+def test_a_doc_id_in_two_components_keeps_a_row_in_each(spark):
+    near = "the same words of a group in a row " * 2
+    rows = [(8, "one two"), (9, "ONE two"), (8, "an other text of the same id here"), (7, near + "x1"), (7, "alone under this id"), (12, near + "x1")]
+    kept = ngram_join.drop_near_duplicates(docs_of(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[2], rows[3], rows[4]])
+
+
 def test_one_document_of_each_component_stays(spark, sf001):
     docs = spark.read.parquet(f"{sf001}/documents.parquet")
     found = brute([(r.doc_id, r.text) for r in docs.collect()])
