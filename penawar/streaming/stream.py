@@ -115,11 +115,11 @@ GUARD_STATE = T.StructType([
 ])
 
 
-# a session without events for this long (event time) is forgotten
+# a session without members is forgotten this long (event time) after its last event and the end of its run
 EXPIRY_MS = 24 * 3600 * 1000
 
 
-def _guard(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _guard(key, pdfs: Iterator[pd.DataFrame], state: GroupState, expiry_ms: int = EXPIRY_MS) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -145,19 +145,27 @@ def _guard(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.
             cancelled_at, busy_until = r.ts, None
             out.append((r.session_id, r.event_id, r.ts, r.kind, "cancelled"))
     state.update((busy_until, members, cancelled_at))
-    last = int(rows["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + EXPIRY_MS)
+    if members == 0:  # while someone is joined the state stays, without a timer
+        until = rows["ts"].max() if pd.isna(busy_until) else max(rows["ts"].max(), pd.Timestamp(busy_until))
+        state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs()) + expiry_ms)
     yield pd.DataFrame(out, columns=[f.name for f in GUARD_OUT.fields])
 
 
-def session_guard(events: DataFrame) -> DataFrame:
+def session_guard(events: DataFrame, expiry_ms: int = EXPIRY_MS) -> DataFrame:
     """X3-X5 on a stream of session events (session_id, event_id, ts, kind, end_at),
     kind in start / join / leave / cancel. Sequential per session, so the session
-    is the state key; sessions are spread over tasks by the key hash. A cancel or the last leave frees the session."""
+    is the state key; sessions are spread over tasks by the key hash. A cancel or the last leave frees the session.
+
+    A session's state is kept while its joins and leaves don't balance, else until ``expiry_ms`` of event time after its
+    last event and after the end of its accepted run, whichever is later; only then is it forgotten."""
     ship_package(events.sparkSession)
+
+    def run(key, pdfs, state):
+        return _guard(key, pdfs, state, expiry_ms)
+
     return (events.withWatermark("ts", "1 hour")
             .groupBy("session_id")
-            .applyInPandasWithState(_guard, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(run, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def progress_stream(results: DataFrame, totals: DataFrame) -> DataFrame:

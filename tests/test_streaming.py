@@ -140,6 +140,23 @@ def test_cancel_and_last_leave_free_the_session(spark):
     assert got == {1: "accepted", 2: "cancelled", 3: "member", 4: "accepted", 5: "accepted", 6: "rejected", 7: "session_end", 8: "accepted"}
 
 
+def test_a_run_of_several_days_outlives_the_expiry(spark):
+    d = tempfile.mkdtemp(prefix="days-")
+    t0, h = dt.datetime(2024, 1, 1, 10, 0, 0), dt.timedelta(hours=1)
+    schema = "session_id string, event_id long, ts timestamp, kind string, end_at timestamp"
+    z = [("z", 100 + k, t0 + k * 24 * h, "start", t0 + k * 24 * h + h) for k in range(8)]  # moves the watermark
+    steps = [[("a", 1, t0, "start", t0 + 120 * h), ("b", 2, t0, "join", None), ("b", 3, t0, "join", None), z[0]], [z[2]], [z[3]],
+             [("a", 4, t0 + 73 * h, "start", t0 + 74 * h), ("b", 5, t0 + 73 * h, "leave", None)], [z[6]], [z[7]], [("a", 6, t0 + 170 * h, "start", t0 + 171 * h)]]
+    _batches(d + "/e", [spark.createDataFrame(x, schema) for x in steps])
+    out = _run_batches(spark, stream.session_guard(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d + "/e")), "days_t1")
+    got = {r.event_id: r.outcome for r in out.collect()}
+    ev = spark.createDataFrame([x for s in steps for x in s if x[3] == "start"], schema)
+    starts = ev.select("session_id", F.col("event_id").alias("start_id"), F.col("ts").alias("start_at"), "end_at")
+    twin = {r.start_id: ("accepted" if r.accepted else "rejected") for r in ses_ops.duplicate_start(starts).collect()}
+    assert {k: got[k] for k in twin} == twin and (got[1], got[4], got[6]) == ("accepted", "rejected", "accepted")
+    assert got[5] == "left"
+
+
 def test_progress_counts_a_line_once(spark):
     d = tempfile.mkdtemp(prefix="prog2-")
     schema = "session_id string, line_index int"
