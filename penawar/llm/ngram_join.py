@@ -48,6 +48,7 @@ SKETCH_BLOCK = 1 << 14
 HOT = 8
 MAX_MATCH = 8
 PAIR_COST = 4.0
+CELL_ROWS = 1024
 FLUSH = 500_000
 
 
@@ -269,10 +270,30 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 # ---- the join ---------------------------------------------------------------------------
 
-def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, hot: int = HOT):
+def _list_pairs(rows: DataFrame, percent: int, cell_rows: int) -> DataFrame:
+    """(a, b, l): all pairs of each list that pass the pair bounds. A list of m classes is dealt into m / cell_rows
+    pieces by the class's hash, and every two pieces meet in a cell of their own."""
+    pieces = F.ceil(F.col("m") / cell_rows).cast("int")
+    r = (rows.select("token", "sig", "n", "pos", "l", pieces.alias("pieces"))
+         .withColumn("piece", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    x = r.select("token", F.col("piece").alias("i"), other.alias("j"), *[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "pos", "l")])
+    y = r.select("token", other.alias("i"), F.col("piece").alias("j"), *[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "pos", "l")])
+    xn, yn, ell = F.col("x_n"), F.col("y_n"), F.least("x_l", "y_l")
+    o = _overlap(percent, xn, yn)
+    return (x.join(y, ["token", "i", "j"])
+            .where((F.col("x_sig") < F.col("y_sig")) & _fits(percent, xn, yn)
+                   & _within(xn, F.col("x_pos"), o, ell) & _within(yn, F.col("y_pos"), o, ell))
+            .select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), ell.alias("l")))
+
+
+def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, hot: int = HOT,
+                  exact: bool = False, cell_rows: int = CELL_ROWS):
     """(members, links): members (doc_id, _h, sig, n) for every row with a doc_id; links (a, b) between classes.
 
-    The links leave out pairs of classes that other links connect already within a hot list."""
+    By default the links leave out pairs of classes that other links connect already within a hot list: enough for
+    components. With ``exact`` they are all pairs of different sets that link, so as many as the square of a group of
+    near copies; ``links_per_class`` counts them."""
     ship_package(docs.sparkSession)
     docs = columns_of(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
     sets = written(docs.select("doc_id", "text", row_key().alias("_h")).mapInArrow(_set_task(size, sketch_bits), _SETS), "join-sets")
@@ -282,6 +303,11 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
             .select("sig", "rep.doc_id", "rep._h"))
     lists = written(posting_lists(docs, counters, size, percent, hot), "join-lists")
 
+    if exact:
+        near = _list_pairs(lists, percent, cell_rows)
+        pairs = (near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("l").alias("l")).where("k >= l").select("a", "b"))
+        return members, written(_verified(docs, written(pairs, "join-pairs"), reps, size, percent), "join-links")
+
     # hot lists: every class against the hub
     o = _overlap(percent, F.col("n"), F.col("hub_n"))
     one = F.lit(1)
@@ -316,6 +342,13 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
     return members, written(links, "join-links")
 
 
+def links_per_class(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, n_links): for every class with words the number of links it has."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
+    return (members.where("n > 0").select("sig").distinct().join(ends, "sig", "left")
+            .select("sig", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
 def _grouped(docs: DataFrame, size: int, percent: int, **params) -> DataFrame:
     """(doc_id, _h, n, root, component_id) for every row with a doc_id; root: the component's class, null without words."""
     members, links = jaccard_links(docs, size, percent, **params)

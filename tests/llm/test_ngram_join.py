@@ -83,6 +83,27 @@ def test_shingle_beyond_the_partners_prefix(spark):
     assert result(ngram_join.near_duplicates(docs_of(spark, rows))) == brute(rows)
 
 
+def test_exact_mode_returns_all_links(spark):
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(100)]
+    texts = sorted({edited(rng, base, rng.randrange(0, 3)) for _ in range(60)})
+    rows = list(enumerate(texts)) + [(900, texts[0].upper())]
+    members, links = ngram_join.jaccard_links(docs_of(spark, rows), sketch_bits=14, exact=True, cell_rows=16)
+    by = {}
+    for r in members.collect():
+        by.setdefault(r.sig, min(r.doc_id, by.get(r.sig, r.doc_id)))
+    got = sorted(tuple(sorted((by[r.a], by[r.b]))) for r in links.collect())
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets.setdefault(frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4)), i)
+    x = sorted((i, s) for s, i in sets.items())
+    want = [(a, b) for k, (a, s) in enumerate(x) for b, t in x[k + 1:] if 100 * len(s & t) >= 75 * len(s | t)]
+    assert got == sorted(want) and len(want) > 100
+    per = {by[r.sig]: r.n_links for r in ngram_join.links_per_class(members, links).collect()}
+    assert per == {i: sum(i in p for p in want) for i, _ in x}
+
+
 def test_edge_cases(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "one two"), (9, "ONE\x0btwo"), (10, "one two three"), (None, "one two"), (11, long),
