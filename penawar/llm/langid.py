@@ -15,7 +15,7 @@ by grouped aggregation, so one host's pages never meet in one task. The pages of
 own posterior out of its counts (leave one out).
 
 Training: documents with a doc_id, lang and text, of each language the ``per_language`` ids of least hash
-(a documented bound; at most ``max_languages`` languages, the most frequent). Pages: a null html has no
+(a documented bound of each sample); every language that has such rows is trained, 2^BITS numbers each. Pages: a null html has no
 text, a null url no host; then the other evidence decides. Texts of any length are read whole.
 Repeated rows are judged alike but count; a null page_id is kept. Only the named columns are read.
 Without training rows the language is null.
@@ -37,7 +37,6 @@ from penawar.session import ship_package
 BITS = 16
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 64
 TEXT_WEIGHT = 30.0
 KAPPA = (5.0, 10.0, 50.0)  # pseudo-counts of domain for host, top-level domain for domain, corpus for top-level domain
 _INVISIBLE = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -62,19 +61,15 @@ def ngram_counts(text: str, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, seed: int = 5):
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5):
     """(languages, log P(n-gram | language) of shape (languages, 2^BITS))."""
     ship_package(docs.sparkSession)
     d = columns_of(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    top = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    langs = sorted(r["lang"] for r in top)
-    if not langs:
-        return [], np.zeros((0, 1 << BITS))
     # the ids first, without the texts: a group limit keeps per_language rows of a language in every task
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    ids = (d.where(F.col("lang").isin(*langs) & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
+    ids = (d.where(F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
            .withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r"))
-    # at most per_language * max_languages ids are broadcast
+    # at most per_language ids a language are broadcast
     sample = (d.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang")
               .agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
@@ -91,10 +86,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [total.tobytes()]})
 
     parts = sample.select("lang", "text").repartition(8).mapInPandas(count, "lang string, counts binary")
-    if not ids.limit(1).count():
-        return [], np.zeros((0, 1 << BITS))
     rows = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in parts.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()}
-    langs = [x for x in langs if x in rows]
+    if not rows:
+        return [], np.zeros((0, 1 << BITS))
+    langs = sorted(rows)
     table = np.vstack([rows[x] for x in langs]) + 0.5
     return langs, np.log(table) - np.log(table.sum(axis=1, keepdims=True))
 
@@ -139,7 +134,7 @@ def identify(pages: DataFrame, docs: DataFrame, text_weight: float = TEXT_WEIGHT
     p = written(p.withColumn("post", _softmax(F.col("text"))).withColumn("row", F.monotonically_increasing_id()), "lang-text")
     n = len(langs)
     every = [F.get("all", F.lit(i)) for i in range(n)]
-    # one row for the corpus; it is one of at most `max_languages` numbers
+    # one row for the corpus; it is one number a language
     total = _sum_by(p, [], langs, "all").select([((x + 1) / 1).alias(str(i)) for i, x in enumerate(every)]).first()
     total = np.array([float(x) if x is not None else 1.0 for x in total])
     prior = total / total.sum()

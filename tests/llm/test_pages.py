@@ -119,3 +119,15 @@ def test_languages(spark):
     text_right = sum(got[r.doc_id].text_lang == r.lang for r in rows) / len(rows)
     assert right >= 0.97 and right >= text_right - 0.01, (right, text_right)
     assert got[-2].lang == "fr" and 0 < got[-2].p <= 1
+
+
+def test_every_language_with_rows_is_trained(spark):
+    """70 languages; the one with the fewest rows is found by its own text."""
+    rare = "qqxyz wwvuk qqxyz jjhkp"
+    rows = [(100 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(98 + k % 24)} word " * 3, f"l{k:02d}") for k in range(69) for i in range(2)]
+    rows.append((9000, rare, "zz"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logp = langid.train(docs)
+    assert langs == sorted({r[2] for r in rows}) and logp.shape[0] == 70
+    got = langid.identify(pages_of(spark, [(1, "http://a.zz/", f"<html lang=zz>{rare} {rare}</html>")]), docs).collect()
+    assert got[0].text_lang == "zz"
