@@ -112,7 +112,8 @@ FROM p JOIN f ON f.html = p.html
 
 OP8 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                       '[^ 	-]+') AS w FROM documents),
+                                                       '[^ 	-
+]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
        FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
@@ -125,6 +126,93 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS s
+        FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+low AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+gone AS (SELECT DISTINCT rid, q FROM (SELECT rid, unnest(range(p, p + 50)) AS q FROM win JOIN low ON low.s = win.s AND doc_id > least)),
+each AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (SELECT e.rid, string_agg(e.w[e.q], ' ' ORDER BY e.q) AS t, count(*) AS n
+         FROM each e LEFT JOIN gone g ON g.rid = e.rid AND g.q = e.q WHERE g.q IS NULL GROUP BY e.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+OP12 = """
+WITH v AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_sum([a.x[i] * b.x[i] FOR i IN range(1, len(a.x) + 1)]) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.id <> b.id OR a.label <> b.label WHERE a.id % 50 = 0),
+pos AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT pos.anchor_id, pos.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+       pos.score AS positive_score, n.score AS negative_score
+FROM pos JOIN s n ON n.anchor_id = pos.anchor_id AND NOT n.same AND 50 * pos.score <= 100 * n.score AND 100 * n.score <= 95 * pos.score
+WINDOW w AS (PARTITION BY pos.anchor_id, pos.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+def _op13() -> str:
+    """The cheapest edits row by row from the front: four states per conversation, then the audit is walked."""
+    insert = "[{0}[1], {0}[2], list_min([{0}[3]] || [{{'c': {0}[x].c + 3, 'a': {0}[x].a || 'I'}} for x in [1, 2, 4]]), {0}[4]]"
+    then = "[{0}[1], {0}[2], {0}[3], list_min([{0}[4], {{'c': {0}[3].c + 3, 'a': {0}[3].a || 'I'}}])]"
+    none = "{'c': 1000000000, 'a': ''}"
+
+    def move(q: int, cost: str, letter: str, when: str = "true") -> str:
+        return f"CASE WHEN {when} THEN {{'c': s[{q}].c + {cost}, 'a': s[{q}].a || '{letter}'}} ELSE {none} END"
+
+    def options(q: int, sources: list[int], role: str) -> str:
+        moves = [move(q, "4", "D")]
+        for x in sources:
+            moves.append(move(x, "cut", "K", f"NOT gone AND initial = '{role}'"))
+            if role != "s":
+                moves.append(move(x, "3 + cut", "R", "NOT gone"))
+        return f"list_min([{', '.join(moves)}])"
+
+    step = f"[{options(1, [], '')}, {options(2, [1], 's')}, {options(3, [1, 2, 4], 'u')}, {options(4, [3], 'a')}]"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS t
+                       FROM range(256) r(n)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k FROM conversations),
+dealt AS (SELECT conv_id, turn, role, text, xor(list_reduce([ord(x) FOR x IN k], lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS d
+          FROM keyed, crc),
+bad AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+               CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE d WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM dealt),
+ids AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+r0 AS (SELECT cid, turn, role, text, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i
+       FROM bad JOIN ids ON ids.conv_id IS NOT DISTINCT FROM bad.conv_id),
+r1 AS (SELECT *, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again,
+              lag(substr(role, 1, 1)) OVER (PARTITION BY cid ORDER BY i) || substr(role, 1, 1) AS pair FROM r0),
+r AS (SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS open,
+             substr(role, 1, 1) AS initial, body = '' OR again AS gone FROM r1),
+tally AS (SELECT cid, count_if(blank) AS blank, count_if(dup) AS duplicate, count_if(open) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal,
+                 coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, max(i) AS n FROM r GROUP BY cid),
+dp(cid, i, s) AS (
+  SELECT cid, 0::BIGINT, [{{'c': 0, 'a': ''}}, {none}, {{'c': 3, 'a': 'I'}}, {{'c': 6, 'a': 'II'}}] FROM tally
+  UNION ALL
+  SELECT cid, i, {then.format('u')} FROM (SELECT cid, i, {insert.format('v')} AS u FROM (SELECT cid, i, {then.format('z')} AS v FROM (
+    SELECT dp.cid, r.i, {step} AS z FROM dp JOIN (SELECT *, CASE WHEN open THEN 3 ELSE 0 END AS cut FROM r) r ON r.cid = dp.cid AND r.i = dp.i + 1)))),
+best AS (SELECT dp.cid, list_min([s[1], s[4]]) AS b FROM dp JOIN tally t ON t.cid = dp.cid AND t.n = dp.i),
+walk(cid, p, i, q, lines) AS (
+  SELECT cid, 0::BIGINT, 0::BIGINT, 0, []::VARCHAR[] FROM best
+  UNION ALL
+  SELECT cid, p + 1, CASE WHEN x = 'I' THEN i ELSE i + 1 END,
+         CASE WHEN x = 'D' THEN q WHEN x = 'K' AND initial = 's' THEN 1 WHEN q = 2 THEN 3 ELSE 2 END,
+         CASE WHEN x = 'D' THEN lines WHEN x = 'I' THEN lines || [name || ':'] WHEN x = 'R' THEN lines || [name || ':' || text] ELSE lines || [role || ':' || text] END
+  FROM (SELECT w.*, substr(b.b.a, w.p + 1, 1) AS x, CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END AS name, r.role, r.text, r.initial
+        FROM walk w JOIN best b ON b.cid = w.cid AND w.p < length(b.b.a) LEFT JOIN r ON r.cid = w.cid AND r.i = w.i + 1)),
+done AS (SELECT w.cid, w.lines FROM walk w JOIN best b ON b.cid = w.cid AND w.p = length(b.b.a))
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.b.c, 0) AS BIGINT) AS cost,
+       coalesce(best.b.a, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN tally USING (cid) LEFT JOIN best USING (cid) LEFT JOIN done USING (cid)
+"""
+
 
 SQL = {"op1_secret_scan": _op1(), "op2_url_filter": _op2(), "op3_warc": _op3(), "op8_jaccard_join": OP8,
-       "op9_decontaminate": OP9, "op10_license_scan": _op10()}
+       "op9_decontaminate": OP9, "op10_license_scan": _op10(),
+       "op11_substring_dedup": OP11, "op12_hard_negatives": OP12, "op13_conversation_repair": _op13()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penawar.llm import ann, decontam, langid, licenses, mixing, ngram_join, quality, secrets, url_filter, warc
+from penawar.llm import ann, decontam, langid, licenses, mixing, negatives, ngram_join, quality, repair, secrets, substrings, url_filter, warc
 from penawar.llm.common import table
 
 
@@ -51,4 +51,17 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_warc, op4_ann, op5_language_id, op6_mix_sources, op7_quality, op8_jaccard_join, op9_decontaminate, op10_license_scan)}
+def op11_substring_dedup(spark, sf_dir):
+    return substrings.kept_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(negatives.mislabelled(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_warc, op4_ann, op5_language_id, op6_mix_sources, op7_quality, op8_jaccard_join, op9_decontaminate, op10_license_scan,
+                                op11_substring_dedup, op12_hard_negatives, op13_conversation_repair)}
