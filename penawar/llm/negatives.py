@@ -268,7 +268,7 @@ def read_blocks(groups: DataFrame, blocks: DataFrame, need: DataFrame, cells: in
                 r, i, s = _top(scores, ids, counts, POSITIVES + 1, np.broadcast_to(labels == row["own"], scores.shape))
                 out.append(pd.DataFrame({"a": names[r], "p": 0, "id": i, "score": s}))
             else:
-                ps = _ragged(row["ps"])
+                ps = _windows(row)
                 for k in range(ps.shape[1]):
                     low, high, is_open = window_of(ps[:, k])
                     ok = (labels != row["own"])[None, :] & (scores >= low[:, None]) & (scores <= high[:, None]) & is_open[:, None]
@@ -285,16 +285,14 @@ def window_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, high, (p >= 0) & (low <= high)
 
 
+WINDOWS = POSITIVES + 1
 NO_WINDOW = -1
 LOWEST = -(2**63)
 
 
-def _ragged(rows) -> np.ndarray:
-    width = max((len(r) for r in rows), default=0)
-    out = np.full((len(rows), width), NO_WINDOW, np.int64)
-    for o, r in zip(out, rows):
-        o[:len(r)] = r
-    return out
+def _windows(g) -> np.ndarray:
+    """The scores p that open the anchors' windows: a row per anchor."""
+    return np.asarray(g["ps"], np.int64).reshape(-1, WINDOWS)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -303,9 +301,10 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _attached(groups: DataFrame, values: DataFrame, name: str, without: Column) -> DataFrame:
-    """``groups`` plus an array with the value of ``values`` (a, name) for each of its anchors, or ``without``."""
+    """``groups`` plus an array with the values (an array) of ``values`` (a, name) for its anchors one after the other,
+    or ``without``."""
     each = groups.select("grp", F.posexplode("names").alias("pos", "a")).join(values, "a", "left").withColumn(name, F.coalesce(name, without))
-    rows = each.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", name))), lambda x: x[name]).alias(name))
+    rows = each.groupBy("grp").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", name))), lambda x: x[name])).alias(name))
     return groups.join(rows, "grp")
 
 
@@ -326,7 +325,7 @@ def _reaching(g, labels, low, high) -> np.ndarray:
 
 def _near_windows(g, labels, low, high) -> np.ndarray:
     """Per window the block of another label whose middle is nearest to the window's top."""
-    ps, other = _ragged(g["ps"]), labels != g["label"]
+    ps, other = _windows(g), labels != g["label"]
     picked = [np.empty(0, np.int64)]
     middle = (low + high) // 2
     for k in range(ps.shape[1]):
@@ -339,12 +338,12 @@ def _near_windows(g, labels, low, high) -> np.ndarray:
 
 def _meeting(g, labels, low, high) -> np.ndarray:
     """The blocks of other labels whose scores may lie in a window, at least as high as what was found there."""
-    ps, other = _ragged(g["ps"]), labels != g["label"]
-    reached = [{x["p"]: x["score"] for x in r} for r in g["reached"]]
+    ps, other = _windows(g), labels != g["label"]
+    reached = np.asarray(g["reached"], np.int64).reshape(-1, WINDOWS)
     wanted = np.zeros(len(labels), bool)
     for k in range(ps.shape[1]):
         least, most, is_open = window_of(ps[:, k])
-        least = np.maximum(least, np.array([r.get(int(p), LOWEST) for r, p in zip(reached, ps[:, k])], np.int64))
+        least = np.maximum(least, reached[:, k])
         wanted |= (other[None, :] & (high >= least[:, None]) & (low <= most[:, None]) & is_open[:, None]).any(axis=0)
     return np.flatnonzero(wanted)
 
@@ -390,15 +389,21 @@ def hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
         return written(_best(read_blocks(groups, blocks, need, cells, dims, windows), k), f"negatives-{name}")
 
     first = search(groups, _promising, False, POSITIVES + 1, "first-positives")
-    reached = first.where(F.col("r") == POSITIVES + 1).select("a", F.col("score").alias("reached"))
-    positives = search(_attached(groups, reached, "reached", F.lit(LOWEST)), _reaching, False, POSITIVES + 1, "positives").select("a", "id", "score")
+    reached = first.where(F.col("r") == POSITIVES + 1).select("a", F.array("score").alias("reached"))
+    positives = search(_attached(groups, reached, "reached", F.array(F.lit(LOWEST))), _reaching, False, POSITIVES + 1, "positives").select("a", "id", "score")
+
+    def padded(values: Column, pad: int) -> Column:
+        return F.slice(F.concat(values, F.array_repeat(F.lit(pad).cast("long"), WINDOWS)), 1, WINDOWS)
 
-    scores = positives.where("score >= 0").groupBy("a").agg(F.array_sort(F.collect_set("score")).alias("ps"))
-    windows = written(_attached(groups, scores, "ps", F.array().cast("array<long>")), "negatives-windows")
+    opened = (positives.where("score >= 0").groupBy("a").agg(F.array_sort(F.collect_set("score")).alias("ps"))
+              .withColumn("ps", padded(F.col("ps"), NO_WINDOW)))
+    opened = written(opened, "negatives-opened")
+    windows = written(_attached(groups, opened, "ps", F.array_repeat(F.lit(NO_WINDOW).cast("long"), WINDOWS)), "negatives-windows")
     first = search(windows, _near_windows, True, NEGATIVES, "first-negatives")
-    reached = (first.where(F.col("r") == NEGATIVES).groupBy("a")
-               .agg(F.sort_array(F.collect_list(F.struct("p", "score"))).alias("reached")))
-    negatives = search(_attached(windows, reached, "reached", F.array().cast("array<struct<p:long,score:long>>")), _meeting, True, NEGATIVES, "negatives")
+    third = (first.where(F.col("r") == NEGATIVES).groupBy("a")
+             .agg(F.map_from_entries(F.collect_list(F.struct("p", "score"))).alias("third")))
+    reached = opened.join(third, "a").select("a", F.transform("ps", lambda p: F.coalesce(F.try_element_at("third", p), F.lit(LOWEST))).alias("reached"))
+    negatives = search(_attached(windows, reached, "reached", F.array_repeat(F.lit(LOWEST), WINDOWS)), _meeting, True, NEGATIVES, "negatives")
 
     # every anchor of a class takes the class's positives but itself
     own = (asked.select(F.col("id").alias("anchor_id"), "a").join(positives, "a").where(F.col("id") != F.col("anchor_id"))
