@@ -41,6 +41,7 @@ from penawar.session import ship_package
 SIZE = 50
 GRAM = 10
 GROUP_ROWS = 200_000
+HOT_CLASS = 1000
 FLUSH = 200_000
 
 _MUL = 0x9E3779B97F4A7C15
@@ -232,7 +233,8 @@ def _span_task(size: int):
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, group_rows: int = GROUP_ROWS,
+                      hot_class: int = HOT_CLASS) -> DataFrame:
     """One row per document: doc_id, _h (hash of the text), n_words, words_sha, spans (word ranges to remove, end exclusive)."""
     ship_package(docs.sparkSession)
     docs = columns_of(docs, "doc_id", "text").select("doc_id", "text", row_key().alias("_h"))
@@ -246,14 +248,20 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, group
              .select("words_sha", F.col("doc_id").alias("least"), "pos")
              .mapInPandas(_span_task(size), f"words_sha string, least long, spans {_SPANS}"))
     # classes of which any row loses words: those with spans and those with copies
-    copied = classes.where("rows > 1").select("words_sha", F.col("doc_id").alias("least"), F.lit(None).cast(_SPANS).alias("spans"))
-    losing = (found.unionByName(copied).groupBy("words_sha").agg(F.min("least").alias("least"), F.first("spans", ignorenulls=True).alias("spans")))
+    copied = classes.where("rows > 1").select("words_sha", F.col("doc_id").alias("least"), F.lit(None).cast(_SPANS).alias("spans"), "rows")
+    losing = (found.withColumn("rows", F.lit(1).cast("long")).unionByName(copied).groupBy("words_sha")
+              .agg(F.min("least").alias("least"), F.first("spans", ignorenulls=True).alias("spans"), F.max("rows").alias("rows")))
+    losing = written(losing, "repeats-losing-classes")
+    # a class of many rows doesn't meet in one task: there are at most 1/hot_class of those
+    hot = broadcast_if_small(losing.where(F.col("rows") > hot_class).select("words_sha", "least", "spans"))
+    marked = seen.drop("anchors").join(hot, "words_sha", "left")
+    cold = losing.where(F.col("rows") <= hot_class).select("words_sha", "least", "spans")
+    judged = marked.where("least is not null").unionByName(marked.where("least is null").drop("least", "spans").join(cold, "words_sha", "left"))
     none = F.array().cast(_SPANS)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"))).cast(_SPANS)
-    return (seen.drop("anchors").join(losing, "words_sha", "left")
-            .select("doc_id", "_h", "n_words", "words_sha",
-                    F.when(F.col("doc_id") > F.col("least"), whole)
-                    .when(F.col("doc_id") == F.col("least"), F.coalesce("spans", none)).otherwise(none).alias("spans")))
+    return judged.select("doc_id", "_h", "n_words", "words_sha",
+                         F.when(F.col("doc_id") > F.col("least"), whole)
+                         .when(F.col("doc_id") == F.col("least"), F.coalesce("spans", none)).otherwise(none).alias("spans"))
 
 
 def _keep_task(batches):
