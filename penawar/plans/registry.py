@@ -332,7 +332,8 @@ from penawar.operators import rerank as rr_ops  # noqa: E402
 from penawar.operators import route as route_ops  # noqa: E402
 from penawar.operators import search as search_ops  # noqa: E402
 from penawar.operators.extract import extract_rules  # noqa: E402
-from penawar.operators.similarity_join import trigram_topk, vector_topk  # noqa: E402
+from penawar.operators.similarity_join import vector_topk, vector_topk_lsh  # noqa: E402
+from penawar.operators.trigram_index import trigram_topk  # noqa: E402
 
 
 def _line_names(spark, d):
@@ -370,6 +371,14 @@ def vector_search(spark, d):
     return v.select(F.col("key").cast("long").alias("vec_id"), "rank", "id", F.round("sim", 9).alias("sim"))
 
 
+@query
+def vector_search_lsh(spark, d):
+    """J2, approximate: the same search through hash codes."""
+    q = fx.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("qvec"))
+    v = vector_topk_lsh(q, fx.catalog(spark, d))
+    return v.select(F.col("key").cast("long").alias("vec_id"), "rank", "id", F.round("sim", 9).alias("sim"))
+
+
 def _pairs(spark, d):
     return _line_names(spark, d).select("name", "qvec_id").distinct()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from penawar.operators.rerank import rule_rerank
 from penawar.operators.search import obvious
-from penawar.operators.similarity_join import trigram_topk
+from penawar.operators.trigram_index import trigram_topk
 
 SEED = [
     (1, "Sepatu Nike Air Force 1 '07 Putih Size 41", "Nike", "Footwear"),

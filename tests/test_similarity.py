@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from penawar.functions.similarity import trigram_seq, word_similarity, word_similarity_brute
 from penawar.operators.extract import extract_rules
-from penawar.operators.similarity_join import trigram_topk, vector_topk
+from penawar.operators.similarity_join import vector_topk, vector_topk_lsh
+from penawar.operators.trigram_index import trigram_topk
 from penawar.sources import fixtures as fx
 
 from .conftest import SF001
@@ -94,29 +95,76 @@ def test_offer_top_k_plans_group_limit(spark):
     assert "WindowGroupLimit" in opt
 
 
-def test_copies_grow_linearly_with_the_sides(spark):
-    from penawar.operators.similarity_join import CELLS_PER_CORE, _grid
+def test_grid_cells_stay_bounded(spark):
+    from penawar.operators.similarity_join import CELL_SIDE, CELLS_PER_CORE, _grid
 
     cells = CELLS_PER_CORE * spark.sparkContext.defaultParallelism
-    copies = []
     for f in (1, 10, 100, 1000):
-        rows, cols = _grid(spark, 60_000 * f, 20_000 * f)
-        assert rows * cols <= cells and rows * cols >= cells // 2
-        copies.append((60_000 * cols + 20_000 * rows) * f)
-    assert copies == [copies[0], copies[0] * 10, copies[0] * 100, copies[0] * 1000]
-    assert _grid(spark, 1, 10**6)[0] == 1 and _grid(spark, 10**6, 1)[1] == 1
-
-
-def test_small_blocks_give_the_same_rows(spark, monkeypatch):
-    """Many blocks per cell, some of a single long name, against one block."""
-    from penawar.config import MatchConfig
-    from penawar.operators import similarity_join as sj
-
-    cat = fx.catalog(spark, SF001, with_embedding=False).toPandas()[["id", "name"]]
-    cat["name_len"] = cat["name"].str.len()
-    cat.loc[0, "name"] = cat.loc[0, "name"] + " " + " ".join(f"kata{i}" for i in range(300))
-    q = cat[["name"]].rename(columns={"name": "key"}).iloc[::3]
-    rows = lambda cfg: sorted(map(tuple, sj._trigram_block(cfg)(q, cat)[["key", "id", "score"]].values.tolist()))
-    want = rows(MatchConfig())
-    monkeypatch.setattr(sj, "BLOCK_CELLS", 4000)
-    assert rows(MatchConfig(catalog_block_rows=16, query_block_rows=7)) == want
+        q, c = 60_000 * f, 20_000 * f
+        rows, cols = _grid(spark, q, c)
+        assert rows * cols >= cells // 2 and q / rows <= CELL_SIDE and c / cols <= CELL_SIDE
+    assert _grid(spark, 1, 10**5)[0] == 1 and _grid(spark, 10**5, 1)[1] == 1
+
+
+def test_lsh_recall_and_exact_scores(spark):
+    """Clustered vectors, some of them equal and many of them in one code: recall at 8 at least 0.9, scores exact."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(30, 32))
+    x = centers[rng.integers(30, size=1500)] + 0.5 * rng.normal(size=(1500, 32))
+    x[:400] = x[0]
+    cat = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, embedding array<float>")
+    q = cat.where("id % 15 = 0").select(F.col("id").cast("string").alias("key"), F.col("embedding").alias("qvec"))
+    q = q.unionByName(spark.createDataFrame([("null", None), ("short", [1.0]), ("zero", [0.0] * 32)], q.schema))
+    exact = {(r.key, r.id): r.sim for r in vector_topk(q.where("key not in ('short')"), cat).collect()}
+    found = {(r.key, r.id): r.sim for r in vector_topk_lsh(q, cat).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(abs(exact[k] - found[k]) < 1e-12 for k in exact.keys() & found.keys())
+    ranks = vector_topk_lsh(q, cat, tables=40, bits=2, probes=4).select("key", "rank", "id").collect()
+    assert sorted(ranks) == sorted(vector_topk(q.where("key <> 'short'"), cat).select("key", "rank", "id").collect())  # all codes probed: exact
+
+
+def _random_names(seed, n, words):
+    rng = np.random.default_rng(seed)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 7))) for _ in range(words)]
+    weights = 1 / np.arange(1, words + 1)
+    return [" ".join(rng.choice(vocab, rng.integers(1, 6), p=weights / weights.sum())) for _ in range(n)]
+
+
+def test_index_equals_brute_force_in_tiny_cells(spark, monkeypatch):
+    """Frequent and rare words, equal names, blank and null texts; lists and askers cut into many slices."""
+    from penawar.operators import trigram_index as ti
+
+    monkeypatch.setattr(ti, "POSTINGS", 16)
+    monkeypatch.setattr(ti, "QUERIES", 8)
+    monkeypatch.setattr(ti, "BLOCK_CELLS", 4000)
+    names = _random_names(1, 300, 40) + ["meja kantor"] * 30 + ["", " -- ", "x" * 400, "meja " + " ".join(f"kata{i}" for i in range(300))]
+    asked = _random_names(2, 150, 60) + ["meja kantor", "meja", "??", "", "zzz qqq", "kata7 kata8"]
+    cat = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(9999, None)], "id long, name string")
+    q = spark.createDataFrame([(a,) for a in asked] + [(None,)], "key string")
+    got = {}
+    for r in trigram_topk(q, cat).collect():
+        got.setdefault(r.key, []).append((r.rank, r.id, round(r.score, 12)))
+    want = _brute_topk(sorted(set(asked)), list(enumerate(names)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_cells_stay_bounded_when_both_sides_double(spark):
+    """One entry that all rows have: the largest cell stays the same, the number of cells grows."""
+    from penawar.operators.cells import in_cells
+
+    def largest(n):
+        q = spark.range(n).select(F.col("id").alias("a"), F.lit("hot").alias("e"))
+        c = spark.range(4 * n).select(F.col("id").alias("b"), F.when(F.col("id") % 9 == 0, F.concat(F.lit("r"), F.col("id"))).otherwise(F.lit("hot")).alias("e"))
+
+        def sizes(x, y):
+            import pandas as pd
+
+            return pd.DataFrame({"q": [len(x)], "c": [len(y)], "pairs": [len(x.merge(y, on="e"))]})
+
+        rows = in_cells(q, c, "e", "a", "b", 8, list_rows=256, ask_rows=64).applyInPandas(sizes, "q long, c long, pairs long").collect()
+        want = n * sum(i % 9 != 0 for i in range(4 * n))
+        assert sum(r.pairs for r in rows) == want  # every pair of an entry meets once
+        return max(r.q for r in rows), max(r.c for r in rows), len(rows)
+
+    (q1, c1, n1), (q2, c2, n2) = largest(1000), largest(2000)
+    assert max(q1, q2) <= 2 * 64 and max(c1, c2) <= 2 * 256 and n2 > 3 * n1
