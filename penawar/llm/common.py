@@ -33,11 +33,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    ``batch_rows``: rows in an Arrow batch to Python during the write, for rows that hold whole texts (a batch is held
+    several times over, in the JVM and in the worker); the session's own setting comes back afterwards."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

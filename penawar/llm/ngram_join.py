@@ -62,8 +62,13 @@ def _overlap(percent: int, na: Column, nb: Column) -> Column:
     return F.ceil(F.lit(percent) * (na + nb) / (100 + percent) - 1e-9)
 
 
-def _texts(batch: pa.RecordBatch):
-    return batch.column("text").cast(pa.binary()).to_pylist()
+TEXT_ROWS, PAIR_ROWS = 1000, 250  # rows in an Arrow batch of texts, and of pairs of texts
+
+
+def _texts(batch: pa.RecordBatch, name: str = "text"):
+    """The texts as bytes, one at a time."""
+    for x in batch.column(name).cast(pa.binary()):
+        yield x.as_buffer().to_pybytes() if x.is_valid else None
 
 
 # ---- classes and counters ---------------------------------------------------------------
@@ -243,10 +248,9 @@ def _verify_task(size: int, percent: int):
 
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
             keep = []
-            for i in range(len(a)):
-                x, y = of(a[i], ta[i]), of(b[i], tb[i])
+            for i, (ta, tb) in enumerate(zip(_texts(batch, "text_a"), _texts(batch, "text_b"))):
+                x, y = of(a[i], ta), of(b[i], tb)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             k = np.flatnonzero(keep)
@@ -296,17 +300,17 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
     near copies; ``links_per_class`` counts them."""
     ship_package(docs.sparkSession)
     docs = columns_of(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
-    sets = written(docs.select("doc_id", "text", row_key().alias("_h")).mapInArrow(_set_task(size, sketch_bits), _SETS), "join-sets")
+    sets = written(docs.select("doc_id", "text", row_key().alias("_h")).mapInArrow(_set_task(size, sketch_bits), _SETS), "join-sets", TEXT_ROWS)
     members = sets.where("block is null").select("doc_id", "_h", "sig", "n")
     counters = shingle_counters(sets.where("block is not null").select("block", "counts"), sketch_bits)
     reps = (members.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "_h")).alias("rep"))
             .select("sig", "rep.doc_id", "rep._h"))
-    lists = written(posting_lists(docs, counters, size, percent, hot), "join-lists")
+    lists = written(posting_lists(docs, counters, size, percent, hot), "join-lists", TEXT_ROWS)
 
     if exact:
         near = _list_pairs(lists, percent, cell_rows)
         pairs = (near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("l").alias("l")).where("k >= l").select("a", "b"))
-        return members, written(_verified(docs, written(pairs, "join-pairs"), reps, size, percent), "join-links")
+        return members, written(_verified(docs, written(pairs, "join-pairs"), reps, size, percent), "join-links", PAIR_ROWS)
 
     # hot lists: every class against the hub
     o = _overlap(percent, F.col("n"), F.col("hub_n"))
@@ -315,7 +319,7 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
                              & _within(F.col("n"), F.col("pos"), o, one) & _within(F.col("hub_n"), F.col("hub_pos"), o, one))
                  .select(*_pair(F.col("sig"), F.col("hub"))).distinct())
     hub_pairs = written(hub_pairs, "join-hub-pairs")
-    hub_links = written(_verified(docs, hub_pairs, reps, size, percent), "join-hub-links")
+    hub_links = written(_verified(docs, hub_pairs, reps, size, percent), "join-hub-links", PAIR_ROWS)
     joined = connected_components(hub_links)
 
     # all lists: pairs of different components
@@ -339,7 +343,7 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, ske
               .groupBy("a", "b").agg(F.count(one).alias("k"), F.first("l").alias("l")).where("k >= l").select("a", "b"))
     rest = written(shared.join(hub_pairs, ["a", "b"], "left_anti"), "join-pairs")
     links = hub_links.unionByName(_verified(docs, rest, reps, size, percent))
-    return members, written(links, "join-links")
+    return members, written(links, "join-links", PAIR_ROWS)
 
 
 def links_per_class(members: DataFrame, links: DataFrame) -> DataFrame:
