@@ -33,16 +33,16 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
 
 def _op10() -> str:
     ph = ", ".join(f"('{label}', string_split('{p}', ' '))" for label, p in licenses.PHRASES)
-    tm = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in licenses.TEMPLATES)
+    tm = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')), {licenses.block_words(t)})" for label, t in licenses.TEMPLATES)
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_words('text')} AS w FROM documents),
-ph(label, t) AS (VALUES {ph}), tm(label, t) AS (VALUES {tm}),
+ph(label, t) AS (VALUES {ph}), tm(label, t, block) AS (VALUES {tm}),
 base AS (SELECT rid, label, p - 1 AS p FROM
          (SELECT rid, w, label, t, unnest(range(1, len(w) - len(t) + 2)) AS p FROM d, ph WHERE len(w) >= len(t))
          WHERE w[p:p + len(t) - 1] = t),
-blocks AS (SELECT rid, w[32 * b + 1:32 * b + {licenses.BLOCK}] AS x FROM
-           (SELECT rid, w, unnest(range(0, (len(w) + 31) // 32)) AS b FROM d)),
-sim AS (SELECT rid, label, len(list_intersect(t, x)) AS n, len(t) AS m FROM blocks, tm),
+spots AS (SELECT rid, w, label, t, block, unnest(list_filter(range(1, len(w) + 1), lambda p: list_contains(t, w[p]))) AS p
+          FROM d, tm WHERE len(list_intersect(t, w)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+sim AS (SELECT rid, label, len(list_intersect(t, w[p:p + block - 1])) AS n, len(t) AS m FROM spots),
 good AS (SELECT rid, label, n / m AS score FROM sim WHERE n >= ceil({licenses.THRESHOLD} * m - 1e-9)),
 b AS (SELECT rid, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM base GROUP BY rid),
 bl AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT rid, label FROM base) GROUP BY rid),

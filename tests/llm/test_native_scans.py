@@ -142,8 +142,8 @@ def test_license_scan_matches_brute_force(spark):
         labels, score = {x for _, x in base}, 1.0 if base else 0.0
         for label, tm in licenses.TEMPLATES:
             v = set(tm.split())
-            for b in range(0, len(w), licenses.BLOCK // 2):
-                n = len(v & set(w[b:b + licenses.BLOCK]))
+            for b in range(len(w)):  # every block
+                n = len(v & set(w[b:b + licenses.block_words(tm)]))
                 if n >= licenses.required(len(v), licenses.THRESHOLD):
                     labels.add(label)
                     score = max(score, n / len(v))
@@ -151,3 +151,29 @@ def test_license_scan_matches_brute_force(spark):
         want.append((str(i), len(w), len(base), min(at, default=None), max(at, default=None),
                      ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), round(score, 9)))
     assert got == sorted(want, key=str) or sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_license_notices_at_every_shift_and_whole_templates(spark):
+    """A notice spread over half a block, shifted over 64 starts; a template of 100 distinct words; notices with changes."""
+    spread = " one two ".join(licenses.TEMPLATES[0][1].split()[:17])
+    texts = [(k, "x " * k + spread + " y" * 30) for k in range(64)]
+    hundred = " ".join(f"q{i}" for i in range(100))
+    custom = (*licenses.TEMPLATES, ("hundred", hundred))
+    texts += [(100, hundred), (101, " ".join(f"q{i}" for i in range(79))), (102, " ".join(f"q{i} and" for i in range(80))),
+              (103, "z " * 500 + " ".join(f"q{99 - i}" for i in range(90)) + " q1" * 300)]
+    whole = licenses.TEMPLATES[6][1].split()
+    texts += [(200, " ".join(w for i, w in enumerate(whole) if i % 9)), (201, " ".join(whole[:len(whole) // 3]))]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(docs_of(spark, texts), templates=custom).collect()}
+    want = {}
+    for i, t in texts:
+        w, labels, score = words(t), set(), 0.0
+        for label, tm in custom:
+            v = set(tm.split())
+            n = max(len(v & set(w[b:b + licenses.block_words(tm)])) for b in range(len(w)))
+            if n >= licenses.required(len(v), licenses.THRESHOLD):
+                labels.add(label)
+                score = max(score, n / len(v))
+        want[i] = (",".join(sorted(labels)), round(score, 9))
+    assert got == want
+    assert all("mit" in got[k][0] for k in range(64)) and got[100] == ("hundred", 1.0) and got[101][0] == "" and got[102][0] == got[103][0] == "hundred"
+    assert "mit" in got[200][0]
