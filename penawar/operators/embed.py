@@ -12,24 +12,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penawar.config import DEFAULT, MatchConfig
 from penawar.functions.text import embedding_text
-from penawar.session import ship_package
+from penawar.operators.providers import call_provider
 
 Provider = Callable[[list], list]
 
-EMBED_OUT = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("new_embedding", T.ArrayType(T.FloatType())),
-    T.StructField("error", T.StringType()),
-])
-
-
 def hashed_trigram_provider(dim: int) -> Provider:
     """Offline stand-in model: unit vector of hashed character trigrams."""
 
@@ -57,23 +49,20 @@ def embedding_todo(catalog: DataFrame, all_rows: bool = False) -> DataFrame:
     return c.select("id", embedding_text("name", "brand", "category").alias("text"))
 
 
+VECTOR = T.ArrayType(T.FloatType())
+
+
 def embed_texts(todo: DataFrame, provider: Provider, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """(id, text) -> (id, new_embedding, error), ``embed_batch`` texts per call."""
-    ship_package(todo.sparkSession)
-    batch = cfg.embed_batch
-
-    def run(it):
-        for pdf in it:
-            for s in range(0, len(pdf), batch):
-                part = pdf.iloc[s:s + batch]
-                try:
-                    vecs = provider(part["text"].tolist())
-                    err = None
-                except Exception as e:  # noqa: BLE001 - a failed call must not stop the run
-                    vecs, err = [None] * len(part), str(e)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "new_embedding": vecs, "error": err})
-
-    return todo.mapInPandas(run, EMBED_OUT)
+    """(id, text) -> (id, new_embedding, error), ``embed_batch`` texts per call; a failed call is tried again text
+    by text, so one bad text leaves its neighbours their vectors."""
+    return (call_provider(todo.select("id", "text"), "text", provider, "new_embedding", cfg.embed_batch, VECTOR)
+            .select(F.col("id").cast("long").alias("id"), "new_embedding", "error"))
+
+
+def embed_queries(texts: DataFrame, provider: Provider, cfg: MatchConfig = DEFAULT) -> DataFrame:
+    """(qvec_id, text) -> (qvec_id, qvec, error). A text whose call failed has no vector, so its search keeps the
+    trigram ranks alone."""
+    return call_provider(texts, "text", provider, "qvec", cfg.embed_batch, VECTOR).select("qvec_id", "qvec", "error")
 
 
 def apply_embeddings(catalog: DataFrame, new: DataFrame) -> DataFrame:

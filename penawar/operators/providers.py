@@ -19,28 +19,31 @@ from penawar.session import ship_package
 Provider = Callable[[list], list]
 
 
-def call_provider(df: DataFrame, text_col: str, provider: Provider, out: str = "response", batch: int = 50) -> DataFrame:
-    """``df`` plus ``out`` (the provider's text for ``text_col``) and ``error`` (why its call failed, else null)."""
+def answers_of(provider: Provider, texts: list) -> tuple[list, list]:
+    """(answers, errors) of one call; if it raises, of one call per text, so that a bad text fails alone."""
+    try:
+        got = list(provider(texts))
+        if len(got) != len(texts):
+            raise ValueError(f"{len(got)} answers to {len(texts)} texts")
+        return got, [None] * len(texts)
+    except Exception as e:  # noqa: BLE001 - a failed call must not stop the run
+        if len(texts) == 1:
+            return [None], [str(e)]
+        pairs = [answers_of(provider, [t]) for t in texts]
+        return [p[0][0] for p in pairs], [p[1][0] for p in pairs]
+
+
+def call_provider(df: DataFrame, text_col: str, provider: Provider, out: str = "response", batch: int = 50,
+                  out_type: T.DataType = T.StringType()) -> DataFrame:
+    """``df`` plus ``out`` (the provider's answer to ``text_col``) and ``error`` (why its call failed, else null)."""
     ship_package(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("error", T.StringType())])
-
-    def answers(texts: list) -> tuple[list, list]:
-        try:
-            got = list(provider(texts))
-            if len(got) != len(texts):
-                raise ValueError(f"{len(got)} answers to {len(texts)} texts")
-            return got, [None] * len(texts)
-        except Exception as e:  # noqa: BLE001 - a failed call must not stop the run
-            if len(texts) == 1:
-                return [None], [str(e)]
-            pairs = [answers([t]) for t in texts]
-            return [p[0][0] for p in pairs], [p[1][0] for p in pairs]
+    schema = T.StructType([*df.schema.fields, T.StructField(out, out_type), T.StructField("error", T.StringType())])
 
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), batch):
                 part = pdf.iloc[lo:lo + batch].copy()
-                part[out], part["error"] = (pd.Series(x, index=part.index, dtype=object) for x in answers(part[text_col].tolist()))
+                part[out], part["error"] = (pd.Series(x, index=part.index, dtype=object) for x in answers_of(provider, part[text_col].tolist()))
                 yield part
 
     return df.mapInPandas(run, schema)

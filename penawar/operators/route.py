@@ -42,6 +42,8 @@ def route_pairs(cands: DataFrame, cfg: MatchConfig = DEFAULT, rerank=rule_rerank
     ob = obvious(cands, PAIR, cfg)
     open_pairs = ob.where(~F.col("obvious")).select(*PAIR)
     verdict = rerank(cands.join(open_pairs, PAIR, "left_semi"), PAIR)
+    if "error" not in verdict.columns:
+        verdict = verdict.withColumn("error", F.lit(None).cast("string"))
     r = ob.join(verdict, PAIR, "left")
     route = (F.when(F.col("obvious"), F.lit("auto_database"))
              .when(F.col("id").isNotNull() & (F.col("confidence") >= cfg.rerank_auto_confidence), F.lit("auto_database_ai"))
@@ -52,12 +54,13 @@ def route_pairs(cands: DataFrame, cfg: MatchConfig = DEFAULT, rerank=rule_rerank
                  F.when(route == "auto_database_ai", F.col("confidence")).alias("confidence"),
                  F.when(~F.col("obvious"), F.col("reason")).alias("verdict_reason"),
                  F.when(route == "ask", F.col("id")).alias("suggested_id"),
-                 "n_candidates")
+                 "n_candidates", F.when(~F.col("obvious"), F.col("error")).alias("rerank_error"))
     return r
 
 
 Extractor = Callable[[DataFrame], DataFrame]
 Reranker = Callable[[DataFrame, list[str]], DataFrame]
+Finder = Callable[[DataFrame], DataFrame]
 
 PRODUCT = "struct<id:string,name:string,brand:string,category:string,price:double,unit:string,supplier:string,url:string>"
 
@@ -69,17 +72,40 @@ def _product(**fields) -> F.Column:
 
 
 def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame | None,
-                shopping: DataFrame, organic: DataFrame, cfg: MatchConfig = DEFAULT,
-                extract: Extractor | None = None, rerank: Reranker = rule_rerank) -> dict[str, DataFrame]:
+                shopping: DataFrame | None, organic: DataFrame | None, cfg: MatchConfig = DEFAULT,
+                extract: Extractor | None = None, rerank: Reranker = rule_rerank, find: Finder | None = None) -> dict[str, DataFrame]:
     """The whole run for any number of lists at once.
 
-    ``extract`` adds name, qty, unit and optionally ``error`` (a failed provider call) to donor lines; ``rerank`` gives
-    verdicts on candidates. Returns ``lines`` (RESULTS of every non-blank line; a pending question has no source yet),
+    Each step may be a provider whose calls can fail for some rows (E8): ``extract`` adds name, qty, unit and optionally
+    ``error`` to lines, ``rerank`` gives verdicts on candidates, optionally with ``error``, ``find`` gives offers for queries,
+    optionally with ``error`` (default: the tables ``shopping`` and ``organic``), and ``query_vectors`` may lack vectors
+    (those searches keep the trigram ranks). A line whose call failed becomes an ``error`` result; the others go on.
+    Lines that repeat a failed one are called themselves, and the first that succeeds serves those after it (J8).
+
+    Returns ``lines`` (RESULTS of every non-blank line; a pending question has no source yet),
     ``candidates`` (hybrid top-k per search pair) and ``offers``.
     """
     ls = first_occurrence(lines.where(tx.js_trim("raw_text") != ""))  # P5: blank lines skipped, indices kept
-    donors = ls.where(~F.col("cached"))
-    donors = extract(donors) if extract else extract_rules(donors, cfg=cfg)
+    steps = (catalog, query_vectors, find or (lambda need: off.find_offers(need, shopping, organic, cfg)), cfg, extract, rerank)
+    out, cands, offers = _called(ls.where(~F.col("cached")), *steps)
+    failed = out.where(F.col("source") == "error").select("session_id", "cache_key")
+    again = ls.where(F.col("cached")).join(failed, ["session_id", "cache_key"], "left_semi")
+    if extract is None and rerank is rule_rerank and find is None or not again.limit(1).count():
+        return {"lines": out.unionByName(_copies(ls, out)), "candidates": cands, "offers": offers}
+    out2, cands2, offers2 = _called(again, *steps)
+    # of a failed text's lines the first that succeeds is the donor of those after it
+    kept = out2.join(out2.where(F.col("source").isNull() | (F.col("source") != "error")).groupBy("session_id", "cache_key")
+                     .agg(F.min("line_index").alias("_first")), ["session_id", "cache_key"], "left")
+    own = cut_lineage(kept.where(F.col("_first").isNull() | (F.col("line_index") <= F.col("_first"))).drop("_first"))
+    served = _copies(ls.join(own.select("session_id", "line_index").withColumn("_own", F.lit(True)), ["session_id", "line_index"], "left")
+                     .where("_own is null").drop("_own"), out.unionByName(own).where(F.col("source").isNull() | (F.col("source") != "error")))
+    return {"lines": out.unionByName(own).unionByName(served), "candidates": cands.unionByName(cands2).dropDuplicates([*PAIR, "id"]),
+            "offers": offers.unionByName(offers2).dropDuplicates(["query", "pos"])}
+
+
+def _called(rows: DataFrame, catalog, query_vectors, find, cfg, extract, rerank) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, candidates, offers) of lines that are each called on their own."""
+    donors = extract(rows) if extract else extract_rules(rows, cfg=cfg)
     if "error" not in donors.columns:
         donors = donors.withColumn("error", F.lit(None).cast("string"))
     donors = cut_lineage(donors)
@@ -87,9 +113,15 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
     # candidates feed routing, reranking and the review queue: written once
     cands = cut_lineage(hybrid_search(pairs, catalog, query_vectors, cfg))
     routed = pairs.join(route_pairs(cands, cfg, rerank), PAIR, "left").fillna({"route": "offers", "n_candidates": 0})
-    need = routed.where(F.col("route") == "offers").select(F.col("name").alias("query")).distinct()
-    offers = off.find_offers(need, shopping, organic, cfg)
-    n_off = offers.groupBy("query").agg(F.count(F.lit(1)).alias("n_offers"))
+    routed = cut_lineage(routed)  # a reranker's calls are made once
+    need = routed.where((F.col("route") == "offers") & F.col("rerank_error").isNull()).select(F.col("name").alias("query")).distinct()
+    offers = find(need)
+    if "error" in offers.columns:
+        offers = cut_lineage(offers)
+        n_off = offers.groupBy("query").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("n_offers"), F.max("error").alias("offer_error"))
+        offers = offers.where(F.col("error").isNull()).drop("error")
+    else:
+        n_off = offers.groupBy("query").agg(F.count(F.lit(1)).alias("n_offers"), F.lit(None).cast("string").alias("offer_error"))
     routed = routed.join(n_off, routed.name == n_off.query, "left").drop("query").fillna({"n_offers": 0})
     status = F.when(F.col("route").isin("auto_database", "auto_database_ai"), F.col("route")) \
         .when((F.col("route") == "offers") & (F.col("n_offers") == 0), F.lit("not_found"))
@@ -100,19 +132,20 @@ def match_lines(lines: DataFrame, catalog: DataFrame, query_vectors: DataFrame |
                          _product(id=F.col("id"), name=F.col("name"), brand=F.col("brand"), category=F.col("category"),
                                   price=F.col("price"), unit=F.col("unit")).alias("product"))
     out = donors.join(routed, PAIR, "left").join(cat, "product_id", "left")
+    out = out.withColumn("error", F.coalesce("error", "rerank_error", "offer_error"))
     failed = F.col("error").isNotNull()
-    closed = F.col("source").isNotNull()
+    closed = F.col("source").isNotNull() & ~failed
     out = out.select("session_id", "line_index", "raw_text", "cache_key", "name", "qvec_id", "qty", "unit",
-                     F.when(failed, F.lit("error")).otherwise(F.col("source")).alias("source"), "reason", "product_id",
+                     F.when(failed, F.lit("error")).otherwise(F.col("source")).alias("source"), F.when(~failed, F.col("reason")).alias("reason"),
+                     F.when(~failed, F.col("product_id")).alias("product_id"),
                      F.when(closed, F.col("product")).alias("product"), F.when(closed, F.col("product.price")).alias("price"),
                      "confidence", "verdict_reason", "suggested_id", "n_candidates", "n_offers", "error",
                      F.lit(None).cast("double").alias("margin"), F.lit(False).alias("cached"))
-    out = cut_lineage(out)  # donors: read for themselves and for their copies
-    return {"lines": out.unionByName(_copies(ls, out)), "candidates": cands, "offers": offers}
+    return cut_lineage(out), cands, offers  # results: read for themselves and for their copies
 
 
 def _copies(keyed: DataFrame, donors: DataFrame) -> DataFrame:
-    """Lines that repeat a donor's text take its result; a failed call is tried again, so it fails on its own."""
+    """Lines that repeat a donor's text take its result, or its error where it can't be tried again."""
     dups = keyed.where(F.col("cached")).select("session_id", "line_index", "raw_text", "cache_key")
     view = donors.drop("raw_text", "cached", "line_index")
     return dups.join(view, ["session_id", "cache_key"]).withColumn("cached", F.coalesce(F.col("source"), F.lit("")) != "error")
@@ -153,13 +186,14 @@ def review_queue(pending: DataFrame, shown: DataFrame) -> DataFrame:
 def close_lines(lines: DataFrame, answers: DataFrame) -> DataFrame:
     """RESULTS: pending donors of ``match_lines`` take their answer (rows of ``apply_choices``), then the lines that
     repeat them take the answered result. Lines that repeat a cancelled one are dropped: the session is over."""
-    a = answers.select("session_id", "line_index", F.col("source").alias("_s"), F.col("reason").alias("_r"), F.col("price").alias("_p"),
+    a = answers.select("session_id", "line_index", F.col("product_id").alias("_id"), F.col("source").alias("_s"), F.col("reason").alias("_r"), F.col("price").alias("_p"),
                        F.when(F.coalesce("product_id", "product_name", "product_supplier", "product_url").isNotNull(),
                               _product(id=F.col("product_id"), name=F.col("product_name"), price=F.when(F.col("product_id").isNotNull(), F.col("price")),
                                        supplier=F.col("product_supplier"), url=F.col("product_url"))).alias("_product"))
     donors = lines.where(~F.col("cached")).join(a, ["session_id", "line_index"], "left")
     waiting = F.col("source").isNull() & F.col("_s").isNotNull()
-    donors = donors.select(*[c for c in lines.columns if c not in ("source", "reason", "price", "product", "margin")],
+    donors = donors.select(*[c for c in lines.columns if c not in ("source", "reason", "price", "product", "product_id", "margin")],
+                           F.when(waiting, F.col("_id")).otherwise(F.col("product_id")).alias("product_id"),
                            F.when(waiting, F.col("_product")).otherwise(F.col("product")).alias("product"),
                            F.when(waiting, F.col("_p")).otherwise(F.col("price")).alias("price"),
                            F.when(waiting, F.col("_r")).otherwise(F.col("reason")).alias("reason"),

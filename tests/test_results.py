@@ -241,3 +241,85 @@ def test_cluster_without_checkpoint_folder_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_each_provider_fails_for_some_lines(spark, tmp_path):
+    """Extraction, reranker and offers fail for some lines, which become errors; a failing query vector leaves the
+    trigram ranks (E4); the other lines are as without failures. Repeats of a failed line are called again (J8)."""
+    from penawar.operators import embed, offers, rerank
+    from penawar.operators.extract import extract_rules
+
+    cat = spark.createDataFrame(CATALOG, "id long, name string, brand string, category string, price double, unit string").withColumn(
+        "price", F.col("price").cast("decimal(15,2)"))
+    cat = embed.apply_embeddings(cat.withColumn("embedding", F.lit(None).cast("array<float>")),
+                                 embed.embed_texts(embed.embedding_todo(cat.withColumn("embedding", F.lit(None).cast("array<float>"))), embed.hashed_trigram_provider(32)))
+    raw = ["2 pcs Meja Kantor Olympic", "10 rim Kertas HVS A4 80gr", "4 rim Kertas HVS A4", "zzz qqq vvv", "yyy www uuu", "boom", "BOOM", "flaky kursi", "FLAKY kursi", "Flaky Kursi",
+           "Kursi Kantor Chitose"]
+    lines = spark.createDataFrame([("s", i, x, i) for i, x in enumerate(raw)], "session_id string, line_index int, raw_text string, qvec_id long")
+
+    def failing(word, answer):
+        def provider(texts):
+            if any(word in t for t in texts):
+                raise RuntimeError(f"no answer to {word}")
+            return [answer(t) for t in texts]
+
+        return provider
+
+    def extract(df):
+        def provider(texts):
+            if any("boom" in t.lower() or t == "flaky kursi" for t in texts):
+                raise RuntimeError("no line")
+            return texts
+
+        return extract_rules(prov.call_provider(df, "raw_text", provider).drop("response"))
+
+    texts = lines.select("qvec_id", F.col("raw_text").alias("text"))
+    vector = embed.hashed_trigram_provider(32)
+    verdict = lambda t: '{"id": "4", "confidence": 0.9, "reason": "ok"}'
+    offer = lambda t: '[{"supplier": "Toko", "title": "Barang", "price": "Rp 9.000", "url": "u"}]'
+
+    def run(fail):
+        bad = (lambda w: w) if fail else (lambda w: "\x00")
+        vectors = embed.embed_queries(texts, failing(bad("Meja"), lambda t: vector([t])[0]))
+        out = route_ops.match_lines(lines, cat, vectors, None, None, extract=extract, rerank=rerank.provider_reranker(failing(bad("Kertas HVS A4\n"), verdict)),
+                                    find=offers.provider_offers(failing(bad("yyy"), offer)))
+        return {r.line_index: r for r in out["lines"].collect()}, out["candidates"].collect()
+
+    good, good_c = run(False)
+    got, cands = run(True)
+    said = {i: (r.source, r.error) for i, r in got.items()}
+    assert said[2] == ("error", "no answer to Kertas HVS A4\n") and said[4] == ("error", "no answer to yyy")
+    assert said[5] == said[6] == said[7] == ("error", "no line")
+    assert got[2].product_id is None and got[2].price is None and got[4].reason is None
+    for i in (0, 1, 3, 8, 9, 10):
+        assert got[i].asDict() | {"n_candidates": 0} == good[i].asDict() | {"n_candidates": 0}, i
+    assert got[1].source == "auto_database_ai" and got[1].product_id == "4" and got[3].reason == "internet_fallback"
+    # the repeat that succeeds serves the one after it
+    assert (got[8].cached, got[9].cached) == (False, True) and got[8].source == got[9].source != "error"
+    without = {c.id for c in cands if c.qvec_id == 0 and c.vector_sim > 0}
+    assert not without and any(c.vector_sim > 0 for c in good_c if c.qvec_id == 0)
+
+
+def test_answered_line_names_its_product(spark):
+    cat = spark.createDataFrame(CATALOG, "id long, name string, brand string, category string, price double, unit string").withColumn(
+        "price", F.col("price").cast("decimal(15,2)"))
+    lines = spark.createDataFrame([("s", 0, "Kertas HVS A4 80gr", 0), ("s", 1, "kertas hvs a4 80gr", 0)], "session_id string, line_index int, raw_text string, qvec_id long")
+    out = route_ops.match_lines(lines, cat, None, spark.createDataFrame([], SHOP), spark.createDataFrame([], ORG))
+    pend = route_ops.pending_questions(out["lines"])
+    c = spark.createDataFrame([("s", 0, "product", "3", None, T0, 1)], CHOICE)
+    shown = route_ops.question_candidates(pend, out["candidates"], out["offers"])
+    res = route_ops.close_lines(out["lines"], route_ops.apply_choices(pend.withColumn("asked_at", F.lit(T0)), c, shown)).collect()
+    assert {(r.line_index, r.source, r.product_id, r["product"].id) for r in res} == {(0, "user_selected_db", "3", "3"), (1, "user_selected_db", "3", "3")}
+
+
+def test_one_bad_text_leaves_its_neighbours_their_vectors(spark):
+    from penawar.operators import embed
+
+    def provider(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("bad text")
+        return embed.hashed_trigram_provider(8)(texts)
+
+    todo = spark.createDataFrame([(i, "bad" if i == 7 else f"text {i}") for i in range(60)], "id long, text string").coalesce(1)
+    got = {r.id: (r.new_embedding is not None, r.error) for r in embed.embed_texts(todo, provider).collect()}
+    assert got == {i: (i != 7, "bad text" if i == 7 else None) for i in range(60)}
