@@ -91,11 +91,47 @@ def page_params(limit, offset, cfg: MatchConfig = DEFAULT) -> tuple[int, int]:
     return lim, max(off, 0)
 
 
-def catalog_page(catalog: DataFrame, q: str | None, limit=None, offset=None, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """K3 + A3: one page ordered by id, with the total of matching rows beside it."""
+RANGES = 1000  # id ranges counted at a time
+SCAN_ROWS = 10_000  # a page that ends within so many rows is cut from the smallest ids
+
+
+def _rank_range(hits: DataFrame, rank: int, most: int) -> tuple[int, int, int] | None:
+    """(lo, hi, before): an id range that holds the row of that rank (from 0) by id, and the rows below ``lo``.
+
+    Rows are counted in ``RANGES`` equal id ranges, then within the one that holds the rank, until it has at most
+    ``most`` rows or a single id: a few aggregations, each reading the chosen range only."""
+    whole = hits.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n")).first()
+    if rank >= whole["n"]:
+        return None
+    lo, hi, before, n = whole["lo"], whole["hi"], 0, whole["n"]
+    while n > most and lo < hi:
+        width = -(-(hi - lo + 1) // RANGES)
+        inside = hits.where(F.col("id").between(lo, hi)).groupBy(F.expr(f"(id - {lo}) div {width}").alias("part")).count()
+        for part, n in sorted(inside.collect()):  # RANGES rows at most
+            if before + n > rank:
+                break
+            before += n
+        lo, hi = lo + part * width, min(lo + (part + 1) * width - 1, hi)
+    return lo, hi, before
+
+
+def catalog_page(catalog: DataFrame, q: str | None, limit=None, offset=None, cfg: MatchConfig = DEFAULT,
+                 scan_rows: int = SCAN_ROWS) -> DataFrame:
+    """K3 + A3: one page ordered by id (not null), with the total of matching rows beside it.
+
+    A page beyond the first ``scan_rows`` rows is looked up by counts per id range: only the ranges that hold its first
+    and last row and what lies between them are read and sorted, at most ``2 * scan_rows`` rows and the page."""
     lim, off = page_params(limit, offset, cfg)
     hits = search_filter(catalog, q)
-    page = hits.orderBy("id").offset(off).limit(lim).withColumn("_k", F.lit(1))
+    near, skip = hits, off
+    if off + lim > scan_rows:
+        first, last = _rank_range(hits, off, scan_rows), _rank_range(hits, off + max(lim, 1) - 1, scan_rows)
+        if first is None:
+            near, skip = hits.where(F.lit(False)), 0
+        else:
+            near = hits.where(F.col("id") >= first[0])
+            near, skip = near if last is None else near.where(F.col("id") <= last[1]), off - first[2]
+    page = near.orderBy("id").offset(skip).limit(lim).withColumn("_k", F.lit(1))
     total = hits.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
     # a page past the end is one row with the total alone; the broadcast page has at most page_max rows
     return (total.join(F.broadcast(page), "_k", "left").select(*catalog.columns, "total")

@@ -3,7 +3,9 @@
 Rows are grouped into chunks of a key by a monotone function of the order (line number div 1,000,
 or a time bucket). Chunk sums are a small table; their running sum gives every chunk's offset, and a
 window runs only inside a chunk. So a huge key is summed by many tasks, without sorting the whole
-table and without a checkpoint, and the result doesn't depend on the partitioning.
+table and without a checkpoint, and the result doesn't depend on the partitioning. The chunk sums of a
+whole table (no key) are summed in chunks themselves, so that the last window holds one row per
+``FOLD`` chunks.
 """
 
 from __future__ import annotations
@@ -11,17 +13,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FOLD = 8192
 
-def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column, name: str) -> DataFrame:
+
+def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column, name: str,
+            folds: int | None = None) -> DataFrame:
     """``df`` plus ``name``: the sum of ``value`` over the rows of the same ``keys`` up to this one in ``order``.
 
-    ``chunk`` must not decrease along ``order``. A null chunk (null order) comes first."""
+    ``chunk`` must not decrease along ``order``. A null chunk (null order) comes first. ``folds``: how many times the
+    chunk sums are summed in chunks before one window takes a key's rest; once for a table without keys by default."""
+    folds = folds if folds is not None else 0 if keys else 1
     d = df.withColumn("_chunk", F.coalesce(chunk.cast("long"), F.lit(-(2**62)))).withColumn("_value", value)
     sums = d.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    if folds:
+        sums = running(sums.withColumnsRenamed({"_chunk": "_part"}), keys, F.expr(f"_part div {FOLD}"), ["_part"],
+                       F.col("_sum"), "_upto", folds - 1)
+        part, off = F.col("_part"), F.col("_upto") - F.col("_sum")
+    else:
+        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        part, off = F.col("_chunk"), F.coalesce(F.sum("_sum").over(before), F.lit(0))
     # null-safe keys: rows without a key are a key of their own
-    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"),
-                       F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], part.alias("_k_chunk"), off.alias("_off"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_in", F.sum("_value").over(inside))
     on = F.col("_chunk") == F.col("_k_chunk")

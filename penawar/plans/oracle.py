@@ -197,6 +197,13 @@ kept AS (SELECT file_id, pos, {js_trim('piece')} AS line FROM pieces WHERE {js_t
 SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY pos) - 1 AS INTEGER) AS line_index, line FROM kept
 """
 
+SQL["lines_from_files"] = _with(LINES) + """
+SELECT CAST(session_id AS BIGINT) // 5000 AS list,
+       row_number() OVER (PARTITION BY CAST(session_id AS BIGINT) // 5000 ORDER BY CAST(session_id AS BIGINT), line_index) - 1 AS line_index,
+       raw_text AS line
+FROM lines WHERE line_index % 5 <> 4
+"""
+
 SQL["lines_from_table"] = f"""
 WITH c AS (
   SELECT c_custkey, list_filter([c_name, CAST(c_nationkey AS VARCHAR),
@@ -254,6 +261,11 @@ SELECT NULL::BIGINT AS id, NULL::VARCHAR AS name, NULL::VARCHAR AS brand, NULL::
 FROM catalog WHERE name ILIKE '%brand#1%' OR brand ILIKE '%brand#1%' OR category ILIKE '%brand#1%'
 """
 
+SQL["catalog_page_deep"] = _with(CATALOG) + """
+SELECT id, name, brand, category, price, unit, total, 50 AS "limit", 1000 AS "offset"
+FROM (SELECT count(*) AS total FROM catalog) LEFT JOIN (SELECT * FROM catalog ORDER BY id LIMIT 50 OFFSET 1000) ON true
+"""
+
 SQL["page_info"] = _with(CATALOG) + """
 , counts AS (SELECT category, count(*) AS total, 50 AS "offset" FROM catalog GROUP BY category)
 SELECT category, total, "offset",
@@ -395,6 +407,8 @@ SQL["catalog_load"] = """
 SELECT p_partkey AS seed_order, p_name AS name, row_number() OVER (ORDER BY p_partkey) AS id FROM part
 """
 
+SQL["catalog_published"] = SQL["catalog_load"]
+
 SQL["load_summary"] = """
 WITH loaded AS (SELECT p_type AS category, row_number() OVER (ORDER BY p_partkey) AS id FROM part)
 SELECT category, min(id) AS first_id, count(*) AS n_rows FROM loaded GROUP BY category
@@ -424,6 +438,8 @@ UNION ALL SELECT session_id, NULL, '', NULL, '', '', '', NULL, NULL, NULL, '', '
 UNION ALL SELECT session_id, NULL, '', NULL, '', '', 'TOTAL', NULL, NULL, total, '', '', 'total', n + 2 FROM per
 """
 
+SQL["sheet_published"] = SQL["quotation_sheet"]
+
 SQL["results_for_export"] = _with(RESULTS) + """
 SELECT session_id, line_index, raw_text, name, qty, unit, price, source, margin, error, product_name, product_url FROM results
 """

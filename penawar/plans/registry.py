@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from penawar.functions import text as tx
 from penawar.operators import catalog as cat_ops
-from penawar.operators import quote
+from penawar.operators import quote, sinks
+from penawar.operators.versions import published
 from penawar.sources import fixtures as fx
-from penawar.session import cut_lineage
+from penawar.session import cut_lineage, shared_folder
 from penawar.sources import lines as src_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,13 @@ def lines_from_text(spark, d):
     return src_lines.lines_from_text(fx.text_files(spark, d), ["file_id"])
 
 
+@query
+def lines_from_files(spark, d):
+    """Order lists in text files, numbered across the byte ranges that Spark cuts them into."""
+    got = src_lines.lines_from_files(spark, fx.order_files(spark, d))
+    return got.select(F.regexp_extract("path", r"list=(\d+)", 1).cast("long").alias("list"), "line_index", "line")
+
+
 @query
 def lines_from_table(spark, d):
     """Every customer row as a spreadsheet row -> one line; two cells are whole numbers in doubles."""
@@ -97,6 +105,12 @@ def catalog_page_past_end(spark, d):
     return cat_ops.catalog_page(fx.catalog(spark, d, with_embedding=False), "brand#1", "25", "100000000").drop("created_at")
 
 
+@query
+def catalog_page_deep(spark, d):
+    """K3 + A3: a page behind 1,000 rows, looked up by counts per id range."""
+    return cat_ops.catalog_page(fx.catalog(spark, d, with_embedding=False), "", "50", "1000", scan_rows=100).drop("created_at")
+
+
 @query
 def page_info(spark, d):
     """K4: paging numbers for the search of every category."""
@@ -295,6 +309,27 @@ def quotation_sheet(spark, d):
     return quote.quotation_sheet(fx.results(spark, d))
 
 
+@query
+def sheet_published(spark, d):
+    """The sheet exported twice under one export id, as by a job that is run again, and read back."""
+    path = shared_folder(spark, "sheets")
+    sheet = quote.quotation_sheet(fx.results(spark, d)).withColumn("export_date", F.lit("2024-06-01").cast("date"))
+    for _ in range(2):
+        sinks.write_sheet(sheet, path, export_id="export-1")
+    return published(spark, path).drop("export_date")
+
+
+@query
+def catalog_published(spark, d):
+    """A bulk load that is run again under its load id, then read back."""
+    path = shared_folder(spark, "catalog")
+    rows = fx.table(spark, d, "part").select(F.col("p_partkey").alias("seed_order"), F.col("p_name").alias("name"),
+                                             F.col("p_type").alias("category"))
+    for _ in range(2):
+        sinks.write_catalog(rows, path, load_id="load-1")
+    return published(spark, path, sinks.CATALOG_SLOT).drop("category")
+
+
 @query
 def results_for_export(spark, d):
     """Internal fields stripped, ordered by line."""

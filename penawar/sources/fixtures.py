@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penawar.operators.chunks import running
+from penawar.session import shared_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -99,6 +100,19 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    F.col("text").alias("content"))
 
 
+def order_files(spark: SparkSession, sf_dir: str, orders_per_file: int = 5000) -> str:
+    """A folder of order lists as text files, one per ``orders_per_file`` order keys, with the lines of LINES in order:
+    some end in CR LF and are indented, some are blank."""
+    raw, at = F.col("raw_text"), F.col("line_index")
+    text = F.when(at % 5 == 4, F.lit("\t\r")).when(at % 3 == 1, F.concat(F.lit("  "), raw, F.lit("\r"))).otherwise(raw)
+    order = F.col("session_id").cast("long")
+    path = shared_folder(spark, "order-files")
+    (lines(spark, sf_dir).select(F.floor(order / orders_per_file).alias("list"), order.alias("_order"), "line_index", text.alias("value"))
+     .repartition("list").sortWithinPartitions("list", "_order", "line_index").select("list", "value")
+     .write.partitionBy("list").text(path))
+    return path
+
+
 def _id_fmt(x: F.Column) -> F.Column:
     """Indonesian money text of a two-decimal amount: 1.234.567,50."""
     whole = F.translate(F.format_number(F.floor(x), 0), ",", ".")
