@@ -135,8 +135,14 @@ def block_list(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules=RULES, universe: DataFrame | None = None, **params) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed. The verdict is the rule's, else block for the
-    listed hosts of ``universe`` (key, listed; by default ``block_list``) and allow for the others."""
-    universe = written(block_list(pages, rules) if universe is None else universe, "url-keys")
+    listed hosts of ``universe`` (key, listed; by default ``block_list``) and allow for the others. Hosts of ``pages`` that
+    a caller's universe lacks join it as unlisted keys, as a cascade is exact over its universe only."""
+    keys = block_list(pages, rules)
+    if universe is not None:
+        hosts = keys.select("key", F.lit(False).alias("listed"))
+        known = universe.where(F.col("key").isNotNull()).select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+        keys = known.unionByName(hosts).groupBy("key").agg(F.max("listed").alias("listed"))
+    universe = written(keys, "url-keys")
     cascade = build_cascade(universe, **params)
     d = cascade.listed(judged(pages, rules).withColumn("key", F.col("host")))
     return d.select("page_id", "host", "path", "rule",

@@ -51,6 +51,13 @@ def test_cascade_is_exact_over_its_universe(spark, params):
     assert cascade.listed(keys, "found").where("found <> listed").count() == 0
 
 
+def test_hosts_outside_a_given_list_are_not_listed(spark):
+    pages = pages_of(spark, [(i, f"https://h{i}.net/x", "x") for i in range(4000)])
+    given = spark.createDataFrame([(f"h{i}.net", i % 3 == 0) for i in range(0, 300, 2)] + [("h0.net", None), (None, True)], "key string, listed boolean")
+    rows = url_filter.filter_urls(pages, universe=given, bits_per_key=2, hashes=1).collect()
+    assert {r.page_id for r in rows if r.verdict == "block"} == set(range(0, 300, 6)) and len(rows) == 4000
+
+
 def test_url_query_on_table(spark, sf001):
     rows = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf001}/pages.parquet").collect()]
     got = sorted(((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in queries.op2_url_filter(spark, sf001).collect()), key=str)
