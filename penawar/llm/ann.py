@@ -13,11 +13,15 @@ of more than ``piece_rows`` rows is dealt into pieces by hash.
 
 Search. Distinct query vectors find their nearest centroids in the graph; distance-ratio pruning
 keeps those up to (1 + probe) times as far as the nearest, and as many as needed to hold enough
-candidates for k results. Queries meet the pieces of their lists; every meeting gives its k + 1
+candidates for k results. The graph search looks for ``lists`` centroids; a query whose ratio reaches beyond them is
+measured against all centroids, so no number of lists is a
+limit (within the beam the graph search may miss a centroid). Without a ratio (None) every list is searched and the
+result is exact. Queries meet the pieces of their lists; every meeting gives its k + 1
 nearest by exact Euclidean distance in double precision, a window merges them.
 
 Rows: null, zero or non-finite vectors, null ids and vectors of another length than most take no
-part. A row isn't a candidate of a query with the same id; rows of one id with different vectors are
+part. Vectors are scaled by a power of two to their largest component before single precision is used for choosing
+lists, so large components are no special case. A row isn't a candidate of a query with the same id; rows of one id with different vectors are
 as near as the nearest of them, as queries and as candidates. Ties go to the smaller id. Repeated
 rows count once. Only the id and vector columns are read; empty input gives no result.
 """
@@ -39,7 +43,7 @@ LIST_ROWS = 128
 LEAST_PER_CENTROID = 8
 REPLICAS = 4
 CLOSURE = 0.15
-PROBE = 0.6
+PROBE = 0.13
 LISTS = 96
 PIECE_ROWS = 4096
 DEGREE = 16
@@ -77,9 +81,10 @@ class CentroidGraph:
     neighbours: np.ndarray  # (K, degree) int32
     entries: np.ndarray
     sizes: np.ndarray  # vectors whose nearest centroid it is, at least; filled when indexed
+    scale: float = 1.0  # of vectors before they meet the centroids
 
     @classmethod
-    def build(cls, centroids: np.ndarray, degree: int = DEGREE) -> "CentroidGraph":
+    def build(cls, centroids: np.ndarray, degree: int = DEGREE, scale: float = 1.0) -> "CentroidGraph":
         c = centroids.astype(np.float32)
         k = len(c)
         m = min(degree, max(k - 1, 0))
@@ -92,13 +97,20 @@ class CentroidGraph:
                 near[lo:lo + 512, :m] = np.argpartition(d, m - 1, axis=1)[:, :m]
         ids = np.arange(k)
         near[:, m], near[:, m + 1] = (ids + 1) % k, (ids - 1) % k  # keeps the graph connected
-        return cls(c, near, np.unique(np.linspace(0, k - 1, min(k, 24)).astype(np.int32)), np.zeros(k, np.int64))
+        return cls(c, near, np.unique(np.linspace(0, k - 1, min(k, 24)).astype(np.int32)), np.zeros(k, np.int64), scale)
+
+    def measure(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, squared distances) of all centroids, nearest first."""
+        q, c = (q * self.scale).astype(np.float32), self.centroids
+        d = np.maximum((c * c).sum(axis=1)[None, :] - 2 * q @ c.T + (q * q).sum(axis=1)[:, None], 0)
+        ids = np.argsort(d, axis=1, kind="stable")
+        return ids, np.take_along_axis(d, ids, axis=1)
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of all queries at once: (ids, squared distances), nearest first; -1 pads.
 
         A round opens the nearest unopened node of each query's ``width`` best and stops when all are open."""
-        q = q.astype(np.float32)
+        q = (q * self.scale).astype(np.float32)
         n, k = len(q), len(self.centroids)
         width = min(width, k)
         square = (self.centroids ** 2).sum(axis=1)
@@ -132,9 +144,11 @@ class CentroidGraph:
 def fit_graph(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, seed: int = SEED) -> CentroidGraph:
     """Centroids and graph from at most ``sample_rows`` vectors; ``rows``: how many the index will hold."""
     sample = (vectors.orderBy(F.xxhash64(F.lit(seed), "vec"), "vec").limit(sample_rows).select("vec").collect())
-    x = np.array([r.vec for r in sample], np.float32)
+    most = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]  # one number
+    scale = float(np.ldexp(1.0, -np.frexp(most)[1]))
+    x = (np.array([r.vec for r in sample], np.float64) * scale).astype(np.float32)
     lists = max(1, min(-(-rows // list_rows), len(x) // LEAST_PER_CENTROID))
-    return CentroidGraph.build(balanced_centroids(x, lists, seed))
+    return CentroidGraph.build(balanced_centroids(x, lists, seed), scale=scale)
 
 
 # ---- tables -----------------------------------------------------------------------------
@@ -153,12 +167,17 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.to_list(), np.float64)
 
 
-def _pick(ids: np.ndarray, d: np.ndarray, ratio: float, most: int, sizes: np.ndarray | None = None, enough: int = 0):
+def _reach(d: np.ndarray, ratio: float | None) -> np.ndarray:
+    """How far a row's lists may be, from its squared distances in order."""
+    return np.full((len(d), 1), np.inf) if ratio is None else (1 + ratio) * np.sqrt(d[:, :1]) + 1e-12
+
+
+def _pick(ids: np.ndarray, d: np.ndarray, ratio: float | None, most: int | None = None, sizes: np.ndarray | None = None, enough: int = 0):
     """Per row the lists up to (1 + ratio) times as far as the nearest, ``most`` at most; with ``sizes`` at least those
     that hold ``enough`` vectors."""
-    far = np.sqrt(d)
-    keep = (ids >= 0) & (far <= (1 + ratio) * far[:, :1] + 1e-12)
-    keep[:, most:] = False
+    keep = (ids >= 0) & (np.sqrt(d) <= _reach(d, ratio))
+    if most is not None:
+        keep[:, most:] = False
     if sizes is not None:
         held = np.cumsum(np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0), axis=1)
         keep |= (ids >= 0) & (held - np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0) < enough)
@@ -184,21 +203,29 @@ def assign(vectors: DataFrame, graph: CentroidGraph, replicas: int = REPLICAS, c
     return vectors.mapInPandas(run, _LISTED)
 
 
-def probe(queries: DataFrame, graph: CentroidGraph, k: int, ratio: float = PROBE, lists: int = LISTS) -> DataFrame:
+def probe(queries: DataFrame, graph: CentroidGraph, k: int, ratio: float | None = PROBE, lists: int = LISTS) -> DataFrame:
     """(q, vec, list): the lists that each query searches."""
     shared = queries.sparkSession.sparkContext.broadcast(graph)
 
+    def picked(part, ids, d, g):
+        r, c = np.nonzero(_pick(ids, d, ratio, None, g.sizes, k + 1))
+        return pd.DataFrame({"q": part["q"].to_numpy()[r], "vec": part["vec"].to_numpy()[r], "list": ids[r, c].astype(np.int32)})
+
     def run(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part, g = pdf.iloc[lo:lo + 1024], shared.value
+            for lo in range(0, len(pdf), 256):
+                part, g = pdf.iloc[lo:lo + 256], shared.value
                 x = _matrix(part["vec"])
                 ids, d = g.search(x, lists)
-                held = np.where(ids >= 0, g.sizes[np.maximum(ids, 0)], 0).sum(axis=1)
-                if (held <= k).any() and ids.shape[1] < len(g.centroids):  # few vectors: search all lists
-                    ids, d = g.search(x, len(g.centroids))
-                r, c = np.nonzero(_pick(ids, d, ratio, lists, g.sizes, k + 1))
-                yield pd.DataFrame({"q": part["q"].to_numpy()[r], "vec": part["vec"].to_numpy()[r], "list": ids[r, c].astype(np.int32)})
+                beyond = np.zeros(len(x), bool)
+                if ids.shape[1] < len(g.centroids):
+                    held = np.where(ids >= 0, g.sizes[np.maximum(ids, 0)], 0).sum(axis=1)
+                    beyond = (np.sqrt(d[:, -1:]) <= _reach(d, ratio))[:, 0] | (held <= k)
+                yield picked(part[~beyond], ids[~beyond], d[~beyond], g)
+                rest = np.flatnonzero(beyond)
+                for at in range(0, len(rest), 32):
+                    some = rest[at:at + 32]
+                    yield picked(part.iloc[some], *g.measure(x[some]), g)
 
     return queries.mapInPandas(run, "q long, vec array<double>, list int")
 
@@ -229,7 +256,7 @@ def _meet(k: int):
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-            probe_ratio: float = PROBE, lists: int = LISTS, list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS,
+            probe_ratio: float | None = PROBE, lists: int = LISTS, list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS,
             piece_rows: int = PIECE_ROWS, seed: int = SEED) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows found for every row that ``queries`` (a condition on ``id``) selects."""
     spark = vectors.sparkSession

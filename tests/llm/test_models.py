@@ -93,6 +93,41 @@ def test_recall_on_table(spark, sf):
             assert s == pytest.approx(np.sqrt(((np.array(vec[q], float) - np.array(vec[i], float)) ** 2).sum()), rel=1e-12)
 
 
+def test_ann_without_a_ratio_is_exact(spark):
+    """Many more lists than the graph search looks for; components far beyond single precision."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=12) * (1e30 if i % 2 else 1e32)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.nearest(df, F.col("id") % 100 == 0, list_rows=10, probe_ratio=None, lists=4))
+    want = brute_nearest(rows)
+    assert set(got) == set(want)
+    for q in want:
+        assert [i for _, i in got[q]] == [i for _, i in want[q]]
+        assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want[q]], rel=1e-12)
+
+
+def test_ratio_alone_chooses_the_lists(spark):
+    rng = np.random.default_rng(6)
+    g = ann.CentroidGraph.build(rng.normal(size=(300, 8)))
+    g.sizes[:] = 50
+    x = rng.normal(size=(40, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q long, vec array<double>")
+    got = {}
+    for r in ann.probe(df, g, 10, 0.8, lists=24).collect():
+        got.setdefault(r.q, set()).add(r.list)
+    d = np.sqrt(((x[:, None, :] - g.centroids[None].astype(float)) ** 2).sum(axis=2))
+    missed = wanted = 0
+    for i in range(40):
+        far = 1.8 * d[i].min()
+        sure = {int(j) for j in np.flatnonzero(d[i] < far - 1e-4)}
+        assert got[i] <= {int(j) for j in np.flatnonzero(d[i] < far + 1e-4)}
+        if len(got[i]) > 24:  # measured against all centroids
+            assert sure <= got[i]
+        missed, wanted = missed + len(sure - got[i]), wanted + len(sure)
+    assert missed <= 0.01 * wanted  # the graph search of the others is approximate
+    assert max(map(len, got.values())) > 24
+
+
 def test_ann_edge_cases(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 300)]
