@@ -142,7 +142,13 @@ def test_failure_before_the_pointer_leaves_the_old_version(spark, tmp_path, monk
 def test_large_session_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "SHEET_ROWS", 10)
     sheet = spark.range(1, 201).select(F.lit("s").alias("session_id"), F.col("id").alias("sheet_row"), F.lit("2024-01-02").alias("export_date"))
-    sinks.write_sheet(sheet, str(tmp_path / "sheet"))
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # would merge so small stretches again
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        sinks.write_sheet(sheet, str(tmp_path / "sheet"))
+    finally:
+        spark.conf.set(merging, before)
     files = list((tmp_path / "sheet" / "export_date=2024-01-02").glob("*.parquet"))
     back = spark.read.parquet(str(tmp_path / "sheet"))
     assert len(files) > 1 and back.count() == 200
