@@ -30,27 +30,37 @@ WINDOW = 13
 GRAM = 3
 
 
+# the token of the row that every document has beside its shingles; those of shingles are even
+_WHOLE = -1
+
+
+def _token(words: Column, at: Column, n: int) -> Column:
+    return word_hash(words, at, n).bitwiseAND(F.lit(-2).cast("long"))
+
+
 def _shingle(words: str, at: str, gram: int) -> Column:
     """Hash of a shingle of 1 to ``gram`` words, by the row's column gram."""
-    out = word_hash(F.col(words), F.col(at), gram)
+    out = _token(F.col(words), F.col(at), gram)
     for g in range(1, gram):
-        out = F.when(F.col("gram") == g, word_hash(F.col(words), F.col(at), g)).otherwise(out)
+        out = F.when(F.col("gram") == g, _token(F.col(words), F.col(at), g)).otherwise(out)
     return out
 
 
 def item_shingles(items: DataFrame, window: int, gram: int) -> DataFrame:
-    """(item_id, item, words, length, gram, q, token): each shingle of each distinct item and its place q."""
+    """(item_id, item, n_item, length, gram, q, token, low, near): each shingle of each distinct item and its place q.
+
+    A row carries the words of the windows that hold its shingle alone (``near``, from word ``low`` on), so the rows of an
+    item grow in proportion to its length."""
     it = (columns_of(items, "item_id", "text").select("item_id", alnum_words().alias("words")).distinct()
           .where(F.size("words") > 0)
           .withColumn("item", F.xxhash64("item_id", "words"))
           .withColumn("length", F.least(F.lit(window), F.size("words")))
           .withColumn("gram", F.least(F.lit(gram), F.col("length"))))
     it = it.withColumn("q", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("gram"))))
-    return it.withColumn("token", _shingle("words", "q", gram))
-
-
-# the token of the row that every document has beside its shingles
-_WHOLE = -1
+    span = F.col("length") - F.col("gram")
+    it = it.withColumn("low", F.greatest(F.lit(0), F.col("q") - span))
+    return it.select("item_id", "item", F.size("words").alias("n_item"), "length", "gram", "q", _shingle("words", "q", gram).alias("token"),
+                     "low", F.slice("words", F.col("low") + 1, F.col("q") + F.col("length") - F.col("low")).alias("near"))
 
 
 def matched_shingles(docs: DataFrame, tokens: DataFrame, grams: list[int]) -> DataFrame:
@@ -66,7 +76,7 @@ def matched_shingles(docs: DataFrame, tokens: DataFrame, grams: list[int]) -> Da
         one = (worded.where((F.size("words") >= g) | (first == -1))
                .withColumn("p", F.explode(F.sequence(first, F.greatest(first, F.size("words") - g))))
                .withColumn("gram", F.lit(g))
-               .withColumn("token", F.when(F.col("p") < 0, F.lit(_WHOLE).cast("long")).otherwise(word_hash(F.col("words"), F.col("p"), g)))
+               .withColumn("token", F.when(F.col("p") < 0, F.lit(_WHOLE).cast("long")).otherwise(_token(F.col("words"), F.col("p"), g)))
                .join(listed, ["gram", "token"])
                .select("doc_id", "_h", F.size("words").alias("n_words"), "p", "gram", "token"))
         out = one if out is None else out.unionByName(one)
@@ -83,20 +93,19 @@ def _matches(docs: DataFrame, items: DataFrame, window: int, gram: int) -> tuple
 
 
 def prefixes(shingles: DataFrame, matches: DataFrame) -> DataFrame:
-    """(item, item_id, item_words, length, gram, token, q, starts): the rarest shingle of each window, with the windows
+    """(item, item_id, low, near, length, gram, token, q, starts): the rarest shingle of each window, with the windows
     that share it. Its order is the corpus frequency, counted over all documents."""
     freq = matches.where("p >= 0").groupBy("gram", "token").agg(F.count(F.lit(1)).alias("freq"))
     ranked = shingles.join(freq, ["gram", "token"])  # a shingle that no document has is gone, and its windows below
     # each window s: its shingles q in s .. s + length - gram; the prefix is the rarest
     s = F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - (F.col("length") - F.col("gram"))),
-                             F.least(F.col("q"), F.size("words") - F.col("length"))))
+                             F.least(F.col("q"), F.col("n_item") - F.col("length"))))
     per_window = Window.partitionBy("item", "s").orderBy("freq", "token", "q")
     return (ranked.withColumn("s", s)
             .withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("item", "s")))
             .withColumn("r", F.row_number().over(per_window))
             .where((F.col("r") == 1) & (F.col("known") == F.col("length") - F.col("gram") + 1))
-            .groupBy("item", "item_id", "words", "length", "gram", "token", "q").agg(F.collect_list("s").alias("starts"))
-            .withColumnsRenamed({"words": "item_words"}))
+            .groupBy("item", "item_id", "low", "near", "length", "gram", "token", "q").agg(F.collect_list("s").alias("starts")))
 
 
 def _verified(docs: DataFrame, shingles: DataFrame, matches: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def _verified(docs: DataFrame, shingles: DataFrame, matches: DataFrame) -> DataF
     cand = (matches.where("p >= 0").join(prefix, ["gram", "token"])
             .withColumn("s", F.explode("starts")).withColumn("start", F.col("p") - F.col("q") + F.col("s"))
             .where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
-            .select("doc_id", "_h", "item_id", "start", "length", F.slice("item_words", F.col("s") + 1, F.col("length")).alias("wanted"))
+            .select("doc_id", "_h", "item_id", "start", "length", F.slice("near", F.col("s") - F.col("low") + 1, F.col("length")).alias("wanted"))
             .distinct())
     cand = written(cand, "benchmark-candidates")
     # the words themselves: only documents with a candidate are read again

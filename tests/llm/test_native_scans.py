@@ -128,6 +128,20 @@ def test_decontamination_matches_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for w in want if not w[4])
 
 
+def test_long_item_carries_slices_alone(spark):
+    """An item of 9,000 words: a shingle's row holds the words of its own windows; hits at the start, middle and end."""
+    item = [f"w{i * i % 7001}x{i % 13}" for i in range(9000)]
+    bench = spark.createDataFrame([("long", " ".join(item)), ("short", "two words")], "item_id string, text string")
+    rows = decontam.item_shingles(bench, 13, 3)
+    worst = rows.agg(F.max(F.size("near")), F.count(F.lit(1))).first()
+    assert worst[0] <= 2 * 13 - 3 and worst[1] == 9000 - 2 + 1
+    assert rows.where("token % 2 <> 0").count() == 0  # none is taken for the row of a whole document
+    docs = docs_of(spark, [(1, " ".join(item[:13])), (2, "a " + " ".join(item[4000:4020]) + " b"), (3, " ".join(item[-13:])), (4, " ".join(item[100:112])),
+                           (5, " ".join(item[7:13] + item[14:30])), (6, "Two Words")])
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, bench).collect()}
+    assert got == {1: (13, ["long"]), 2: (20, ["long"]), 3: (13, ["long"]), 4: (0, []), 5: (16, ["long"]), 6: (2, ["short"])}
+
+
 def test_license_scan_matches_brute_force(spark):
     texts = [(1, None), (2, ""), (3, "Under the MIT license, under the MIT License."), (3, "Under the MIT license, under the MIT License."),
              (4, "x " * 31 + licenses.TEMPLATES[2][1]), (5, "cc by nc cc by nc"), (6, LONG + "Apache License, Version 2.0" + LONG),
