@@ -9,8 +9,8 @@ moved from the sample's class balance to that of all labels, gives the score.
 
 Training rows are labelled rows with crc32(doc_id as text) mod 5 <> 0: of each class the
 ``per_class`` with the least seeded hash of doc_id (a documented bound: the fit runs on the
-driver over at most 2 * per_class rows of n-gram ids). The class balance is counted over all
-training labels. Scoring covers every whole text; only text is an input of a score.
+driver over at most 2 * per_class rows, each of at most 2^BITS bits whatever the text's length:
+32 KiB, 128 MiB in all by default). The class balance is counted over all training labels. Scoring covers every whole text; only text is an input of a score.
 
 A null or empty text has no n-grams and scores by the bias alone. A doc_id with several texts
 trains with the one of least hash, with several labels with the smallest; null ids or labels
@@ -65,6 +65,38 @@ def ngram_ids(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def stored(ids: np.ndarray, bits: int = BITS) -> bytes:
+    """A row of ids in at most 2^bits / 8 bytes: the ids, or one bit an id where those take less."""
+    if 4 * len(ids) < (1 << bits) // 8:
+        return ids.astype(np.int32).tobytes()
+    marks = np.zeros(1 << bits, bool)
+    marks[ids] = True
+    return np.packbits(marks).tobytes()
+
+
+class Rows:
+    """Rows of n-gram ids as ``stored`` bytes; a row's ids are taken when needed."""
+
+    def __init__(self, raw: list[bytes], bits: int = BITS):
+        self.raw, self.bits = raw, bits
+
+    @classmethod
+    def of(cls, rows, bits: int) -> Rows:
+        return rows if isinstance(rows, cls) else cls([stored(ids, bits) for ids in rows], bits)
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        raw = self.raw[i]
+        if len(raw) == (1 << self.bits) // 8:
+            return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).astype(np.int32)
+        return np.frombuffer(raw, np.int32)
+
+    def pick(self, at) -> Rows:
+        return Rows([self.raw[i] for i in at], self.bits)
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # weight times ratio, per n-gram id
@@ -82,7 +114,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, dim: int) -> np.ndarray:
+def log_count_ratios(rows: Rows | list[np.ndarray], y: np.ndarray, dim: int) -> np.ndarray:
     p, q = np.ones(dim), np.ones(dim)
     for ids, label in zip(rows, y):
         (p if label > 0 else q)[ids] += 1
@@ -95,8 +127,9 @@ def dual_coordinate_descent(rows, ratios, y, cost, epochs, seed):
     Row i has the values ratios[rows[i]] scaled to unit length; they are taken when needed, never stored."""
     w, bias = np.zeros(len(ratios)), 0.0
     alpha = np.zeros(len(rows))
-    scale = np.array([1 / max(np.sqrt((ratios[ids] ** 2).sum()), 1e-12) for ids in rows])
-    square = np.array([(ratios[ids] ** 2).sum() for ids in rows]) * scale ** 2 + 1.0
+    sums = np.array([(ratios[ids] ** 2).sum() for ids in rows])
+    scale = 1 / np.maximum(np.sqrt(sums), 1e-12)
+    square = sums * scale ** 2 + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -139,10 +172,10 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, odds: float | None = None, bits: int = BITS, cost: float = 1.0,
+def fit(rows: Rows | list[np.ndarray], y: np.ndarray, odds: float | None = None, bits: int = BITS, cost: float = 1.0,
         epochs: int = 30, folds: int = 4, seed: int = SEED) -> Model:
     """``y`` in {-1, 1}; ``odds``: of label 1 among all labels (None: as in the sample)."""
-    dim = 1 << bits
+    dim, rows = 1 << bits, Rows.of(rows, bits)
     n1, n0 = int((y > 0).sum()), int((y < 0).sum())
     each = np.where(y > 0, cost * len(y) / (2 * max(n1, 1)), cost * len(y) / (2 * max(n0, 1)))
     r, w, bias = _fit_margins(rows, y, dim, each, epochs, seed)
@@ -156,7 +189,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, odds: float | None = None, bits:
         tr, te = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(te) == 0 or len(set(y[tr])) < 2:
             tr, te = np.arange(len(rows)), te
-        rk, wk, bk = _fit_margins([rows[i] for i in tr], y[tr], dim, each[tr], max(5, epochs // 3), seed + k + 1)
+        rk, wk, bk = _fit_margins(rows.pick(tr), y[tr], dim, each[tr], max(5, epochs // 3), seed + k + 1)
         m = Model(wk, rk, bk, 1.0, 0.0)
         for i in te:
             margin[i] = m.margin(rows[i])
@@ -171,7 +204,7 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED):
-    """(n-gram ids per row, labels in {-1, 1}, odds of label 1): a bounded sample on the driver."""
+    """(n-gram ids per row, labels in {-1, 1}, label counts): a bounded sample on the driver, in rows and in bytes."""
     spark = docs.sparkSession
     ship_package(spark)
     lab = (columns_of(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
@@ -188,10 +221,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
     @F.pandas_udf("binary")
     def grams(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: ngram_ids(t).tobytes())
+        return text.map(lambda t: stored(ngram_ids(t)))
 
     got = texts.select("doc_id", "quality", grams("text").alias("ids")).orderBy(*order).collect()
-    rows = [np.frombuffer(r.ids, np.int32) for r in got]
+    rows = Rows([bytes(r.ids) for r in got])
     y = np.array([1 if r.quality else -1 for r in got])
     return rows, y, counts
 

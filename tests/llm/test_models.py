@@ -53,6 +53,56 @@ def test_hinge_loss_fit_separates():
     assert all(np.sign(w[r].sum() / np.sqrt(2) + b) == t for r, t in zip(rows, y))
 
 
+def plain_ratios(rows, y, dim):
+    count = {c: [1 + sum(g in set(r.tolist()) for r, t in zip(rows, y) if t == c) for g in range(dim)] for c in (1, -1)}
+    return np.array([np.log(a / sum(count[1])) - np.log(b / sum(count[-1])) for a, b in zip(count[1], count[-1])])
+
+
+def test_ratios_margins_and_optimum_against_a_plain_solve():
+    """The log-count ratios by counting, the hinge-loss optimum by projected gradient on the dense dual, margins by hand."""
+    rng = np.random.default_rng(3)
+    dim = 32
+    rows = [np.unique(rng.integers(0, dim, rng.integers(3, 12))).astype(np.int32) for _ in range(60)]
+    y = np.array([1 if (r < 12).mean() + rng.normal(0, 0.25) > 0.4 else -1 for r in rows])
+    cost = np.where(y > 0, 0.7, 1.3)
+    ratios = quality.log_count_ratios(rows, y, dim)
+    assert ratios == pytest.approx(plain_ratios(rows, y, dim), rel=1e-12)
+    x = np.zeros((60, dim + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r]
+        x[i] /= np.sqrt((x[i] ** 2).sum())
+    x[:, dim] = 1.0  # the bias
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    best = alpha.sum() - alpha @ q @ alpha / 2
+    w, bias = quality.dual_coordinate_descent(quality.Rows.of(rows, 5), ratios, y, cost, 2000, 1)
+    v = np.append(w, bias)
+    primal = v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert best - 1e-6 <= primal <= best * 1.001  # the gap to the dual optimum is closed
+    model = quality.Model(w * ratios, ratios, bias, 1.0, 0.0)
+    for i, r in enumerate(rows):
+        assert model.margin(r) == pytest.approx(float(x[i] @ v), rel=1e-9, abs=1e-12)
+
+
+def test_training_rows_are_bounded_in_bytes(spark):
+    """Texts with nearly every n-gram take a bit an id; the model is that of plain lists of ids."""
+    rng = np.random.default_rng(4)
+    dense = [np.flatnonzero(rng.random(1 << 10) < p).astype(np.int32) for p in (0.001, 0.02, 0.5, 1.0)] + [np.zeros(0, np.int32)]
+    kept = quality.Rows.of(dense, 10)
+    assert len(kept) == 5 and all(len(r) <= 128 for r in kept.raw)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(dense, kept)) and (kept.pick([3, 1])[0] == dense[3]).all()
+    noise = "".join(chr(c) for c in rng.integers(0x20, 0x7FF, 400_000))
+    texts = [(i, noise[i:] if i % 2 else "plain words " * 5) for i in range(1, 40)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    rows, y, _ = quality.training_rows(docs, labels)
+    assert max(map(len, rows.raw)) <= (1 << quality.BITS) // 8
+    want = {tuple(quality.ngram_ids(t).tolist()) for i, t in texts if zlib.crc32(str(i).encode()) % 5}
+    assert {tuple(r.tolist()) for r in rows} == want and len(y) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _ in texts)
+
+
 def brute_nearest(rows, k=10):
     fine = sorted({(i, tuple(map(float, v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)})
     out = {}

@@ -3,6 +3,9 @@
 import re
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
 from penawar.llm import decontam, mixing, quality, secrets
 from tests.llm.test_native_scans import brute_spans, words
 from tests.llm.test_ngram_join import brute
@@ -48,3 +51,39 @@ def test_stages(spark, sf001, tmp_path):
         last = after
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf001).collect()}
     assert got == last
+
+
+ODD = [(1, None), (2, ""), (3, "plain words of a text " * 6), (3, "plain words of a text " * 6), (3, "plain words of another text " * 6),
+       (4, "plain words of a text " * 6), (None, "a text without an id, of several plain words"), (None, None),
+       (5, " ".join(f"b{i}" for i in range(30))), (6, "password = hunter2secret " + "some plain words " * 4), (7, "very long " * 60_000)]
+
+
+@pytest.mark.parametrize("rows", [ODD, [], [(None, None)]])
+def test_run_on_odd_tables(spark, tmp_path, rows):
+    """run() on nulls, empty and long texts, repeated rows and ids, columns that clash with those of every stage, and
+    empty tables: no crash, and every stage's decision on its own input."""
+    docs = spark.createDataFrame([(i, t, "en", None if i == 5 else "src1", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("_row", "_h", "score", "words", "token", "size", "taken", "component_id", "quality"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i != 9), 0) for i in range(3, 12)] if rows else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bench = [("i1", " ".join(f"b{i}" for i in range(14))), ("i2", None)] if rows else []
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now, sf = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    kept = now.collect()
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in kept)
+    if len(rows) < 2:
+        assert len(got) == len(rows)
+        return
+    texts = [(r.doc_id, r.text) for r in kept]
+    assert (5, " ".join(f"b{i}" for i in range(30))) not in texts  # contaminated
+    assert (4, ODD[5][1]) not in texts and (3, ODD[2][1]) in texts  # a copy of a smaller doc_id
+    assert [t for i, t in texts if i == 6] == ["[SECRET] " + "some plain words " * 4] and (None, None) in texts and (7, ODD[10][1]) in texts
