@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penawar.llm.common import columns_of, written
+from penawar.llm.common import broadcast_if_small, columns_of, written
 from penawar.llm.url_filter import address
 from penawar.session import ship_package
 
@@ -61,16 +61,29 @@ def ngram_counts(text: str, bits: int = BITS) -> np.ndarray:
     return out
 
 
+def least_per_key(rows: DataFrame, key: str, count: int, levels=(10, 20)) -> DataFrame:
+    """The ``count`` rows of least (h, doc_id) of every ``key``; h is a 64-bit hash.
+
+    Buckets by the leading bits of h are counted first (partial aggregates), and those that begin beyond ``count`` rows go,
+    so the last window sorts ``count`` rows and about one bucket of a key, however many rows the key has."""
+    for bits in levels:
+        rows = rows.withColumn("bucket", F.shiftright("h", 64 - bits))
+        before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        kept = (rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+                .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < count).select(key, "bucket"))
+        rows = rows.join(broadcast_if_small(kept), [key, "bucket"], "left_semi").drop("bucket")
+    order = Window.partitionBy(key).orderBy("h", "doc_id")
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= count).drop("r")
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5):
     """(languages, log P(n-gram | language) of shape (languages, 2^BITS))."""
     ship_package(docs.sparkSession)
     d = columns_of(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    # the ids first, without the texts: a group limit keeps per_language rows of a language in every task
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    ids = (d.where(F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-           .withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r"))
-    # at most per_language ids a language are broadcast
-    sample = (d.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang")
+    # the ids first, without the texts
+    ids = d.where(F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct().withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    ids = written(least_per_key(written(ids, "lang-ids"), "lang", per_language).drop("h"), "lang-sample")
+    sample = (d.join(broadcast_if_small(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang")
               .agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     def count(batches):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,78 @@ def test_every_language_with_rows_is_trained(spark):
     assert langs == sorted({r[2] for r in rows}) and logp.shape[0] == 70
     got = langid.identify(pages_of(spark, [(1, "http://a.zz/", f"<html lang=zz>{rare} {rare}</html>")]), docs).collect()
     assert got[0].text_lang == "zz"
+
+
+def plain_posteriors(rows, langs, logp):
+    """The fused posterior of every page, page by page in plain Python."""
+    pages = []
+    for i, u, h in rows:
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.split(r"[/?#]", rest)[0]
+            path, host = re.split(r"[?#]", rest[len(host):])[0], host.lower()
+        found = re.search(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", h or "")
+        segment = re.match(r"/([a-z]{2})(?:[/-]|$)", path)
+        end = lambda pattern: (re.search(pattern, host) or [""])[0]
+        c = langid.ngram_counts(langid.visible_text(h))
+        n = c.sum()
+        text = np.array([sum(c[g] * logp[k, g] for g in np.flatnonzero(c)) for k in range(len(langs))]) / max(n, 1) * min(300.0, float(n)) / 10
+        post = np.exp(text - text.max())
+        pages.append({"id": i, "text": text, "post": post / post.sum(), "declared": found[1].lower() if found else "-", "host": host,
+                      "tld": end(r"[^.]+$"), "domain": end(r"[^.]+\.[^.]+$"), "suffix": end(r"[^.]+$") + " " + (segment[1] if segment else "")})
+    total = 1 + sum(p["post"] for p in pages)
+    sums = {}
+    for p in pages:
+        for col in ("declared", "suffix", "host", "domain", "tld"):
+            sums[col, p[col]] = sums.get((col, p[col]), 0) + p["post"]
+    out = {}
+    for p in pages:
+        logs = p["text"].copy()
+        for col in ("declared", "suffix"):
+            s = sums[col, p[col]]
+            logs += np.log((s + 2 * s.sum() / total.sum()) / (total + 2))
+        base = total / total.sum()
+        for col, k in (("tld", langid.KAPPA[2]), ("domain", langid.KAPPA[1]), ("host", langid.KAPPA[0])):
+            own = np.maximum(sums[col, p[col]] - p["post"], 0)
+            base = (own + k * base) / (own.sum() + k)
+        fused = np.exp(logs + np.log(base) - (logs + np.log(base)).max())
+        out[p["id"]] = (langs[int(np.argmax(fused))], fused.max() / fused.sum())
+    return out
+
+
+def test_posteriors_against_a_plain_computation(spark):
+    """Pages whose markup and path state no language, the wrong one or the right one; posteriors equal a plain computation."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 200")
+    sample = docs.where("doc_id % 2 = 1").orderBy("doc_id").limit(400).select("doc_id", "lang", F.substring("text", 1, 600).alias("text")).collect()
+    known = sorted({r.lang for r in sample})
+    rows = []
+    for k, r in enumerate(sample):
+        wrong = known[(known.index(r.lang) + 1) % len(known)]
+        stated = (None, wrong, r.lang)[k % 3]
+        mark = f" lang='{stated}'" if stated else ""
+        rows.append((r.doc_id, f"https://h{k % 7}.site{k % 3}.org/{stated + '/' if stated else ''}x", f"<html{mark}><p>{r.text}</p></html>"))
+    rows += [(-1, None, None), (-2, "http://h1.site1.org", ""), (-3, "x", "<html lang=zz>")]
+    train_docs = docs.where("doc_id % 2 = 0")
+    langs, logp = langid.train(train_docs)
+    want = plain_posteriors(rows, langs, logp)
+    got = {r.page_id: (r.lang, r.p) for r in langid.identify(pages_of(spark, rows), train_docs).collect()}
+    assert set(got) == set(want)
+    for i, (lang, p) in want.items():
+        assert got[i][1] == pytest.approx(p, rel=1e-9) and (got[i][0] == lang or p < 0.51)
+    for state in range(3):
+        part = [r for k, r in enumerate(sample) if k % 3 == state]
+        assert sum(got[r.doc_id][0] == r.lang for r in part) >= 0.95 * len(part), state
+
+
+@pytest.mark.parametrize("levels", [(), (2,), (4, 8)])
+def test_least_rows_of_a_hot_key(spark, levels):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("l"), F.col("id") % 7)).otherwise(F.lit("hot")).alias("lang"),
+                                    (F.xxhash64("id") - F.xxhash64("id") % (1 << 56)).alias("h"))  # few values: ties
+    got = sorted(map(tuple, langid.least_per_key(rows, "lang", 40, levels).select("lang", "h", "doc_id").collect()))
+    want, seen = [], {}
+    for lang, h, i in sorted(map(tuple, rows.select("lang", "h", "doc_id").collect())):
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] <= 40:
+            want.append((lang, h, i))
+    assert got == want
