@@ -32,12 +32,11 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], val
     else:
         before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         part, off = F.col("_chunk"), F.coalesce(F.sum("_sum").over(before), F.lit(0))
-    # null-safe keys: rows without a key are a key of their own
-    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], part.alias("_k_chunk"), off.alias("_off"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # null-safe keys: rows without a key are a key of their own. A struct is never null and equals another with the same
+    # nulls, so the join finds its rows where the window has put them, and they are shuffled once
+    sums = sums.select(F.struct(*[F.col(k) for k in keys], part).alias("_k"), off.alias("_off"))
+    d = d.withColumn("_at", F.struct(*keys, "_chunk"))
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_in", F.sum("_value").over(inside))
-    on = F.col("_chunk") == F.col("_k_chunk")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return (d.join(sums, on).withColumn(name, F.col("_off") + F.col("_in"))
-            .drop("_chunk", "_value", "_off", "_in", "_k_chunk", *[f"_k_{k}" for k in keys]))
+    return (d.join(sums, F.col("_at") == F.col("_k")).withColumn(name, F.col("_off") + F.col("_in"))
+            .drop("_chunk", "_value", "_off", "_in", "_at", "_k"))
