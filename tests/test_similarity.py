@@ -168,3 +168,54 @@ def test_cells_stay_bounded_when_both_sides_double(spark):
 
     (q1, c1, n1), (q2, c2, n2) = largest(1000), largest(2000)
     assert max(q1, q2) <= 2 * 64 and max(c1, c2) <= 2 * 256 and n2 > 3 * n1
+
+
+def test_bins_of_short_entries_stay_bounded_on_the_asking_side(spark):
+    """Many entries with one listed row and many askers each: a cell holds few askers, not those of all entries."""
+    from penawar.operators.cells import in_cells
+
+    q = spark.range(20_000).select(F.col("id").alias("a"), F.concat(F.lit("e"), F.col("id") % 100).alias("e"))
+    c = spark.range(100).select(F.col("id").alias("b"), F.concat(F.lit("e"), F.col("id")).alias("e"))
+
+    def sizes(x, y):
+        import pandas as pd
+
+        return pd.DataFrame({"q": [len(x)], "n": [len(y)]})
+
+    got = in_cells(q, c, "e", "a", "b", 8, 4096, 1024).applyInPandas(sizes, "q long, n long").collect()
+    assert sum(r.q for r in got) == 20_000 and sum(r.n for r in got) == 100
+    assert max(r.q for r in got) <= 4 * 1024
+
+
+def test_rows_are_grouped_exactly():
+    from penawar.functions.similarity import _distinct_rows
+
+    rows = np.random.default_rng(0).integers(0, 3, (500, 11)).astype(np.uint8)
+    rows[250:] = rows[:250]
+    first, number = _distinct_rows(rows)
+    assert np.array_equal(rows[first][number], rows) and len(first) == len(np.unique(rows, axis=0))
+
+
+def test_runs_leave_no_name_out():
+    """A block of several runs against single-pair scores: ties, trigrams looked up before, a known score."""
+    from penawar.functions.similarity import Numbered
+    from penawar.operators import trigram_index as ti
+    import pandas as pd
+
+    names = sorted(set(_random_names(4, 700, 30)))
+    asked = _random_names(5, 40, 40)
+    numbered = Numbered()
+    rows = pd.DataFrame({"name": names, "name_no": range(len(names)), "name_len": [len(x) for x in names]})
+    qsets = [list(set(numbered.seq(x))) for x in asked]
+    before = [numbered.of(sorted(set(trigram_seq(x)))[:i % 3]) for i, x in enumerate(asked)]
+    known = np.array([-1.0 if i % 2 else 0.6 for i in range(len(asked))])
+    [(part, seqs)] = list(ti.name_blocks(rows, 4096, numbered))
+    out, reach = ti.score_block(ti.Names(part, seqs, len(numbered.number)), np.array(asked, dtype=object), qsets, before, known, 0.3, 8)
+    for i, x in enumerate(asked):
+        gone = set(sorted(set(trigram_seq(x)))[:i % 3])
+        want = sorted((-word_similarity(x, n), len(n), j) for j, n in enumerate(names) if not gone & set(trigram_seq(n)))
+        want = [v for v in want if -v[0] >= max(known[i], 0.3) - 1e-9][:8]
+        if asked.count(x) == 1:
+            got = out[out["key"] == x]
+            assert [(-s, n, j) for s, n, j in zip(got["score"], got["name_len"], got["name_no"])] == want
+            assert len(want) < 8 or abs(reach[i] + want[-1][0]) < 1e-12
