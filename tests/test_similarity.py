@@ -123,6 +123,91 @@ def test_lsh_recall_and_exact_scores(spark):
     assert sorted(ranks) == sorted(vector_topk(q.where("key <> 'short'"), cat).select("key", "rank", "id").collect())  # all codes probed: exact
 
 
+def test_a_vector_is_one_row_whatever_the_tables_and_probes():
+    """Vectors travel once with all their codes, not once per table and probed code; those without direction don't."""
+    import pandas as pd
+
+    from penawar.operators.similarity_join import _codes
+
+    x = np.random.default_rng(5).normal(size=(50, 6))
+    x[7], x[8, 2], x[9, 0] = 0, np.nan, np.inf
+    pdf = pd.DataFrame({"key": [str(i) for i in range(50)], "qvec": list(x)})
+    got = pd.concat(_codes(["key"], "qvec", 6, 10, 12, 4, 7)(iter([pdf])))
+    assert got["key"].tolist() == [str(i) for i in range(50) if i not in (7, 8, 9)]
+    codes = [np.frombuffer(b, dtype=np.uint16).reshape(12, 4) for b in got["codes"]]
+    assert all(len(set(row)) == 4 for c in codes for row in c)
+
+
+def _brute_lsh(asked, listed, dims, bits, tables, probes, seed, k=8, floor=0.3):
+    planes = np.random.default_rng(seed).normal(size=(tables, dims, bits))
+
+    def probed(v, n):
+        out = set()
+        for t in range(tables):
+            side = v @ planes[t]
+            code, unsure = sum(1 << b for b in range(bits) if side[b] > 0), np.argsort(np.abs(side))
+            out |= {(t, code ^ sum(1 << int(unsure[j]) for j in range(10) if p >> j & 1)) for p in range(n)}
+        return out
+
+    rows = [(i, v, probed(v, 1)) for i, v in listed]
+    best = {}
+    for key, v in asked:
+        mine = probed(v, probes)
+        for i, u, codes in rows:
+            sim = float(v @ u / (np.linalg.norm(v) * np.linalg.norm(u)))
+            if sim >= floor and mine & codes:
+                best[key, i] = max(sim, best.get((key, i), 0))
+    out = []
+    for key in {key for key, _ in best}:
+        mine = sorted(((-round(s, 9), i is not None, i or 0) for (q, i), s in best.items() if q == key))[:k]
+        out += [(key, r + 1, i if some else None, -s) for r, (s, some, i) in enumerate(mine)]
+    return out
+
+
+def test_lsh_equals_brute_force_over_the_codes(spark, monkeypatch):
+    """Equal vectors, ids and keys that repeat with other vectors, a null id, a null key; blocks and runs of a few pairs."""
+    from penawar.config import MatchConfig
+    from penawar.operators import similarity_join as sj
+
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(12, 8))[rng.integers(12, size=400)] + 0.6 * rng.normal(size=(400, 8))).astype(np.float32).astype(np.float64)
+    x[50:90] = x[50]
+    listed = [(None if i in (60, 200) else i % 330, v) for i, v in enumerate(x)]
+    y = (x + 0.1 * rng.normal(size=x.shape)).astype(np.float32).astype(np.float64)
+    asked = [(None if i == 12 else str(i % 90), y[i]) for i in range(0, 400, 4)] + [("same", x[50])] * 3
+    cat = spark.createDataFrame([(i, v.tolist()) for i, v in listed], "id long, embedding array<float>")
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in asked], "key string, qvec array<float>")
+    want = sorted(_brute_lsh(asked, listed, 8, 5, 3, 2, 7), key=str)
+    for tiny in (False, True):
+        if tiny:
+            monkeypatch.setattr(sj, "WAITING", 0)
+            monkeypatch.setattr(sj, "EXACT_PAIRS", 5)
+        cfg = MatchConfig(query_block_rows=3, catalog_block_rows=11) if tiny else MatchConfig()
+        rows = vector_topk_lsh(q, cat, cfg, bits=5, tables=3, probes=2).collect()
+        assert sorted(((r.key, r["rank"], r.id, round(r.sim, 9)) for r in rows), key=str) == want
+
+
+def test_a_crowd_of_near_vectors_waits_in_bounded_numbers():
+    """Thousands of near copies in one code: few of their pairs wait, and the best are those of all pairs."""
+    from penawar.operators import similarity_join as sj
+
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=16) + 0.01 * rng.normal(size=(3000, 16))).astype(np.float32)
+    side = sj._Side.__new__(sj._Side)
+    side.x, side.norm = x, sj._norms(x)
+    side.unit = (x / side.norm[:, None]).astype(np.float32)
+    best, most = sj._Nearest(side, side, np.arange(3000), 0.3, 8), 0
+    for lo in range(0, 3000, 500):
+        best.add(np.arange(3000), np.arange(lo, lo + 500))
+        most = max(most, best.held)
+    best.choose()
+    y = x.astype(np.float64)
+    sim = y @ y.T / np.outer(side.norm, side.norm)
+    want = -np.sort(-sim, axis=1)[:, :8]
+    assert np.allclose(best.sim.reshape(3000, 8), want, rtol=0, atol=1e-12)
+    assert most <= 2 * sj.WAITING * 3000 and np.array_equal(best.pair // 3000, np.repeat(np.arange(3000), 8))
+
+
 def _random_names(seed, n, words):
     rng = np.random.default_rng(seed)
     vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 7))) for _ in range(words)]
