@@ -144,3 +144,33 @@ def test_running_sum_hot_session_spans_partitions(spark):
         acc += 1 if i % 3 else -1
         assert got[("hot", i)] == acc
     assert got[("s", 0)] == 1 and got[("s", 1)] == 0
+
+
+def test_routing_looks_for_offers_and_counts_them(spark):
+    cands = spark.createDataFrame([("mouse", 1, 1, "48", "mouse", "", "", 1.0), ("mouse", None, 1, "48", "mouse", "", "", 1.0),
+                                   ("baut M8", 2, 1, "5", "Baut M9", "", "", 0.5),
+                                   ("sepatu", 3, 1, "1", "sepatu 41", "", "", 0.9), ("sepatu", 3, 2, "2", "sepatu 42", "", "", 0.9)], CAND)
+    pairs = spark.createDataFrame([("mouse", 1), ("mouse", None), ("baut M8", 2), ("sepatu", 3), ("gergaji", 4), ("paku", 5)], "name string, qvec_id long")
+    asked = []
+
+    def find(need):
+        asked.extend(r["query"] for r in need.collect())
+        return need.where(F.col("query") != "paku").select("query", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("pos"))
+
+    routes, offers = route_ops.route_pairs(cands, pairs=pairs, find=find)
+    got = {(r["name"], r["qvec_id"]): (r["route"], r["n_candidates"], r["n_offers"], r["source"], r["reason"], r["product_id"]) for r in routes.collect()}
+    assert sorted(asked) == ["baut M8", "gergaji", "paku"] and offers.count() == 4
+    assert got == {("mouse", 1): ("auto_database", 1, 0, "auto_database", None, "48"), ("mouse", None): ("auto_database", 1, 0, "auto_database", None, "48"),
+                   ("baut M8", 2): ("offers", 1, 2, None, "internet_fallback", None), ("sepatu", 3): ("ask", 2, 0, None, "ambiguous", None),
+                   ("gergaji", 4): ("offers", 0, 2, None, "internet_fallback", None), ("paku", 5): ("offers", 0, 0, "not_found", None, None)}
+
+
+def test_route_lines_says_what_the_offers_lead_to(spark):
+    from penawar.plans.registry import QUERIES
+
+    from .conftest import SF001
+
+    got = QUERIES["route_lines"](spark, SF001)
+    assert got.where((F.col("route") == "offers") & (F.when(F.col("n_offers") > 0, F.col("reason") == "internet_fallback")
+                                                     .otherwise(F.col("source") == "not_found"))).count() == got.where("route = 'offers'").count() > 0
+    assert got.where("n_offers > 0").count() > 0
